@@ -8,13 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_rules, sharding
+from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding
 from .oracles import ORACLE_SQL
 from .runtime import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with its similarity and place."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document after the loss of lines found in 10 documents or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op5_line_dedup, op6_quality_rules, op8_packing, op10_sharding)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op8_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -157,10 +157,10 @@ def shingle_sets(part: Slice, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     sets = []
     for i, n in enumerate(count):
         if 0 < n < size:
-            total = found.hash[begin[i]]
+            total = found.hash[begin[i] : begin[i] + 1]
             for k in range(1, n):
                 total = total * _BASE + found.hash[begin[i] + k]
-            sets.append(mix(np.array([total + _U(n)], _U)))
+            sets.append(mix(total + _U(n)))
         else:
             sets.append(np.unique(hashes[edges[i] : edges[i + 1]]))
     return sets
