@@ -16,3 +16,15 @@ select doc_id, count(*)::bigint as n_lines, count(f.key)::bigint as n_dropped,
 from keyed k left join frequent f on k.key = f.key
 group by doc_id
 """
+
+ORACLE_SQL["op9_warc"] = """
+with p as (
+  select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), f as (
+  select payload_digest, min(page_id) as first_page from p where payload_bytes >= 100 group by payload_digest
+)
+select page_id, payload_bytes, p.payload_digest,
+       case when first_page < page_id then 'revisit' else 'response' end as record_type,
+       case when first_page < page_id then first_page end as refers_to
+from p left join f on p.payload_digest = f.payload_digest and p.payload_bytes >= 100
+"""

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding
+from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, warc
 from .oracles import ORACLE_SQL
 from .runtime import table, written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +42,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(stats).select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names], "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-tokens and unigram tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies, with a checksum of its ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, 1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold when they are read back."""
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, near equal in bytes."""
     shards = sharding.kd_shards(table(spark, sf_dir, "documents"), 16)
@@ -55,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op8_packing, op10_sharding)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
