@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, warc
+from . import decontaminate, line_dedup, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
 from .oracles import ORACLE_SQL
 from .runtime import table, written
 
@@ -16,6 +16,21 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of low quality, toxicity and severe toxicity for every document, and the verdict."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    marked = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.train(docs, marked, ["low_quality", "toxic"], severe_of="toxic")
+    return toxicity.probabilities(docs, chain).withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in every document, with its similarity and place."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.8)
@@ -67,7 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
