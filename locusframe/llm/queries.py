@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     marked = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = toxicity.train(docs, marked, ["low_quality", "toxic"], severe_of="toxic")
-    return toxicity.probabilities(docs, chain).withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+    return toxicity.probabilities(docs, chain).withColumn("toxic", (F.col("p_toxic") >= chain.cutoffs[1]).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,11 @@ from .textscan import LOWER, Hasher, Slice, mix, slices, words
 SAMPLE_ROWS = 8_000
 BUCKET_BITS = 20
 STARTS = (4, 5, 6)
-FEATURES = 4_096
+FEATURES = 2_048
 MIN_DOCS = 4
 FOLDS = 3
-PENALTY = 2e-5
+PENALTY = 5e-6
+STEPS = 500
 
 
 def _features(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -57,11 +58,15 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chain(NamedTuple):
-    """categories in order; slot of each bucket among the chosen features (-1: none); a model for each category."""
+    """categories in order; slot of each bucket among the chosen features (-1: none); a model for each category.
+
+    cutoffs: the probability of each category from which on a text belongs to it.
+    """
 
     categories: list[str]
     slot: np.ndarray
     models: list[tuple[float, np.ndarray, np.ndarray]]
+    cutoffs: list[float]
 
     def probabilities(self, part: Slice) -> np.ndarray:
         """A row for each text of the slice, a column for each category."""
@@ -77,20 +82,35 @@ class Chain(NamedTuple):
         return sigmoid(logits)
 
 
-def fit(x: Sparse, labels: np.ndarray, folds: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """A model for each column of labels, each with the log-odds of those before as further inputs."""
-    models, before = [], np.zeros((len(labels), 0))
+def _cutoff(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that divides the classes best (by the F1 measure), amid the gap there."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order])
+    k = int(np.argmax(2 * hits / (np.arange(1, len(y) + 1) + y.sum())))
+    below = p[order[k + 1]] if k + 1 < len(y) else 0.0
+    return float(sigmoid((np.log(p[order[k]] / (1 - p[order[k]])) + np.log(max(below, 1e-5) / (1 - min(below, 1 - 1e-5)))) / 2))
+
+
+def fit(x: Sparse, labels: np.ndarray, folds: np.ndarray) -> tuple[list[tuple[float, np.ndarray, np.ndarray]], list[float]]:
+    """A model and a cutoff for each column of labels; each has the log-odds of those before as further inputs.
+
+    Cutoffs come from the out-of-fold predictions, too.
+    """
+    models, cutoffs, before = [], [], np.zeros((len(labels), 0))
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
-        models.append(lasso_logistic(x, y, PENALTY, before))
+        models.append(lasso_logistic(x, y, PENALTY, before, STEPS))
         out = np.zeros(len(y))
         for k in range(FOLDS):
             own = folds == k
             if own.any():
-                b, w, c = lasso_logistic(x.rows(~own), y[~own], PENALTY, before[~own])
+                b, w, c = lasso_logistic(x.rows(~own), y[~own], PENALTY, before[~own], STEPS)
                 out[own] = np.clip(b + x.rows(own).times(w) + before[own] @ c, -10, 10)
         before = np.column_stack([before, out])
-    return models
+        cutoffs.append(_cutoff(sigmoid(out), y))
+    return models, cutoffs
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], severe_of: str | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
@@ -139,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], severe_of:
         severe = own & (amount > np.median(amount[own])) if own.any() else own
         y, names = np.column_stack([y, severe]), [*names, f"severe_{severe_of}"]
     folds = (mix(ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    return Chain(names, slot, fit(x, y, folds))
+    return Chain(names, slot, *fit(x, y, folds))
 
 
 def probabilities(docs: DataFrame, chain: Chain) -> DataFrame:
