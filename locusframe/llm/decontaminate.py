@@ -168,8 +168,9 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similari
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, similarity, first_word, n_words.
 
-    One row for each document row and item with a window of similarity ``threshold`` or more,
-    of which the most similar (then the first) is given; words are lower-cased (ASCII) runs of
+    One row for each document row and item with a window of similarity ``threshold`` or more;
+    of the windows along the places that the fingerprints point to, the most similar (then the
+    first) is given. A window that would reach over the text's ends is cut there; words are lower-cased (ASCII) runs of
     letters and digits. Items of fewer than five words are not looked for; null texts hold
     nothing. The benchmark is a query set: it goes to the tasks in blocks of bounded size, and
     each block is held against all documents.

@@ -169,7 +169,7 @@ def frames(source, chunk: int = 1 << 20) -> Iterator[bytes]:
             yield b"".join(parts)
             left = engine.unused_data
             engine, parts = decompressor.decompressobj(), []
-    if any(parts):
+    if parts:
         raise ValueError("the archive is cut off")
 
 
