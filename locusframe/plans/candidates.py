@@ -133,7 +133,7 @@ def genotyped(candidates: DataFrame, reads: DataFrame, options: Reading) -> Data
     """Add allele counts and the genotype (struct of call, quality and likelihoods).
 
     Reads clipped at a junction speak for the insertion; reads over the whole site with some
-    bases to spare at both sides speak against it.
+    bases to spare at both sides speak against it, once for each junction.
     """
     from ..functions.sequences import soft_clips
 
@@ -149,4 +149,5 @@ def genotyped(candidates: DataFrame, reads: DataFrame, options: Reading) -> Data
     counts = pairs.groupBy("s_contig", "s_cluster").agg(F.count_if(no(alt_left)).alias("alt_left"), F.count_if(no(alt_right)).alias("alt_right"), F.count_if(spans & ~no(alt_left) & ~no(alt_right)).alias("ref_reads"))
     joined = candidates.join(counts, (F.col("contig") == F.col("s_contig")) & (F.col("cluster_start") == F.col("s_cluster")), "left").drop("s_contig", "s_cluster").na.fill(0, ["alt_left", "alt_right", "ref_reads"])
     joined = joined.withColumn("alt_reads", F.col("alt_left") + F.col("alt_right")).withColumn("junctions", F.greatest(F.lit(1), F.col("left_junction").isNotNull().cast("int") + F.col("right_junction").isNotNull().cast("int")))
+    joined = joined.withColumn("ref_reads", F.col("ref_reads") * F.col("junctions"))
     return joined.withColumn("genotype", sc.genotype(F.col("alt_reads"), F.col("ref_reads"), F.col("junctions"), F.col("passes_before_quality"), F.col("depth")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
+from ..storage import staged
 from . import candidates as ca
 from . import extract, regions
 
@@ -20,12 +21,12 @@ def scan(reads: DataFrame, contigs: DataFrame, probes: DataFrame, options: Optio
     options = options or Options()
     targets = regions.restrict(regions.scan_regions(probes, contigs, options.padding), contigs, options.region)
     found, _, _ = extract.signals(reads, targets, options.reading)
-    rows = ca.clustered(found, options.calling.window)
-    kept = ca.profiles(rows, options.calling).where(F.col("support") >= options.calling.min_support)
+    rows = staged(ca.clustered(staged(found, "signals"), options.calling.window), "clustered")
+    kept = staged(ca.profiles(rows, options.calling).where(F.col("support") >= options.calling.min_support), "candidates")
     ranked = probes.join(F.broadcast(contigs.select(F.col("rank"), F.col("name").alias("_name"))), F.col("contig") == F.col("_name")).select(F.col("rank").alias("contig"), "start", "end")
     edges = ca.at_probe_edges(rows, ranked, options.calling.probe_edge_tolerance)
     deep = ca.with_depth(kept, reads, options.reading).join(edges, ca.KEYS, "left").na.fill(False, ["only_edges"])
-    rated = ca.judged(deep, options.calling)
+    rated = staged(ca.judged(deep, options.calling), "judged")
     if not options.calling.keep_filtered:
         rated = rated.where(F.size("filters") == 0)
     named = F.broadcast(contigs.select(F.col("rank").alias("contig"), F.col("name").alias("contig_name")))

@@ -144,13 +144,13 @@ def chain(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one row before it is split into its chains.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     records = whole.select(F.explode(F.split(F.regexp_replace("value", "(?m)^#.*$", ""), "(?m)^chain ")).alias("value")).where(F.col("value").rlike("[0-9]"))
     lines = F.split(F.trim("value"), r"\n")
-    h = F.split(lines[0], r"\s+")
-    body = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), lambda x: x.rlike("^[0-9]"))
+    h = F.split(F.get(lines, F.lit(0)), r"\s+")
+    body = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]"))
     parts = F.transform(body, lambda x: F.transform(F.split(x, r"\s+"), lambda y: y.cast("long")))
-    start = F.struct(h[4].cast("long").alias("t"), h[9].cast("long").alias("q"), F.array().cast("array<struct<s:bigint,e:bigint,q_start:bigint>>").alias("out"))
+    start = F.struct(F.get(h, F.lit(4)).cast("long").alias("t"), F.get(h, F.lit(9)).cast("long").alias("q"), F.array().cast("array<struct<s:bigint,e:bigint,q_start:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         size, dt, dq = F.get(x, F.lit(0)), F.coalesce(F.get(x, F.lit(1)), F.lit(0)), F.coalesce(F.get(x, F.lit(2)), F.lit(0))
@@ -158,7 +158,7 @@ def chain(spark: SparkSession, path: str) -> DataFrame:
         return F.struct((acc["t"] + size + dt).alias("t"), (acc["q"] + size + dq).alias("q"), F.array_append(acc["out"], block).alias("out"))
 
     blocks = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    named = records.select(h[1].alias("source"), h[0].cast("long").alias("score"), h[11].cast("long").alias("chain"), h[6].alias("q_contig"), h[7].cast("long").alias("q_size"), h[8].alias("strand"), F.explode(blocks).alias("b"))
+    named = records.select(F.get(h, F.lit(1)).alias("source"), F.get(h, F.lit(0)).cast("long").alias("score"), F.get(h, F.lit(11)).cast("long").alias("chain"), F.get(h, F.lit(6)).alias("q_contig"), F.get(h, F.lit(7)).cast("long").alias("q_size"), F.get(h, F.lit(8)).alias("strand"), F.explode(blocks).alias("b"))
     return named.select("source", "b.s", "b.e", "score", "chain", "q_contig", "q_size", "strand", "b.q_start")
 
 
