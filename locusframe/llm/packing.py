@@ -14,6 +14,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,31 +23,63 @@ from pyspark.sql import functions as F
 from .runtime import small_batches
 
 END_ID = (0).to_bytes(4, "little")
-MEMO_WORDS = 300_000
+#: Pre-tokens, and chunks between spaces, that a worker remembers, at about 250 bytes each.
+MEMO = 600_000
+
+
+def _letters() -> dict[int, int]:
+    """Characters that stand for bytes in byte-level BPE: printable ones for themselves, the others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, from the tokenizer's model."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokens, self.letters = Tokenizer.from_file(path).model.tokenize, _letters()
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        self[part] = value = np.array([t.id for t in self.tokens(spelled)], "<u4").tobytes()
+        return value
 
 
 class _Encoder(dict):
-    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, remembered up to a bound."""
+    """Ids of what stands between two spaces, with the space before it; both memories have a bound.
+
+    None for a chunk that is empty or ends in white space: only then do pre-tokens reach over
+    the next space.
+    """
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        self.parts = _Parts(path)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        self[part] = value = b"".join(i.to_bytes(4, "little") for i in ids)
+    def __missing__(self, chunk: str) -> bytes | None:
+        self[chunk] = value = None if not chunk or chunk[-1].isspace() else self._whole(f" {chunk}")
         return value
 
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> bytes:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        return b"".join(map(self.__getitem__, self.parts(text)))
+        for memory in (self, self.parts):
+            if len(memory) > MEMO:
+                memory.clear()
+        first, *rest = text.split(" ")
+        known = list(map(self.__getitem__, rest))
+        if first[-1:].isspace() or None in known:
+            return self._whole(text)
+        return self._whole(first) + b"".join(known)
 
 
 @lru_cache(1)
