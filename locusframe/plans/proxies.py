@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..evaluation import metrics
+from ..functions import alignment as al
 from ..functions import scores as sc
 from ..functions import sequences as sq
 from ..operators import intervals as iv
@@ -423,6 +424,19 @@ def seed_band(spark, sf_dir):
     return po.densest_band(_seeds(spark, sf_dir), ["doc_id", "item_id"], "diagonal")
 
 
+@query()
+def local_alignment(spark, sf_dir):
+    """Each document's sequence aligned with that of the item whose band of seeds is densest."""
+    bands = po.densest_band(_seeds(spark, sf_dir), ["doc_id", "item_id"], "diagonal")
+    best = po.top_rows(bands, ["doc_id"], [F.desc("seeds"), F.asc("item_id")], 1)
+    sides = []
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        text = F.coalesce(F.col("text"), F.lit(""))
+        sides.append(table(spark, sf_dir, name).select(key, F.translate(F.concat(*[F.md5(F.concat(text, F.lit(str(i)))) for i in range(3)]), *_LETTERS).alias(f"{key}_seq")))
+    pairs = best.select("doc_id", "item_id", "seeds").join(sides[0], "doc_id").join(sides[1], "item_id")
+    return pairs.withColumn("a", al.local_alignment(F.col("doc_id_seq"), F.col("item_id_seq"))).select("doc_id", "item_id", "seeds", "a.*")
+
+
 @query("""with h as (select p_brand, l_orderkey, p_type, max(floor(l_extendedprice)::bigint) as s from lineitem join part on l_partkey = p_partkey group by all),
 t as (select p_brand, p_type, sum(s)::bigint as total, count(*) as voters from h group by all)
 select p_brand, p_type, total, voters from t qualify row_number() over (partition by p_brand order by total desc, p_type) = 1""")
