@@ -1,0 +1 @@
+"""Mobile element insertions on Spark, and operators for training data."""

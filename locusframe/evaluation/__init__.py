@@ -1,0 +1 @@
+"""Evaluation of calls against a truth."""

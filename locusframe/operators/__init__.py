@@ -1,0 +1 @@
+"""Operators over positions, intervals and votes."""

@@ -1,0 +1 @@
+"""Reports of candidates."""

@@ -1,0 +1 @@
+"""Tables from files."""

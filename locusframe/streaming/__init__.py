@@ -1,0 +1 @@
+"""Structured Streaming: nothing here yet, all plans are batch plans."""
