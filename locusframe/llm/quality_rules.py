@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import small_batches
+from .runtime import small_batches, written
 from .textscan import RAW_WORD, SHINGLE_WORDS, Hasher, Slice, mix, ranges, slices, windows, words
 
 SYMBOLS = "#*$%&|<>"
@@ -25,6 +25,9 @@ GAMMA = 1.05
 #: Thresholds: quartile plus this many interquartile ranges, but never inside the given limit.
 SPREAD = 3.0
 MIN_GROUP = 50
+#: Thresholds of up to so many groups (about 100 bytes each) are broadcast; beyond, the join is salted.
+BROADCAST_GROUPS = 100_000
+SALTS = 64
 
 
 def _table(flags: str) -> np.ndarray:
@@ -175,9 +178,15 @@ def judged(stats: DataFrame) -> DataFrame:
     A text without words fails the base rule. Null languages and sources are groups of their
     own; a limit on a value of exactly the threshold keeps the document.
     """
-    limits = thresholds(stats).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    limits = written(thresholds(stats).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "thresholds")
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    else:  # each group's thresholds in SALTS copies, so that a large source is dealt to as many tasks
+        stats = stats.withColumn("_salt", F.pmod(F.xxhash64("q_n_chars", "q_word_chars", "q_n_words"), F.lit(SALTS)))
+        limits = limits.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("_salt") == F.col("_copy"))
     base = (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
     broken = [F.when(F.expr(f"({value}) {'>' if side == 'high' else '<'} t_{name}"), F.lit(name)) for name, value, side, _ in RULES]
     named = stats.join(limits, on, "left").withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken)))
-    return named.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lang", "_source", *[f"t_{r[0]}" for r in RULES])
+    return named.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lang", "_source", "_salt", "_copy", *[f"t_{r[0]}" for r in RULES])

@@ -57,6 +57,14 @@ def test_sketches_merge(spark):
     assert told == pytest.approx(exact, rel=0.05)
 
 
+def test_salted_join_agrees(odd, monkeypatch):
+    stats = quality_rules.statistics(odd, ("doc_id", "lang", "source"))
+    verdicts = lambda: Counter((r.doc_id, r.kept, tuple(r.failed)) for r in quality_rules.judged(stats).collect())
+    plain = verdicts()
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    assert verdicts() == plain
+
+
 def test_rules_on_odd_rows(odd, no_rows):
     got = quality_rules.judged(quality_rules.statistics(odd, ("doc_id", "lang", "source"))).collect()
     assert len(got) == odd.count() and all(not r.kept for r in got if r.q_n_words < 10)
