@@ -183,7 +183,7 @@ def judged(stats: DataFrame) -> DataFrame:
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     else:  # each group's thresholds in SALTS copies, so that a large source is dealt to as many tasks
-        stats = stats.withColumn("_salt", F.pmod(F.xxhash64("q_n_chars", "q_word_chars", "q_n_words"), F.lit(SALTS)))
+        stats = stats.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in stats.columns if c != "text"]), F.lit(SALTS)))
         limits = limits.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = on & (F.col("_salt") == F.col("_copy"))
     base = (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
