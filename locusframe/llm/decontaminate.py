@@ -26,7 +26,10 @@ from .textscan import SHINGLE_WORDS, Slice, slices, windows, words
 RADIUS = 11
 BLOCKS = 4
 BITS = 64
-#: An item is represented by windows of at least this share of its length.
+#: A class's window is this share of the similarity times its shortest item: what is left of an
+#: item that is cut off within the similarity holds its first or its last window whole.
+BASE_SHARE = 0.975
+#: An item is represented by windows of at least this share of the similarity times its length.
 CLASS_SHARE = 0.75
 #: Items of the benchmark that are held by a task at once.
 ITEMS_AT_ONCE = 20_000
@@ -65,7 +68,7 @@ def _prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 class Index:
     """The benchmark items by size class, with their fingerprints in a multi-index."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], threshold: float = 0.8):
         self.items: list[tuple[int, int, dict[int, int]]] = []
         by_class: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         hashes = []
@@ -80,8 +83,8 @@ class Index:
         base = None
         for i in sorted(range(len(self.items)), key=lambda i: self.items[i][1]):
             pairs = self.items[i][1] - 1
-            if base is None or base < CLASS_SHARE * pairs:
-                base = pairs
+            if base is None or base < CLASS_SHARE * threshold * pairs:
+                base = max(1, int(BASE_SHARE * threshold * pairs))
             for offset in {0, pairs - base}:
                 by_class[base].append((self._print(hashes[i], offset, base), i, offset))
         for base, rows in sorted(by_class.items()):
@@ -142,9 +145,9 @@ class Index:
                 text = int(found.text[w])
                 start = max(w - offset, int(begin[text]))
                 end = min(w - offset + length, int(begin[text + 1]))
-                if (start, i) in tried:
+                if (start, end, i) in tried:
                     continue
-                tried.add((start, i))
+                tried.add((start, end, i))
                 similarity = _weighted_jaccard(shingles[start : max(start, end - SHINGLE_WORDS + 1)], weights)
                 if similarity >= threshold and (similarity, -start) > (lambda b: (b[0], -b[1]))(best.get((text, item_id), (0.0, 0, 0))):
                     best[text, item_id] = (similarity, start, end - start)
@@ -188,7 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
         def run(batches: Iterator[pa.RecordBatch], index=index, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             if token not in _indexes:
                 _indexes.clear()
-                _indexes[token] = Index(*index.value)
+                _indexes[token] = Index(*index.value, threshold)
             searcher = _indexes[token]
             for batch in batches:
                 ids = batch["doc_id"]

@@ -204,6 +204,32 @@ def test_leaks_as_brute_force(spark, odd_rows):
     assert kept == {i for i, _ in docs} - {i for i, _ in expected}
 
 
+def leaks_of(docs, items):
+    """What an index finds in texts, without Spark: {(document, item): similarity}."""
+    import pyarrow as pa
+
+    index = decontaminate.Index([i for i, _ in items], [t for _, t in items])
+    found = {}
+    for part in slices(pa.array([t for _, t in docs], pa.string()), decontaminate.SLICE):
+        found |= {(docs[k][0], item): s for k, item, s, _, _ in index.search(part, 0.8)}
+    return found
+
+
+def test_items_cut_off_at_the_ends_of_texts():
+    rng = random.Random(23)
+    docs, items, expected = [], [], {}
+    for n in (5, 9, 16, 25, 38, 50, 59, 120):  # nearly each a size class of one length, so its own shortest item
+        item = sentence(rng, n, 3000).split()
+        items.append((n, " ".join(item)))
+        for cut in sorted({0, 1, (n - 4) // 10, (n - 4) // 5}):
+            before, after = sentence(rng, 40, 3000), sentence(rng, 40, 3000)
+            left, right = " ".join(item[cut:]), " ".join(item[: n - cut])
+            for text in (left, right, f"{left} {after}", f"{before} {right}", f"{before} {left} {after}", f"{before} {right} {after}"):
+                docs.append((len(docs), text))
+                expected |= brute_leaks(docs[-1:], items[-1:])
+    assert leaks_of(docs, items).keys() == expected.keys() and len(expected) > 120
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([1], [sentence(random.Random(1), 40)])
