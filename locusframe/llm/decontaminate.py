@@ -4,8 +4,11 @@ Benchmark items are grouped into size classes. Each text is read through windows
 class's size; a window's 64-bit SimHash over its word pairs is looked up in a multi-index of
 the items' fingerprints, which by the pigeonhole principle holds all items within the Hamming
 radius: the fingerprint is cut into blocks, and two fingerprints within the radius differ in
-some block by at most radius // blocks bits. Candidates are verified by the exact weighted
-Jaccard similarity of five-word shingles (each shingle weighs as often as it occurs).
+some block by at most radius // blocks bits. A similarity doesn't bound the distance of two
+fingerprints, so each item also has anchors: its rarest shingles that weigh together more than
+may be missing at the similarity, so a window without any of them is below it. Pairs of a text
+and an item that fingerprints or anchors point to are verified by the exact weighted Jaccard
+similarity of five-word shingles (each shingle weighs as often as it occurs) of all windows.
 """
 
 from __future__ import annotations
@@ -69,15 +72,14 @@ class Index:
     """The benchmark items by size class, with their fingerprints in a multi-index."""
 
     def __init__(self, ids: list[int], texts: list[str | None], threshold: float = 0.8):
-        self.items: list[tuple[int, int, dict[int, int]]] = []
+        self.items: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         by_class: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         hashes = []
         for item_id, text in zip(ids, texts, strict=True):
             found = [words(p, plain=True).hash for p in slices(pa.array([text], pa.string()), 1 << 62)]
             h = found[0] if found else np.zeros(0, np.uint64)
             if len(h) >= SHINGLE_WORDS:
-                shingles, n = np.unique(windows_all(h, SHINGLE_WORDS), return_counts=True)
-                self.items.append((item_id, len(h), dict(zip(shingles.tolist(), n.tolist(), strict=True))))
+                self.items.append((item_id, len(h), *np.unique(windows_all(h, SHINGLE_WORDS), return_counts=True)))
                 hashes.append(h)
         self.classes = []
         base = None
@@ -98,12 +100,39 @@ class Index:
                 bounds = np.searchsorted(value[order], np.arange((1 << _BLOCK_BITS) + 1))
                 tables.append((bounds.astype(np.int32), entry[order].astype(np.int32)))
             self.classes.append((base, prints, [(r[1], r[2]) for r in rows], tables))
+        self._anchor(threshold)
         self.counter = next(k for k in (np.uint8, np.uint16, np.uint32) if base is None or base <= np.iinfo(k).max)
 
     @staticmethod
     def _print(hashes: np.ndarray, offset: int, size: int) -> int:
         return int(_prints(_pair_bits(hashes, np.uint32), np.array([offset]), size)[0])
 
+    def _anchor(self, threshold: float) -> None:
+        """Sorted shingles of all items, and for each the items that it is an anchor of."""
+        self.shingles, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(i[2] for i in self.items)]), return_counts=True)
+        owners, slots = [], []
+        for i, (_, length, known, weights) in enumerate(self.items):
+            at = np.searchsorted(self.shingles, known)
+            rarest = np.argsort(held[at], kind="stable")
+            total = length - SHINGLE_WORDS + 1
+            before = np.cumsum(weights[rarest]) - weights[rarest]
+            chosen = at[rarest[total - before >= threshold * total - 1e-9]]
+            slots.append(chosen)
+            owners.append(np.full(len(chosen), i))
+        slot, owner = np.concatenate([np.zeros(0, np.int64), *slots]), np.concatenate([np.zeros(0, np.int64), *owners])
+        order = np.argsort(slot, kind="stable")
+        self.anchors, self.bounds = owner[order], np.searchsorted(slot[order], np.arange(len(self.shingles) + 1))
+        self.shift = np.uint64(64 - min(24, max(12, len(self.shingles).bit_length() + 3)))
+        self.some = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.some[self.shingles >> self.shift] = True
+
+    def _known(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles that some item has, and their numbers among the items' shingles."""
+        at = np.flatnonzero(self.some[shingles >> self.shift])
+        slot = np.searchsorted(self.shingles, shingles[at])
+        same = self.shingles[np.minimum(slot, len(self.shingles) - 1)] == shingles[at] if len(self.shingles) else np.zeros(0, bool)
+        return at[same], slot[same]
+
     def near(self, prints: np.ndarray, known: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of a window and an entry whose fingerprints differ in at most RADIUS bits."""
         at, entries = [], []
@@ -130,7 +159,13 @@ class Index:
         sums = _pair_bits(found.hash, self.counter)
         shingles = windows_all(found.hash, SHINGLE_WORDS)
         begin = np.searchsorted(found.text, np.arange(len(part.bounds)))
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        at, slot = self._known(shingles)
+        inside = found.text[at] == found.text[at + SHINGLE_WORDS - 1]
+        at, slot = at[inside], slot[inside]
+        texts = found.text[at]
+        n = self.bounds[slot + 1] - self.bounds[slot]
+        anchor = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.bounds[slot], n)
+        pairs = [np.repeat(texts, n).astype(np.int64) << 32 | self.anchors[anchor]]
         for base, known, places, tables in self.classes:
             if n_words <= base:
                 break
@@ -138,28 +173,44 @@ class Index:
             if not len(first):
                 continue
             window, entry = self.near(_prints(sums, first, base), known, tables)
-            tried = set()
-            for w, e in zip(first[window].tolist(), entry.tolist(), strict=True):
-                i, offset = places[e]
-                item_id, length, weights = self.items[i]
-                text = int(found.text[w])
-                start = max(w - offset, int(begin[text]))
-                end = min(w - offset + length, int(begin[text + 1]))
-                if (start, end, i) in tried:
-                    continue
-                tried.add((start, end, i))
-                similarity = _weighted_jaccard(shingles[start : max(start, end - SHINGLE_WORDS + 1)], weights)
-                if similarity >= threshold and (similarity, -start) > (lambda b: (b[0], -b[1]))(best.get((text, item_id), (0.0, 0, 0))):
-                    best[text, item_id] = (similarity, start, end - start)
-        for (text, item_id), (similarity, start, length) in best.items():
-            yield part.first + text, item_id, similarity, start - int(begin[text]), length
-
-
-def _weighted_jaccard(shingles: np.ndarray, weights: dict[int, int]) -> float:
-    """Sum of the smaller over sum of the larger weights."""
-    own, n = np.unique(shingles, return_counts=True)
-    shared = sum(min(k, weights.get(h, 0)) for h, k in zip(own.tolist(), n.tolist(), strict=True))
-    return shared / (int(n.sum()) + sum(weights.values()) - shared)
+            pairs.append(found.text[first[window]].astype(np.int64) << 32 | np.array([i for i, _ in places])[entry])
+        for pair in np.unique(np.concatenate(pairs)).tolist():
+            text, i = pair >> 32, pair & 0xFFFFFFFF
+            item_id, length, own, weights = self.items[i]
+            low, high = np.searchsorted(texts, [text, text + 1])
+            total = int(begin[text + 1] - begin[text])
+            best = _best_window(at[low:high] - begin[text], shingles[at[low:high]], total, length, own, weights)
+            if best and best[0] >= threshold:
+                yield part.first + text, item_id, *best
+
+
+def _best_window(at: np.ndarray, hashes: np.ndarray, n_words: int, length: int, own: np.ndarray, weights: np.ndarray) -> tuple[float, int, int] | None:
+    """Weighted Jaccard similarity, first word and number of words of the most similar (then first) window of a text.
+
+    ``at`` and ``hashes`` are shingles of the text, among them all of the item's (``own``, with
+    their ``weights``). Windows have the item's length and are cut at the text's ends.
+    """
+    slot = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+    shared = own[slot] == hashes
+    at, slot = at[shared], slot[shared]
+    if not len(at):
+        return None
+    in_item, in_text = length - SHINGLE_WORDS + 1, n_words - SHINGLE_WORDS + 1
+    order = np.argsort(slot, kind="stable")
+    by_slot, place = slot[order], at[order]
+    # An occurrence counts in windows that hold it, but not as many earlier ones as the item has.
+    earlier = np.arange(len(place)) - weights[by_slot]
+    full = (earlier >= 0) & (by_slot[earlier] == by_slot)
+    last = np.sort(place)
+    first = np.sort(np.where(full, np.maximum(place[earlier] + 1, place - in_item + 1), place - in_item + 1))
+    # The count is constant between these starts, and the window's size monotonous between the others.
+    starts = np.concatenate([first - 1, first, last, last + 1, [0, in_text - in_item]])
+    starts = np.unique(np.clip(starts, 1 - in_item, in_text - 1))
+    both = np.searchsorted(first, starts, "right") - np.searchsorted(last, starts, "left")
+    begin, end = np.maximum(starts, 0), np.minimum(starts + in_item, in_text)
+    similarity = both / (end - begin + in_item - both)
+    k = int(similarity.argmax())
+    return float(similarity[k]), int(begin[k]), int(end[k] - begin[k] + SHINGLE_WORDS - 1)
 
 
 #: The index that a Python worker built last, kept for its next tasks.
@@ -172,8 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     """Benchmark items found in documents: doc_id, item_id, similarity, first_word, n_words.
 
     One row for each document row and item with a window of similarity ``threshold`` or more;
-    of the windows along the places that the fingerprints point to, the most similar (then the
-    first) is given. A window that would reach over the text's ends is cut there; words are lower-cased (ASCII) runs of
+    the most similar (then the first) window is given. A window that would reach over the text's ends is cut there; words are lower-cased (ASCII) runs of
     letters and digits. Items of fewer than five words are not looked for; null texts hold
     nothing. The benchmark is a query set: it goes to the tasks in blocks of bounded size, and
     each block is held against all documents.

@@ -230,6 +230,25 @@ def test_items_cut_off_at_the_ends_of_texts():
     assert leaks_of(docs, items).keys() == expected.keys() and len(expected) > 120
 
 
+def test_edits_just_within_the_similarity():
+    rng = random.Random(41)
+    docs, items, expected = [], [], {}
+    for n in (25, 50, 59, 120, 200):
+        for vocabulary in (2, 3000):  # two words: shingles repeat
+            for _ in range(5):
+                item = sentence(rng, n, vocabulary).split()
+                items.append((len(items), " ".join(item)))
+                size = max(1, (n - 4) // 9 - 4)
+                for at in (0, rng.randrange(n - size), n // 2 - size, n - size):
+                    for lost in (0, size):
+                        text = " ".join(item[:at] + sentence(rng, size, 3000).split() + item[at + lost :])
+                        docs.append((len(docs), f"{sentence(rng, 30, 3000)} {text} {sentence(rng, 30, 3000)}"))
+                        expected |= brute_leaks(docs[-1:], items[-1:])
+    own = {i: k // 8 for k, (i, _) in enumerate(docs)}
+    got = {k: s for k, s in leaks_of(docs, items).items() if own[k[0]] == k[1]}
+    assert got == expected and len(expected) > 250
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([1], [sentence(random.Random(1), 40)])
