@@ -11,8 +11,10 @@ padding either.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .runtime import small_batches
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = (0).to_bytes(4, "little")
 #: Pre-tokens, and chunks between spaces, that a worker remembers, at about 250 bytes each.
 MEMO = 600_000
@@ -37,11 +42,9 @@ def _letters() -> dict[int, int]:
 class _Parts(dict):
     """Ids of pre-tokens as little-endian unsigned 32-bit bytes, from the tokenizer's model."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokens, self.letters = Tokenizer.from_file(path).model.tokenize, _letters()
+        self.tokens, self.letters = tokenizer.model.tokenize, _letters()
 
     def __missing__(self, part: str) -> bytes:
         spelled = part.encode().decode("latin-1").translate(self.letters)
@@ -53,15 +56,19 @@ class _Encoder(dict):
     """Ids of what stands between two spaces, with the space before it; both memories have a bound.
 
     None for a chunk that is empty or ends in white space: only then do pre-tokens reach over
-    the next space.
+    the next space. A text that holds an added token goes to the tokenizer's own encode whole.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
+        from tokenizers import Tokenizer
 
         super().__init__()
-        self.parts = _Parts(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.parts, self.tokenizer = _Parts(tokenizer), tokenizer
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)").search
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, chunk: str) -> bytes | None:
@@ -72,6 +79,8 @@ class _Encoder(dict):
         return b"".join(map(self.parts.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> bytes:
+        if self.added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for memory in (self, self.parts):
             if len(memory) > MEMO:
                 memory.clear()

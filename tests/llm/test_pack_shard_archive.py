@@ -43,6 +43,19 @@ def test_packing_is_whole(odd, odd_rows):
         assert total <= 256 and total & (total - 1) == 0
 
 
+def test_packing_of_added_tokens(spark):
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    texts = ["a b<|endoftext|> c", "<|endoftext|>", "<|endoftext|><|endoftext|> \n  x", "one  <|endoftext|>two <|endoftext", "a <|END|> <| endoftext |>", " plain text,  with no such token ", "<|endoftext|> and words " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_doc = defaultdict(list)
+    for p in packing.pack(df, BYTE_BPE, 256).collect():
+        by_doc[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4").tolist(), p.doc_tokens))
+    for doc, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert [x for _, part, _ in sorted(by_doc[doc]) for x in part] == ids
+        assert all(n == len(ids) for _, _, n in by_doc[doc])
+
+
 def test_packing_nothing(no_rows):
     assert packing.pack(no_rows, BYTE_BPE).count() == 0
     with pytest.raises(ValueError, match="power of two"):
