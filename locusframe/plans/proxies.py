@@ -526,12 +526,8 @@ def vcf_info(spark, sf_dir):
 @query()
 def one_to_one_match(spark, sf_dir):
     """Clicks and purchases of each user within two hours, matched one to one by distance."""
-    signals = events(spark, sf_dir)
-    clicks = signals.where("event_type = 'click'").select(F.col("event_id").alias("click"), "user_id", "pos")
-    buys = signals.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("u"), F.col("pos").alias("edge"))
-    reach = (F.col("pos") - 7200, F.col("pos") + 7201)
-    pairs = iv.overlap_join(clicks, buys, [("user_id", "u")], reach, (F.col("edge"), F.col("edge") + 1), 14_401)
-    return metrics.greedy_match(pairs.withColumn("distance", F.abs(F.col("pos") - F.col("edge"))), ["user_id"], "click", "purchase", "distance")
+    signals = events(spark, sf_dir).where("event_type in ('click', 'purchase')")
+    return metrics.match_by_position(signals.withColumn("is_click", F.col("event_type") == "click"), ["user_id"], "pos", "is_click", "event_id", 7200, "click", "purchase")
 
 
 @query()

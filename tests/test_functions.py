@@ -1,5 +1,7 @@
 """Column functions and operators on small literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from locusframe.operators import intervals as iv
 from locusframe.operators import positions as po
 from locusframe.operators import statistics as st
 from locusframe.options import Calling, Reading, parse_region
+from locusframe.plans import proxies
 
 
 def one(spark, value, column):
@@ -121,6 +124,26 @@ def test_greedy_match(spark):
     assert {(r.c, r.t) for r in got} == {(1018, 1030), (1012, 1000)} or {(r.c, r.t) for r in got} == {(1012, 1000), (1018, 1030)}
 
 
+def test_matches_of_points_without_their_pairs(spark):
+    rng = random.Random(4)
+    for span in (5, 40, 300):
+        for _ in range(100):
+            points = [(rng.randrange(span), rng.random() < 0.5, i) for i in rng.sample(range(1000), rng.randrange(40))]
+            pairs = sorted((abs(p - q), i, j) for p, a, i in points if a for q, b, j in points if not b and abs(p - q) <= 9)
+            used, expected = set(), []
+            for d, i, j in pairs:
+                if not used & {i, j}:
+                    used |= {i, j}
+                    expected.append((d, i, j))
+            assert sorted(metrics._nearest_first(points, 9)) == sorted(expected)
+    # A user whose points lie dense: 25 million pairs.
+    dense = spark.range(10_000).selectExpr("1 as user", "id % 100 as pos", "id % 200 < 100 as is_left", "id")
+    got = metrics.match_by_position(dense, ["user"], "pos", "is_left", "id", 7200, "l", "r")
+    assert got.agg(F.count("*"), F.sum("distance")).collect()[0][:] == (5000, 0)
+    plan = proxies.QUERIES["one_to_one_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "edge" not in plan and "_run" in plan
+
+
 def test_regions_and_options():
     assert parse_region("chr1") == ("chr1", None, None) and parse_region("chr1:1,001-2,000") == ("chr1", 1000, 2000)
     assert parse_region("HLA:01") == ("HLA:01", None, None)
