@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import bounded_batches
 from .textscan import SHINGLE_WORDS, Slice, slices, windows, words
 
 RADIUS = 11
@@ -229,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     each block is held against all documents.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     blocks = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
     places = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

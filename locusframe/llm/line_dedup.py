@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, written
+from .runtime import bounded_batches, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 _LINES = "h1 long, h2 long, doc_id long, text_key long, at binary"
@@ -92,7 +92,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct lines of each document, and for each line key its document count and first place."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     lines = written(keyed.mapInArrow(_lines, _LINES), "lines")
     # sorted by key, document and position; a frequent key is cut between documents into several partitions

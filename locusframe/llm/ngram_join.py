@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, written
+from .runtime import bounded_batches, written
 from .textscan import mix, shingle_sets, slices
 
 TREES = 32
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, trees: int = TREES,
     gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    bounded_batches(spark)
     depth = prefix_depth(threshold, trees, target=target)
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = written(thin.mapInArrow(_signed(trees, depth), "doc_id long, h1 long, h2 long, nodes array<long>"), "signatures")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import small_batches, written
+from .runtime import bounded_batches, written
 from .textscan import RAW_WORD, SHINGLE_WORDS, Hasher, Slice, mix, ranges, slices, windows, words
 
 SYMBOLS = "#*$%&|<>"
@@ -100,7 +100,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source", "text")) -> DataFrame:
     """The named columns of docs and q_... columns with each whole text's statistics (null: empty)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = list(dict.fromkeys([*keep, "text"]))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"q_{s} long" for s in _STATS)])

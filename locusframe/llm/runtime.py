@@ -7,17 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests in local mode) a temporary folder is made and set.
+    The session names it in ``spark.checkpoint.dir``. Where that is unset, a local session (as
+    in tests) gets a temporary folder of its own; on a cluster, where executors wouldn't see
+    it, that is an error.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     path = path or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -44,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts don't pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound rows and bytes of an Arrow batch, so that long texts don't pile up in a worker.
+
+    All operators set the same bounds, and leave lower ones as they are.
+    """
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(name).rstrip("b"))
+        if not 0 < now <= bound:
+            spark.conf.set(name, str(bound))

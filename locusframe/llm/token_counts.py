@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import bounded_batches
 
 #: Pre-tokens whose counts a worker remembers.
 MEMO = 300_000
@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: str, offset: int = 2) -> DataFrame
     ``vocabulary`` is a file of base64 pieces and ranks. Null and empty texts have no tokens;
     repeated rows are counted each for itself; further columns are ignored.
     """
-    small_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, split = _model(vocabulary, offset)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Sparse, lasso_logistic, sigmoid
-from .runtime import small_batches
+from .runtime import bounded_batches
 from .textscan import LOWER, Hasher, Slice, mix, slices, words
 
 #: The labelled rows a chain is fitted on at most: those with the least hash of doc_id.
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], severe_of:
     of them have (marks: features at least ten times as frequent in it as elsewhere). Rows
     with a null label or doc_id are not used; without rows all probabilities are near 1/2.
     """
-    small_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", *categories).na.drop()
     sample = usable.orderBy(F.xxhash64("doc_id"), *["doc_id", *categories]).limit(sample_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -169,7 +169,7 @@ def probabilities(docs: DataFrame, chain: Chain) -> DataFrame:
     scored each for itself; further columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import new_path, small_batches
+from .runtime import bounded_batches, new_path
 
 #: Fixed values of the formats: magic number of the skippable frame for a dictionary, and of WARC.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -116,7 +116,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) ->
 
     A null html is an empty payload. Tasks without pages write no archive.
     """
-    small_batches(pages.sparkSession, 200)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "refers_uri")), strict=True))

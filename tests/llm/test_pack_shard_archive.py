@@ -13,39 +13,70 @@ from locusframe.llm import packing, sharding, warc
 from locusframe.llm.queries import BYTE_BPE
 
 
-@pytest.mark.parametrize("n", [1, 2, 63, 64, 1023, 1024, 1025, 5000])
-def test_cuts_cover_a_document(n):
-    parts = list(packing.cuts(n, 1024))
-    assert [s for s, _ in parts] == [sum(length for _, length in parts[:k]) for k in range(len(parts))]
-    assert sum(length for _, length in parts) == n and all(length & (length - 1) == 0 for _, length in parts)
+def laid_out(rows):
+    """The pieces of each sequence in order, after a look at their offsets."""
+    sequences = defaultdict(list)
+    for doc, start, total, ids, sequence, offset in rows:
+        sequences[sequence].append((offset, doc, start, total, len(ids) // 4))
+    for parts in sequences.values():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(p[4] for p in parts[:k]) for k in range(len(parts))]
+    return sequences
+
+
+def test_bins_are_harmonic():
+    rng = np.random.default_rng(4)
+    bins, capacity, rows, sizes = packing.Bins(60, 1), 60, [], {}
+    for doc in range(3000):
+        sizes[doc] = int(rng.integers(1, 200))
+        rows += bins.put(doc, np.full(sizes[doc], doc, "<u4").tobytes())
+    early = laid_out(rows)
+    rows += bins.rest()
+    by_doc = defaultdict(list)
+    for doc, start, total, ids, _, _ in rows:
+        assert total == sizes[doc] and set(np.frombuffer(ids, "<u4")) == {doc}
+        by_doc[doc].append((start, len(ids) // 4))
+    for doc, parts in by_doc.items():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) == sizes[doc]
+    assert by_doc.keys() == sizes.keys()
+    uncut, classes = 0, set()
+    for parts in early.values():  # bins of a class hold that many whole remainders and a filling
+        assert sum(p[4] for p in parts) == capacity
+        if len(parts) == 1:
+            continue
+        fit = capacity // parts[0][4]
+        assert all(capacity // p[4] == fit and p[2] == p[3] - p[3] % capacity and p[4] == p[3] % capacity for p in parts[:fit])
+        uncut, classes = uncut + fit, classes | {fit}
+    assert {1, 2, 3, 4, 5, 6, 7} <= classes and uncut > 1800
+    lengths = [sum(p[4] for p in parts) for parts in laid_out(rows).values()]
+    assert all(n <= capacity for n in lengths) and sum(lengths) == sum(sizes.values())
+    assert all(n == capacity or n & (n - 1) == 0 for n in lengths)
 
 
 def test_packing_is_whole(odd, odd_rows):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     pieces = packing.pack(odd, BYTE_BPE, 256).collect()
     by_doc = defaultdict(list)
     for p in pieces:
-        by_doc[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+        by_doc[p.doc_id].append(p)
         assert p.length == len(p.ids) // 4
     copies = Counter(r[0] for r in odd_rows)
     for doc, text in {r[0]: r[1] for r in odd_rows}.items():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
-        expected = [(s, ids[s : s + n]) for s, n in packing.cuts(len(ids), 256)] * copies[doc]
-        assert sorted(by_doc[doc]) == sorted(expected)
-    fill = defaultdict(list)
-    for p in pieces:
-        fill[p.sequence_id].append((p.offset, p.length))
-    for parts in fill.values():
-        parts.sort()
-        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
-        total = sum(n for _, n in parts)
+        held = np.zeros(len(ids), int)
+        for p in by_doc[doc]:
+            assert np.frombuffer(p.ids, "<u4").tolist() == ids[p.start : p.start + p.length] and p.doc_tokens == len(ids)
+            held[p.start : p.start + p.length] += 1
+        assert (held == copies[doc]).all()
+    for parts in laid_out((p.doc_id, p.start, p.doc_tokens, p.ids, p.sequence_id, p.offset) for p in pieces).values():
+        total = sum(p[4] for p in parts)
         assert total <= 256 and total & (total - 1) == 0
 
 
 def test_packing_of_added_tokens(spark):
     tokenizer = Tokenizer.from_file(BYTE_BPE)
-    texts = ["a b<|endoftext|> c", "<|endoftext|>", "<|endoftext|><|endoftext|> \n  x", "one  <|endoftext|>two <|endoftext", "a <|END|> <| endoftext |>", " plain text,  with no such token ", "<|endoftext|> and words " * 400]
+    texts = ["a b<|endoftext|> c", "<|endoftext|>", "<|endoftext|><|endoftext|> \n  x", "one  <|endoftext|>two <|endoftext", "a <|END|> <| endoftext |>", " plain text,  with no such token ", "<|endoftext|> and words " * 400, "no\u00a0break\u3000 space \u00a0 ", "  two  \n\n three\t\t", "\x1c x \x85y", "it's 's don't  're", "\u200b \ufeff x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     by_doc = defaultdict(list)
     for p in packing.pack(df, BYTE_BPE, 256).collect():
