@@ -95,8 +95,8 @@ def line_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     lines = written(keyed.mapInArrow(_lines, _LINES), "lines")
-    # sorted by key, document and position; a frequent key is cut between documents into several partitions
-    dealt = lines.repartitionByRange("h1", "h2", "doc_id", "text_key").sortWithinPartitions("h1", "h2", "doc_id", "text_key")
+    # sorted by key, document and position; a frequent key is cut into several partitions, but only between documents
+    dealt = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_key")
     runs = dealt.mapInArrow(_runs, "h1 long, h2 long, n_docs long, first_doc long, first_text long, first_at long")
     first = F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "first_text", "first_at"))
     return lines, runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), first.alias("first"))
@@ -119,7 +119,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     A key found in ``min_docs`` documents or more loses its lines in all of them; with
     ``keep_first`` its first line (by document, then position) stays. Keys without a character
     count nowhere. Documents that lose nothing have no row. A null text has one empty line;
-    rows repeated with one doc_id count as one document; a null doc_id counts as one more.
+    rows of one doc_id count as one document, also where their texts differ; all rows without
+    a doc_id count as one more.
     """
     lines, counts = line_counts(docs)
     frequent = written(counts.where(F.col("n_docs") >= min_docs), "frequent-lines")
@@ -127,14 +128,15 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     if keep_first:
         mine = F.col("doc_id").eqNullSafe(F.col("first.first_doc")) & (F.col("text_key") == F.col("first.first_text"))
         hit = hit.withColumn("at", F.when(mine, F.expr("substring(at, 5)")).otherwise(F.col("at"))).where(F.length("at") > 0)
-    grouped = hit.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"))
+    # a text's keys have different positions, so the set has one entry for each key, also where rows are repeated
+    grouped = hit.groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("at"))
     return grouped.select("doc_id", "text_key", F.arrow_udf(_bitmaps, "binary")("at").alias("dropped"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, before, gone = [], [], []
-        for text, dropped in zip(batch["text"].to_pylist(), batch["dropped"].to_pylist(), strict=True):
+        for text, dropped in zip(batch["body"].to_pylist(), batch["dropped"].to_pylist(), strict=True):
             lines = _split(text)
             before.append(len(lines))
             if dropped is None:
@@ -145,25 +147,27 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stay = [line for i, line in enumerate(lines) if i >= len(bits) or not bits[i]]
             gone.append(len(lines) - len(stay))
             kept.append(b"\n".join(stay).decode())
-        rest = [batch[c] for c in batch.schema.names if c not in ("text", "dropped")]
-        names = [c for c in batch.schema.names if c not in ("text", "dropped")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+        names = [c for c in batch.schema.names if c not in ("body", "dropped")]
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(kept, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "body", "n_lines", "n_dropped"])
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Apply the bitmaps: the columns of docs with the text left over, n_lines (before) and n_dropped.
 
     The lines that stay keep their order and are joined by a newline; a null text stays null.
+    Columns of docs named n_lines or n_dropped are replaced, all others stay.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped", "dropped", "text_key")]
-    left = docs.select(*rest, "text", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_key"))
-    joined = left.join(bitmaps, F.col("_doc").eqNullSafe(bitmaps["doc_id"]) & (F.col("_key") == bitmaps["text_key"]), "left")
-    ready = joined.select(*[left[c] for c in rest], left["text"], "dropped")
+    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    inner = [F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]
+    left = docs.select(*inner, F.col("text").alias("body"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"))
+    marks = bitmaps.select(F.col("doc_id").alias("doc_marked"), "text_key", "dropped")
+    joined = left.join(marks, F.col("doc").eqNullSafe(F.col("doc_marked")) & (F.col("key") == F.col("text_key")), "left")
+    ready = joined.select(*[f"c{i}" for i in range(len(rest))], "body", "dropped")
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "text string, n_lines long, n_dropped long"])
-    return ready.mapInArrow(_apply, schema)
+    schema = ", ".join([*(f"c{i} {types[c]}" for i, c in enumerate(rest)), "body string, n_lines long, n_dropped long"])
+    return ready.mapInArrow(_apply, schema).toDF(*rest, "text", "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """Both steps: the documents without the lines that recur (see line_bitmaps)."""
+    """Both steps: the documents without the lines that recur (see line_bitmaps and drop_lines)."""
     return drop_lines(docs, line_bitmaps(docs, min_docs, keep_first))

@@ -28,3 +28,54 @@ select page_id, payload_bytes, p.payload_digest,
        case when first_page < page_id then first_page end as refers_to
 from p left join f on p.payload_digest = f.payload_digest and p.payload_bytes >= 100
 """
+
+_RULES = [("symbols", "n_symbols / greatest(n_words, 1)"), ("dup_lines", "n_dup_lines / greatest(n_lines, 1)"), ("repeats", "n_repeat_words / greatest(n_words, 1)"), ("upper", "n_upper / greatest(word_chars, 1)"), ("long_words", "word_chars / greatest(n_words, 1)"), ("short_words", "word_chars / greatest(n_words, 1)")]
+
+ORACLE_SQL["op6_quality_rules"] = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text from documents
+), w as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d
+), windows as (
+  select rid, k, count(*) over (partition by rid, array_to_string(words[k:k + 4], ' ')) as n
+  from (select rid, words, unnest(range(1, len(words) - 3)) as k from w where len(words) >= 5)
+), covered as (
+  select rid, count(distinct k + j) as n_repeat_words from windows, range(5) r(j) where n > 1 group by rid
+), lines as (
+  select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select rid, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid
+), stats as (
+  select rid, doc_id, lang, source, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(regexp_extract_all(text, '[A-Z]'))::bigint as n_upper
+  from w left join covered using (rid) left join lines using (rid)
+), cells as (
+  select rid, lang, source, rule, name, ceil(ln(value) / ln(1.01::double))::int as cell
+  from (select rid, lang, source, unnest([{", ".join(f"{{'rule': {i}, 'name': '{n}', 'value': {v.replace(' /', '::double /')}}}" for i, (n, v) in enumerate(_RULES))}], recursive := true) from stats) where value > 0
+), counted as (
+  select lang, source, rule, cell, count(*) as n from cells group by all
+), own as (
+  select lang, source, rule, max(total) as n, min(cell) filter (upto >= 0.25 * total) as low, min(cell) filter (upto >= 0.75 * total) as high
+  from (select *, sum(n) over (partition by lang, source, rule order by cell) as upto, sum(n) over (partition by lang, source, rule) as total from counted) group by lang, source, rule
+), by_lang as (
+  select lang, rule, max(total) as n, min(cell) filter (upto >= 0.25 * total) as low, min(cell) filter (upto >= 0.75 * total) as high
+  from (select *, sum(n) over (partition by lang, rule order by cell) as upto, sum(n) over (partition by lang, rule) as total from (select lang, rule, cell, sum(n) as n from counted group by all)) group by lang, rule
+), by_all as (
+  select rule, min(cell) filter (upto >= 0.25 * total) as low, min(cell) filter (upto >= 0.75 * total) as high
+  from (select *, sum(n) over (partition by rule order by cell) as upto, sum(n) over (partition by rule) as total from (select rule, cell, sum(n) as n from counted group by all)) group by rule
+), picked as (
+  select a.lang, a.source, a.rule,
+         case when a.n >= 50 then a.low when b.n >= 50 then b.low else c.low end as low,
+         case when a.n >= 50 then a.high when b.n >= 50 then b.high else c.high end as high,
+         greatest(case when a.n >= 50 then a.high - a.low end, case when b.n >= 50 then b.high - b.low else c.high - c.low end) as spread
+  from own a join by_lang b on a.lang is not distinct from b.lang and a.rule = b.rule join by_all c on a.rule = c.rule
+), broken as (
+  select rid, string_agg(name, ',' order by c.rule) as failed_rules
+  from cells c join picked p on c.lang is not distinct from p.lang and c.source is not distinct from p.source and c.rule = p.rule
+  where (c.rule < 5 and cell > high + 2.5 * spread) or (c.rule = 5 and cell < low - 2.5 * spread)
+  group by rid
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed_rules is null as kept, coalesce(failed_rules, '') as failed_rules
+from stats left join broken using (rid)
+"""

@@ -1,8 +1,9 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Statistics of each document are summed up in mergeable quantile sketches (histograms with
-logarithmic cells, as in DDSketch) for each language and source. Thresholds come from the
-sketches and are joined back to the documents.
+logarithmic cells, as in DDSketch) for each language and source. A threshold is a quartile of a
+sketch and so many times its spread beyond it; no rule has a fixed cutoff. Thresholds are
+joined back to the documents.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from .textscan import RAW_WORD, SHINGLE_WORDS, Hasher, Slice, mix, ranges, slice
 
 SYMBOLS = "#*$%&|<>"
 _STATS = ["n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper"]
-#: Relative width of a sketch's cells.
-GAMMA = 1.05
-#: Thresholds: quartile plus this many interquartile ranges, but never inside the given limit.
-SPREAD = 3.0
+#: Width of a sketch's cells, as a ratio of its bounds.
+GAMMA = 1.01
+#: Thresholds lie this many interquartile ranges (of logarithms) beyond a quartile.
+SPREAD = 2.5
+#: A group or language of fewer documents takes the quartiles of the next larger group.
 MIN_GROUP = 50
 #: Thresholds of up to so many groups (about 100 bytes each) are broadcast; beyond, the join is salted.
 BROADCAST_GROUPS = 100_000
@@ -90,103 +92,124 @@ def _repeats(keys: np.ndarray, all_of_them: bool) -> np.ndarray:
     return flags
 
 
+def _plain(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns as c0, c1, ...; language and source as g0 and g1; the text as body.
+
+    So no name of an input column can meet one of the names used here.
+    """
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    return docs.select(*columns, F.col("lang").alias("g0"), F.col("source").alias("g1"), F.col("text").alias("body"))
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [_statistics(p) for p in slices(batch["text"])]
+        parts = [_statistics(p) for p in slices(batch["body"])]
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(_STATS)
-        rest = [batch[c] for c in batch.schema.names]
-        yield pa.RecordBatch.from_arrays([*rest, *[pa.array(c.astype(np.int64)) for c in columns]], [*batch.schema.names, *[f"q_{s}" for s in _STATS]])
-
-
-def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source", "text")) -> DataFrame:
-    """The named columns of docs and q_... columns with each whole text's statistics (null: empty)."""
-    bounded_batches(docs.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = list(dict.fromkeys([*keep, "text"]))
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"q_{s} long" for s in _STATS)])
-    return docs.select(*names).mapInArrow(_measure, schema)
-
-
-#: Name, value, whether high or low values are bad, and the limit beyond which a threshold may lie.
-#: The limits keep a group of only clean documents from losing its tail.
-RULES: list[tuple[str, str, str, float]] = [
-    ("symbols", "q_n_symbols / greatest(q_n_words, 1)", "high", 0.10),
-    ("dup_lines", "q_n_dup_lines / greatest(q_n_lines, 1)", "high", 0.30),
-    ("repeats", "q_n_repeat_words / greatest(q_n_words, 1)", "high", 0.20),
-    ("upper", "q_n_upper / greatest(q_word_chars, 1)", "high", 0.40),
-    ("long_words", "q_word_chars / greatest(q_n_words, 1)", "high", 12.0),
-    ("short_words", "q_word_chars / greatest(q_n_words, 1)", "low", 2.0),
-]
+        names = [c for c in batch.schema.names if c != "body"]
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], *[pa.array(c.astype(np.int64)) for c in columns]], [*names, *[f"q_{s}" for s in _STATS]])
 
 
-def _cell(value: Column) -> Column:
-    """Number of the logarithmic cell that holds a value of 0 or more; 0 has the cell -1000."""
-    return F.when(value > 1e-6, F.ceil(F.log(value) / float(np.log(GAMMA)))).otherwise(F.lit(-1000)).cast("int")
+def _measured(plain: DataFrame) -> DataFrame:
+    """g0, g1, the c... columns, and q_... columns with each whole body's statistics (null: empty)."""
+    bounded_batches(plain.sparkSession)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields if f.name != "body"), *(f"q_{s} long" for s in _STATS)])
+    return plain.mapInArrow(_measure, schema)
+
+
+#: Name of a rule, its value, and whether high or low values are bad.
+RULES: list[tuple[str, str, str]] = [
+    ("symbols", "q_n_symbols / greatest(q_n_words, 1)", "high"),
+    ("dup_lines", "q_n_dup_lines / greatest(q_n_lines, 1)", "high"),
+    ("repeats", "q_n_repeat_words / greatest(q_n_words, 1)", "high"),
+    ("upper", "q_n_upper / greatest(q_word_chars, 1)", "high"),
+    ("long_words", "q_word_chars / greatest(q_n_words, 1)", "high"),
+    ("short_words", "q_word_chars / greatest(q_n_words, 1)", "low"),
+]
 
 
-def _value(cell: Column) -> Column:
-    """Middle of a cell, within (GAMMA - 1) / 2 of each of its values."""
-    return F.when(cell == -1000, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), cell.cast("double")) * (2 / (1 + GAMMA)))
+def _cell(value: Column) -> Column:
+    """Number of the logarithmic cell that holds a value; null for 0, which is in no cell."""
+    return F.when(value > 0, F.ceil(F.log(value) / float(np.log(GAMMA)))).cast("int")
 
 
-def sketches(stats: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """Quantile sketches: for each group and rule the number of documents in each cell. They merge by adding."""
-    cells = F.array(*[F.struct(F.lit(i).alias("rule"), _cell(F.expr(value)).alias("cell")) for i, (_, value, _, _) in enumerate(RULES)])
-    wide = stats.groupBy(*groups, cells.alias("cells")).agg(F.count("*").alias("n"))
-    return wide.select(*groups, F.inline("cells"), "n").groupBy(*groups, "rule", "cell").agg(F.sum("n").alias("n"))
+def sketches(stats: DataFrame) -> DataFrame:
+    """Quantile sketches: for each group (g0, g1) and rule the documents n in each cell. They merge by adding."""
+    cells = F.array(*[F.struct(F.lit(i).alias("rule"), _cell(F.expr(value)).alias("cell")) for i, (_, value, _) in enumerate(RULES)])
+    return stats.select("g0", "g1", F.inline(cells)).where("cell is not null").groupBy("g0", "g1", "rule", "cell").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: tuple[str, ...], shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Quantiles of each group and rule from its sketch, and the group's documents n."""
+def quartiles(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
+    """For each group and rule the cells of the lower and upper quartile, low and high, and the documents n."""
     part = Window.partitionBy(*groups, "rule")
-    upto = F.sum("n").over(part.orderBy("cell"))
-    ranked = sketch.withColumn("upto", upto).withColumn("all", F.sum("n").over(part))
-    picks = [F.min(F.when(F.col("upto") >= F.col("all") * s, F.col("cell"))).alias(f"c{i}") for i, s in enumerate(shares)]
-    found = ranked.groupBy(*groups, "rule").agg(F.max("all").alias("n"), *picks)
-    return found.select(*groups, "rule", "n", *[_value(F.col(f"c{i}")).alias(f"p{int(100 * s)}") for i, s in enumerate(shares)])
+    ranked = sketch.withColumn("upto", F.sum("n").over(part.orderBy("cell"))).withColumn("all", F.sum("n").over(part))
+    low, high = (F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("cell"))) for share in (0.25, 0.75))
+    return ranked.groupBy(*groups, "rule").agg(F.max("all").alias("n"), low.alias("low"), high.alias("high"))
 
 
 def thresholds(stats: DataFrame) -> DataFrame:
-    """lang, source, and a t_... column for each rule.
+    """g0, g1 and the last good cell t_... of each rule, from sketches alone.
 
-    High thresholds: upper quartile plus SPREAD interquartile ranges (low: mirrored), at least
-    (at most) the rule's limit. Groups of under MIN_GROUP documents take their language's
-    quantiles, and languages of under MIN_GROUP those of all documents.
+    Sketches hold the documents in which a rule's value isn't 0. A threshold lies SPREAD times
+    the spread beyond a quartile of the group, where the spread is the group's interquartile
+    range or its language's, whichever is wider: a group of documents that are all alike isn't
+    cut. Groups with under MIN_GROUP documents in the sketch take their language's quartiles,
+    such languages those of all documents. A rule without any value but 0 has no threshold.
     """
-    own = sketches(stats, ("lang", "source"))
-    by_lang = own.groupBy("lang", "rule", "cell").agg(F.sum("n").alias("n"))
+    own = sketches(stats)
+    by_lang = own.groupBy("g0", "rule", "cell").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("rule", "cell").agg(F.sum("n").alias("n"))
-    a = quantiles(own, ("lang", "source")).alias("a")
-    b = quantiles(by_lang, ("lang",)).alias("b")
-    c = quantiles(by_all, ()).alias("c")
-    joined = a.join(b, F.expr("a.lang <=> b.lang and a.rule = b.rule")).join(F.broadcast(c), F.expr("a.rule = c.rule"))
+    a = quartiles(own, ("g0", "g1")).alias("a")
+    b = quartiles(by_lang, ("g0",)).alias("b")
+    c = quartiles(by_all, ()).alias("c")
+    joined = a.join(b, F.expr("a.g0 <=> b.g0 and a.rule = b.rule")).join(F.broadcast(c), F.expr("a.rule = c.rule"))  # c: a row for each rule
+    own_wide, lang_wide, all_wide = (F.expr(f"{x}.high - {x}.low") for x in "abc")
+    large, known = F.col("a.n") >= MIN_GROUP, F.col("b.n") >= MIN_GROUP
 
     def pick(name: str) -> Column:
-        return F.when(F.col("a.n") >= MIN_GROUP, F.col(f"a.{name}")).when(F.col("b.n") >= MIN_GROUP, F.col(f"b.{name}")).otherwise(F.col(f"c.{name}"))
+        return F.when(large, F.col(f"a.{name}")).when(known, F.col(f"b.{name}")).otherwise(F.col(f"c.{name}"))
 
-    q1, q3 = pick("p25"), pick("p75")
+    spread = F.greatest(F.when(large, own_wide), F.when(known, lang_wide).otherwise(all_wide))
     out = []
-    for i, (name, _, side, limit) in enumerate(RULES):
-        line = F.greatest(q3 + SPREAD * (q3 - q1), F.lit(limit)) if side == "high" else F.least(q1 - SPREAD * (q3 - q1), F.lit(limit))
+    for i, (name, _, side) in enumerate(RULES):
+        line = pick("high") + SPREAD * spread if side == "high" else pick("low") - SPREAD * spread
         out.append(F.max(F.when(F.col("a.rule") == i, line)).alias(f"t_{name}"))
-    return joined.groupBy(F.col("a.lang").alias("lang"), F.col("a.source").alias("source")).agg(*out)
-
+    return joined.groupBy(F.col("a.g0").alias("g0"), F.col("a.g1").alias("g1")).agg(*out)
 
-def judged(stats: DataFrame) -> DataFrame:
-    """Add base_failed, failed (names of the adaptive rules that a document breaks) and kept.
 
-    A text without words fails the base rule. Null languages and sources are groups of their
-    own; a limit on a value of exactly the threshold keeps the document.
-    """
-    limits = written(thresholds(stats).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "thresholds")
-    on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
+def _judged(stats: DataFrame) -> DataFrame:
+    """Join the thresholds and add base_failed, failed and kept."""
+    limits = written(thresholds(stats).select(F.col("g0").alias("h0"), F.col("g1").alias("h1"), *[f"t_{r[0]}" for r in RULES]), "thresholds")
+    on = F.col("g0").eqNullSafe(F.col("h0")) & F.col("g1").eqNullSafe(F.col("h1"))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     else:  # each group's thresholds in SALTS copies, so that a large source is dealt to as many tasks
-        stats = stats.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in stats.columns if c != "text"]), F.lit(SALTS)))
-        limits = limits.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = on & (F.col("_salt") == F.col("_copy"))
+        stats = stats.withColumn("salt", F.pmod(F.xxhash64(*stats.columns), F.lit(SALTS)))
+        limits = limits.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("salt") == F.col("copy"))
     base = (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
-    broken = [F.when(F.expr(f"({value}) {'>' if side == 'high' else '<'} t_{name}"), F.lit(name)) for name, value, side, _ in RULES]
+    broken = [F.when((_cell(F.expr(value)) > F.col(f"t_{name}")) if side == "high" else (_cell(F.expr(value)) < F.col(f"t_{name}")), F.lit(name)) for name, value, side in RULES]
     named = stats.join(limits, on, "left").withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken)))
-    return named.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lang", "_source", "_salt", "_copy", *[f"t_{r[0]}" for r in RULES])
+    return named.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def assess(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep``, q_... columns with each whole text's statistics, and the verdict.
+
+    base_failed: fewer than ten words, or over a fifth of them in repeated five-word windows.
+    failed: names of the adaptive rules that a document breaks; a value in the cell of the
+    threshold itself is good. kept: neither. A null text counts as empty, and fails the base
+    rule. Null languages and sources are groups of their own; repeated rows are judged each for
+    itself; columns of docs not in ``keep`` go, and kept ones named like an output are replaced
+    by it. An empty table gives no rows.
+    """
+    outputs = [*(f"q_{s}" for s in _STATS), "base_failed", "failed", "kept"]
+    keep = tuple(c for c in keep if c not in outputs)
+    found = _judged(written(_measured(_plain(docs, keep)), "quality-statistics"))
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *outputs)
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The documents that no rule rejects (see assess), with their columns."""
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    inner = docs.select(*[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], "lang", "source", "text")
+    return assess(inner, tuple(names)).where("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, line_dedup, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
 from .oracles import ORACLE_SQL
-from .runtime import table, written
+from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,10 +51,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict for every document."""
-    docs = table(spark, sf_dir, "documents")
-    stats = written(quality_rules.statistics(docs, ("doc_id", "lang", "source")).drop("text"), "quality-statistics")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return quality_rules.judged(stats).select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names], "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
+    judged = quality_rules.assess(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in names], "base_failed", "kept", F.array_join("failed", ",").alias("failed_rules"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,9 +75,34 @@ def test_bitmaps_are_compressed_bits(spark):
     assert len(got) == 10 and len(got[0].dropped) < 40 and bits[:900].all() and not bits[900:].any()
 
 
+def test_different_texts_of_one_document(spark, no_adaptive):
+    """A key is in as many documents as have it, however many texts or rows of these do."""
+    rows = [(i % 8, f"often\nown {i}" if i % 3 else f"own {i}\nOFTEN\noften ") for i in range(400)] + [(i, "ten") for i in range(10)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in line_dedup.dedup_lines(df, 10).collect())
+    assert got == lines_left(rows, 10)
+    assert sum(n for (_, _, dropped, _), n in got.items() if dropped) == 30
+
+
+@pytest.fixture
+def no_adaptive(spark):
+    """Eight partitions of ranges, as they are dealt."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_lines_keep_columns(odd, no_rows):
-    got = line_dedup.dedup_lines(odd, 2)
-    assert set(odd.columns) - set(got.columns) <= {"dropped"} and got.count() == odd.count()
+    more = odd.selectExpr("*", "1 as text_key", "2 as body", "3 as doc", "4 as key", "5 as c0", "6 as n_lines", "7 as doc_marked")
+    got = line_dedup.dedup_lines(more, 2)
+    assert set(got.columns) == {*more.columns, "n_dropped"} and got.count() == odd.count()
+    rows = got.collect()
+    assert all((r["text_key"], r["body"], r["doc"], r["key"], r["c0"], r["doc_marked"]) == (1, 2, 3, 4, 5, 7) for r in rows)
+    assert Counter((r["doc_id"], r["dropped"], r["lang"]) for r in rows) == Counter((r["doc_id"], r["dropped"], r["lang"]) for r in odd.collect())
+    assert all(r["n_lines"] == (1 if r["text"] is None else r["n_lines"]) for r in rows)
     assert line_dedup.dedup_lines(no_rows).count() == 0
 
 

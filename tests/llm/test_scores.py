@@ -1,11 +1,13 @@
 """Classifiers, quality rules and token counts."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import linear, quality, quality_rules, token_counts, toxicity
 from locusframe.llm.queries import BYTE_RANKS
@@ -25,50 +27,117 @@ def base_statistics(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover)
 
 
-def test_statistics_as_brute_force(spark, odd, odd_rows):
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    got = quality_rules.statistics(odd, ("doc_id",)).collect()
-    assert Counter((r.doc_id, *(r[f"q_{n}"] for n in names)) for r in got) == Counter((r[0], *base_statistics(r[1])) for r in odd_rows)
-
-
-def test_rules_adapt_to_their_group(spark):
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def test_statistics_as_brute_force(odd, odd_rows):
+    got = quality_rules.assess(odd).collect()
+    assert Counter((r.doc_id, *(r[f"q_{n}"] for n in NAMES)) for r in got) == Counter((r[0], *base_statistics(r[1])) for r in odd_rows)
+
+
+def brute_rules(rows):
+    """{doc_id: (kept, broken rules)} for rows of doc_id, text, lang and source."""
+    cells, verdicts = {}, {}
+    for i, text, _, _ in rows:
+        text = text or ""
+        n_words, chars, symbols, dup, repeat = base_statistics(text)
+        n_lines = sum(bool(re.search(WS, x)) for x in text.split("\n"))
+        upper, word = sum("A" <= c <= "Z" for c in text) / max(chars, 1), chars / max(n_words, 1)
+        values = [symbols / max(n_words, 1), dup / max(n_lines, 1), repeat / max(n_words, 1), upper, word, word]
+        cells[i] = [math.ceil(math.log(v) / math.log(quality_rules.GAMMA)) if v > 0 else None for v in values]
+        verdicts[i] = n_words < 10 or 100 * repeat > 20 * n_words
+
+    def quartiles(k, keep):
+        found = sorted(cells[r[0]][k] for r in rows if keep(r) and cells[r[0]][k] is not None)
+        return len(found), *(found[max(0, math.ceil(len(found) * q) - 1)] if found else None for q in (0.25, 0.75))
+
+    out = {}
+    for i, _, lang, source in rows:
+        broken = []
+        for k, (name, _, side) in enumerate(quality_rules.RULES):
+            if cells[i][k] is None:
+                continue
+            own, mine, every = quartiles(k, lambda r: r[2:4] == (lang, source)), quartiles(k, lambda r: r[2] == lang), quartiles(k, lambda r: True)
+            wider = mine if mine[0] >= quality_rules.MIN_GROUP else every
+            _, low, high = own if own[0] >= quality_rules.MIN_GROUP else wider
+            spread = max(high - low if own[0] >= quality_rules.MIN_GROUP else 0, wider[2] - wider[1])
+            if cells[i][k] > high + quality_rules.SPREAD * spread if side == "high" else cells[i][k] < low - quality_rules.SPREAD * spread:
+                broken.append(name)
+        out[i] = (not verdicts[i] and not broken, broken)
+    return out
+
+
+def grouped_rows():
+    """Two sources that differ in word lengths and capitals, a small one, and one without a language."""
     rng = random.Random(4)
     rows = []
-    for i in range(400):
-        words = sentence(rng, 60).split()
-        if i % 2:  # a source whose texts all have some symbols
-            words = [w + "#" if k % 5 == 0 else w for k, w in enumerate(words)]
-        if i in (10, 11):
-            words = [w + "***" for w in words]
-        rows.append((i, " ".join(words), "en", f"s{i % 2}"))
+    for i in range(330):
+        source = ("short", "long", "short", "long", "rare")[i % 5] if i % 10 else None
+        words = [("w" if source == "short" else "wonder") + "x" * rng.randrange(4) for _ in range(rng.randrange(8, 60))]
+        words = [w.upper() if source == "long" and rng.random() < 0.3 else w for w in words]
+        if i % 37 == 0:
+            words = [w + "long" * 9 for w in words]
+        if i % 41 == 0:
+            words = [w.upper() for w in words]
+        if i % 47 == 0:
+            words = [w[0] for w in words]
+        words[0] = words[0].upper()
+        if i % 11 == 0:
+            words = words[:12] * 2
+        rows.append((i, "\n".join([" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]), None if i % 13 == 0 else "b" if source == "long" else "a", source))
+    return [*rows, (900, None, "en", "short"), (901, "", None, None)]
+
+
+def test_verdicts_as_brute_force(spark):
+    rows = grouped_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: (r.kept, r.failed) for r in quality_rules.assess(df).collect()}
+    expected = brute_rules(rows)
+    assert got == expected
+    assert len({tuple(f) for _, f in expected.values()}) >= 3
+
+
+def test_no_fixed_cutoffs_give_these_verdicts(spark):
+    """Words that are usual in one source are rejected in the other: no cutoff for both does that."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(("w" if i % 2 else "wonderful") + "x" * rng.randrange(3) for _ in range(40)), "en", f"s{i % 2}") for i in range(600)]
+    mixed = [(1000, rows[0][1], "en", "s1"), (1001, rows[1][1], "en", "s0")]
+    # a language of its own for each source, or the wider spread of the language would hold for both
+    rows = [(i, t, f"l{s}", s) for i, t, _, s in [*rows, *mixed]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in quality_rules.judged(quality_rules.statistics(df, ("doc_id", "lang", "source"))).collect()}
-    assert {i for i, r in got.items() if not r.kept} == {10, 11} and got[10].failed == ["symbols"]
+    got = {r.doc_id: r.failed for r in quality_rules.assess(df).collect()}
+    assert sorted(i for i, f in got.items() if f) == [1000, 1001]
+    assert got[1000] == ["long_words"] and got[1001] == ["short_words"]
 
 
 def test_sketches_merge(spark):
     df = spark.range(2000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 10 + id % 50), x -> concat('w', x, if(x % 3 = 0, '#', '')))) as text", "'en' as lang", "concat('s', id % 4) as source")
-    stats = quality_rules.statistics(df, ("doc_id", "lang", "source")).cache()
-    whole = quality_rules.sketches(stats, ("lang",))
-    parts = quality_rules.sketches(stats, ("lang", "source")).groupBy("lang", "rule", "cell").sum("n")
-    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, parts.collect()))
+    stats = quality_rules._measured(quality_rules._plain(df, ("doc_id",))).cache()
+    whole = quality_rules.sketches(stats.drop("g1").withColumn("g1", F.lit("all")))
+    parts = quality_rules.sketches(stats)
+    merged = parts.groupBy("g0", "rule", "cell").sum("n")
+    assert Counter((r.g0, r.rule, r.cell, r.n) for r in whole.collect()) == Counter(map(tuple, merged.collect()))
     exact = np.quantile([r.v for r in stats.selectExpr(f"{quality_rules.RULES[0][1]} as v").collect()], 0.75, method="inverted_cdf")
-    told = quality_rules.quantiles(whole, ("lang",)).where("rule = 0").collect()[0].p75
-    assert told == pytest.approx(exact, rel=0.05)
+    told = quality_rules.quartiles(whole, ("g0",)).where("rule = 0").collect()[0].high
+    assert quality_rules.GAMMA**told == pytest.approx(exact, rel=0.011)
 
 
 def test_salted_join_agrees(odd, monkeypatch):
-    stats = quality_rules.statistics(odd, ("doc_id", "lang", "source"))
-    verdicts = lambda: Counter((r.doc_id, r.kept, tuple(r.failed)) for r in quality_rules.judged(stats).collect())
+    verdicts = lambda: Counter((r.doc_id, r.kept, tuple(r.failed)) for r in quality_rules.assess(odd).collect())
     plain = verdicts()
     monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
     assert verdicts() == plain
 
 
 def test_rules_on_odd_rows(odd, no_rows):
-    got = quality_rules.judged(quality_rules.statistics(odd, ("doc_id", "lang", "source"))).collect()
+    clash = odd.selectExpr("*", "1 as q_n_words", "2 as g0", "3 as c1", "4 as salt", "'x' as failed", "5 as _lang", "6 as body", "7 as t_symbols")
+    got = quality_rules.assess(clash, tuple(clash.columns)).collect()
     assert len(got) == odd.count() and all(not r.kept for r in got if r.q_n_words < 10)
-    assert quality_rules.judged(quality_rules.statistics(no_rows)).count() == 0
+    assert all((r["g0"], r["c1"], r["salt"], r["_lang"], r["body"], r["t_symbols"]) == (2, 3, 4, 5, 6, 7) for r in got)
+    assert all(isinstance(r["failed"], list) for r in got)
+    left = quality_rules.kept(clash)
+    assert left.columns == clash.columns and Counter(r.doc_id for r in left.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+    assert quality_rules.assess(no_rows).count() == 0 and quality_rules.kept(no_rows).columns == no_rows.columns
 
 
 def test_lasso_finds_the_sparse_model():
