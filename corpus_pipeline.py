@@ -16,8 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    stats = written(quality_rules.statistics(docs, tuple(docs.columns)), "pipeline-statistics")
-    return quality_rules.judged(stats).where("kept").select(*docs.columns)
+    return quality_rules.kept(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
