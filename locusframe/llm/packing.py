@@ -39,10 +39,37 @@ LONGEST = 256
 SLICE = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of UTF-8: the last, middle and first ones of white space beyond ASCII (U+0085, U+00A0, U+1680, U+20xx, U+3000).
+_DOUBTFUL, _MIDDLE, _LEAD = np.zeros((3, 256), bool)
+_DOUBTFUL[[*range(0x1C, 0x20), *range(0x80, 0xC0)]] = True
+_MIDDLE[[0x80, 0x81, 0x9A]] = True
+_LEAD[[0xE1, 0xE2, 0xE3]] = True
 #: White space that isn't ASCII, and controls which some definitions count as such.
 _OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def units(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The units of some texts in order, as a dictionary column, and where each begins.
+
+    A unit is a run of white space and what follows it up to the next. It doesn't end in white
+    space beyond ASCII (nor in some like characters), which belongs to one run with what follows.
+    """
+    space = _SPACE[data]
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    at = np.flatnonzero(starts)
+    at = at[(at > 2) & _DOUBTFUL[data[at - 1]]]
+    last, middle, lead = data[at - 1], data[at - 2], data[at - 3]
+    starts[at[(last < 0x20) | (middle == 0xC2) | _MIDDLE[middle] & _LEAD[lead]]] = False
+    if len(starts) > 2:
+        starts[1:3] = False
+    starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    first = np.flatnonzero(starts).astype(np.int32)
+    offsets = np.append(first, np.int32(len(data)))
+    column = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return column.dictionary_encode(), first
+
+
 def _letters() -> dict[int, int]:
     """Characters that stand for bytes in byte-level BPE: printable ones for themselves, the others from 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -72,8 +99,8 @@ class _Parts(dict):
 class _Encoder(dict):
     """Ids of units, and of pre-tokens; both memories have a bound.
 
-    A unit is a run of white space and what follows it up to the next: no pre-token reaches
-    from other characters into white space, so the ids of a text are those of its units. A text
+    No pre-token reaches from other characters into white space, so the ids of a text are those
+    of its units. A text
     that holds an added token or white space beyond ASCII goes to the tokenizer's own encode whole.
     """
 
@@ -108,14 +135,7 @@ class _Encoder(dict):
         for memory in (self, self.parts):
             if len(memory) > MEMO:
                 memory.clear()
-        space = _SPACE[data]
-        starts = space.copy()
-        starts[1:] &= ~space[:-1]
-        starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
-        first = np.flatnonzero(starts).astype(np.int32)
-        offsets = np.append(first, np.int32(len(data)))
-        units = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = units.dictionary_encode()
+        coded, first = units(data, bounds)
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
         self.learn([u for u in names if u not in self and len(u) <= LONGEST and u[0].isspace() and not u[-1].isspace()])
         known = list(map(self.__getitem__, names))

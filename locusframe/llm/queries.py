@@ -17,11 +17,16 @@ BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of low quality, toxicity and severe toxicity for every document, and the verdict."""
+    """Probabilities of low quality and toxicity for every document, and the verdict.
+
+    Fitted without the labels of held-out documents (see quality.held_out), so that the
+    verdicts on these tell how good it is. The table of labels has these two categories.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    marked = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = toxicity.train(docs, marked, ["low_quality", "toxic"], severe_of="toxic")
-    return toxicity.probabilities(docs, chain).withColumn("toxic", (F.col("p_toxic") >= chain.cutoffs[1]).cast("int"))
+    marked = labels.where(~quality.held_out()).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = toxicity.train(docs, marked, ["low_quality", "toxic"])
+    scored = toxicity.probabilities(docs, chain)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "p_low_quality", "p_toxic", (F.col("p_toxic") >= chain.cutoffs[1]).cast("int").alias("toxic"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +80,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, near equal in bytes."""
-    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), 16)
+    shards = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=16)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -58,3 +59,21 @@ def bounded_batches(spark: SparkSession) -> None:
         now = int(spark.conf.get(name).rstrip("b"))
         if not 0 < now <= bound:
             spark.conf.set(name, str(bound))
+
+
+#: Keys with more than this share of all rows are joined by broadcast; there are at most 1 / HOT of them.
+HOT = 1e-5
+
+
+def skewed_join(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of rows with ``keyed``, which has each key once, and in ``weight`` about how many rows have it.
+
+    Frequent keys are broadcast, of which there are by their share of all rows at most 1 / HOT;
+    the join by shuffle is of the others, and so has no hot key.
+    """
+    total = keyed.agg(F.sum(weight)).collect()[0][0] or 0
+    least = max(1000, int(total * HOT))
+    hot = F.broadcast(keyed.where(F.col(weight) > least))
+    frequent = rows.join(hot, keys)
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(weight) <= least), keys)
+    return frequent.unionByName(others)

@@ -1,9 +1,9 @@
 """Sharding by a k-d tree over document metadata, with DataFrame functions only.
 
 Every node of the tree is split across its widest metadata dimension at the weighted median
-of the sizes, all nodes of a level at once, until there is a leaf for each shard. The medians
-come from distributed histograms that are refined to single positions; only the bounds of the
-nodes (at most as many as shards) reach the driver.
+of the sizes, all nodes of a level at once, until the leaves reach the target bytes. The medians
+come from distributed histograms that are refined to single positions; only their cells, of
+a bounded number, and the bounds of the nodes (at most as many as shards) reach the driver.
 """
 
 from __future__ import annotations
@@ -14,27 +14,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import new_path
+from .runtime import written
 
 DIMENSIONS = ("source", "lang", "n_chars")
-BINS = 1 << 16
+#: Cells of a pass over all open nodes together, and of one node at most.
+CELLS, NODE_CELLS = 1 << 16, 1 << 12
 SLOT_ROWS = 20_000
-_TIE_BITS = 31
-
-
-def _position(df: DataFrame, name: str) -> Column:
-    """A dimension's value as an integer below 2**31 that keeps the order of the values.
-
-    Strings by their first bytes, numbers by the logarithm of their size; nulls come first.
-    """
-    if dict(df.dtypes)[name] == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 8)), 16, "0")
-        scaled = F.conv(F.substring(head, 1, 15), 16, 10).cast("double") / F.lit(float(2**60))
-        value = F.greatest(F.lit(0.0), scaled)
-    else:
-        number = F.greatest(F.col(name).cast("double"), F.lit(0.0))
-        value = F.least(F.log2(number + 1.0) / 64.0, F.lit(1.0))
-    return F.coalesce(F.floor(value * float(2**31 - 2)) + 1, F.lit(0)).cast("long")
+_TIE_BITS = 24
+#: Positions of numbers: steps of this share of a doubling.
+_STEPS = 1024
+#: Ranks of up to so many values (about 100 bytes each) are broadcast; beyond, the join is salted.
+BROADCAST_VALUES = 100_000
+SALTS = 64
+
+
+def _ranks(docs: DataFrame, name: str) -> DataFrame:
+    """value and rank (from 1, in order, without gaps) of the distinct values of a column, but null."""
+    values = docs.select(F.col(name).alias("value")).where("value is not null").distinct().orderBy("value")
+    # numbers grow with the order inside a partition of the sort, and from one to the next
+    placed = written(values.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("number")), "kd-values")
+    sizes = placed.groupBy("part").count()  # a row for each partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(sizes.select("part", before.alias("before")))
+    return placed.join(firsts, "part").select("value", (F.col("before") + F.col("number").bitwiseAND((1 << 33) - 1) + 1).alias("rank"))
+
+
+def _with_ranks(rows: DataFrame, docs: DataFrame, name: str, out: str) -> DataFrame:
+    """Replace the column ``out`` of rows, a value of the dimension, by its rank; null has 0."""
+    ranks = written(_ranks(docs, name), "kd-ranks")
+    if ranks.count() <= BROADCAST_VALUES:
+        joined = rows.join(F.broadcast(ranks), F.col(out) == F.col("value"), "left")
+    else:  # each rank in SALTS copies, so that a frequent value is dealt to as many tasks
+        copies = ranks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(copies, (F.col(out) == F.col("value")) & (F.pmod("tie", F.lit(SALTS)) == F.col("copy")), "left")
+    return joined.select(*[F.coalesce("rank", F.lit(0)).alias(c) if c == out else rows[c] for c in rows.columns])
+
+
+def _number(name: str) -> Column:
+    """A number's position: by its logarithm, 0 for null and for what isn't above 0."""
+    number = F.col(name).cast("double")
+    return F.coalesce(F.floor(F.log2(F.when((number > 0) & ~F.isnan(number), number) + 1.0) * _STEPS), F.lit(0)).cast("long")
 
 
 def _case(nodes: dict[int, int], node: Column) -> Column:
@@ -45,51 +64,64 @@ def _case(nodes: dict[int, int], node: Column) -> Column:
 def _medians(rows: DataFrame, key: Column, low: dict[int, int], high: dict[int, int], goal: dict[int, int]) -> dict[int, int]:
     """For each node the key whose sizes up to and with it come nearest to the goal.
 
-    Each pass cuts the range that holds the median into BINS parts by one aggregation.
+    Each pass cuts the range that holds a node's median into cells and sums them up by one
+    aggregation; all nodes' cells together are CELLS at most, and are compared on the driver.
     """
     low, high, goal = dict(low), dict(high), dict(goal)
     node = F.col("node")
-    while any(high[n] > low[n] for n in low):
-        width = {n: (high[n] - low[n]) // BINS + 1 for n in low}
-        at = rows.where(node.isin(list(low))).select("node", "size", key.alias("key"), _case(low, node).alias("low"), _case(high, node).alias("high"), _case(width, node).alias("width"))
-        cells = at.where("key >= low and key <= high").groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("size"))
-        upto = F.sum("size").over(Window.partitionBy("node").orderBy("bin"))
-        crossed = cells.withColumn("upto", upto).where(F.col("upto") >= _case(goal, node)).groupBy("node").agg(F.min_by(F.struct("bin", "upto", "size"), F.col("bin")).alias("at"))
-        for r in crossed.collect():
-            n, start = r["node"], low[r["node"]] + r["at"]["bin"] * width[r["node"]]
+    while opened := [n for n in low if high[n] > low[n]]:
+        bins = max(2, min(NODE_CELLS, CELLS // len(opened)))
+        width = {n: (high[n] - low[n]) // bins + 1 for n in opened}
+        at = rows.where(node.isin(opened)).select("node", "size", key.alias("key"), _case({n: low[n] for n in opened}, node).alias("low"), _case({n: high[n] for n in opened}, node).alias("high"), _case(width, node).alias("width"))
+        cells = at.where("key >= low and key <= high").groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("size")).collect()
+        for n in opened:
+            upto = 0
+            for cell, size in sorted((c["bin"], c["size"]) for c in cells if c["node"] == n):
+                upto += size
+                if upto >= goal[n]:
+                    break
+            start = low[n] + cell * width[n]
             low[n], high[n] = start, min(high[n], start + width[n] - 1)
-            goal[n] -= r["at"]["upto"] - r["at"]["size"]
-            if high[n] == start and 2 * goal[n] < r["at"]["size"]:
+            goal[n] -= upto - size
+            if high[n] == start and 2 * goal[n] < size:
                 low[n] = high[n] = start - 1
     return low
 
 
-def kd_shards(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = DIMENSIONS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Assign each document to one of ``shards`` leaves of a k-d tree of near equal bytes.
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = DIMENSIONS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Assign each document to a leaf of a k-d tree of near equal bytes.
 
-    Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, the positions in each
-    dimension, shard, and slot (gapless from 0 in each shard).
+    Give ``shards``, the number of leaves, or ``target_bytes``, the size that no leaf exceeds
+    by more than rounding. Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32,
+    the position in each dimension, tie, shard, and slot (gapless from 0 in each shard).
 
+    A string's position is its rank among the distinct values, a number's its logarithm.
     Documents that agree in the dimension which is split are told apart by a hash of text and
-    doc_id, so no value, however frequent, is bound to one shard. Only rows alike in text and
-    doc_id share a position, and stay together. Null texts count as empty, null metadata as
-    the least value; an empty table has no shards; further columns are ignored.
+    doc_id, so no value, however frequent, is bound to one shard, and equal texts of different
+    documents are spread. Rows with one position and one hash stay together; so do rows alike
+    in text and doc_id. Null texts count as empty, null metadata as the least value; an empty
+    table has no shards; further columns are ignored.
     """
-    spark = docs.sparkSession
+    if (shards is None) == (target_bytes is None):
+        raise ValueError("give either shards or target_bytes")
     dimensions = tuple(d for d in dimensions if d in docs.columns)
     body = F.coalesce(F.col(text), F.lit(""))
     tie = F.shiftrightunsigned(F.xxhash64(body, F.col(doc_id)), 64 - _TIE_BITS)
-    thin = docs.select(
+    strings = [d for d in dimensions if dict(docs.dtypes)[d] == "string"]
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         tie.cast("long").alias("tie"),
-        *[_position(docs, d).alias(f"at_{d}") for d in dimensions],
+        *[(F.col(d) if d in strings else _number(d)).alias(f"at_{d}") for d in dimensions],
     )
+    for d in strings:
+        rows = _with_ranks(rows, docs, d, f"at_{d}")
     # one small row for each document: the texts are read once, and not again for each level
-    path = new_path(spark, "kd-rows")
-    thin.write.parquet(path)
-    base = spark.read.schema(thin.schema).parquet(path)
+    base = written(rows, "kd-rows")
+    if shards is None:
+        total = base.agg(F.sum("size")).collect()[0][0] or 0
+        shards = max(1, -(-total // target_bytes))
     axis_names = [f"at_{d}" for d in dimensions] or ["tie"]
     key = {a: F.shiftleft(F.col(a), _TIE_BITS) + F.col("tie") for a in axis_names}
     cuts: dict[int, tuple[str, int]] = {}
@@ -121,7 +153,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = D
     rows = base.withColumn("node", node())
     order = sorted(leaves, key=lambda n: bin(n)[2:])
     rows = rows.withColumn("shard", _case({n: i for i, n in enumerate(order)}, F.col("node")).cast("int"))
-    return _slots(rows).select("doc_id", "size", "text_crc32", *[f"at_{d}" for d in dimensions], "shard", "slot")
+    return _slots(rows).select("doc_id", "size", "text_crc32", *[f"at_{d}" for d in dimensions], "tie", "shard", "slot")
 
 
 def _slots(rows: DataFrame) -> DataFrame:

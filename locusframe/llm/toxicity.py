@@ -27,7 +27,8 @@ STARTS = (4, 5, 6)
 FEATURES = 2_048
 MIN_DOCS = 4
 FOLDS = 3
-PENALTY = 5e-6
+#: Weight of the L1 penalty, divided by the number of rows.
+PENALTY = 0.06
 STEPS = 500
 
 
@@ -93,73 +94,80 @@ def _cutoff(p: np.ndarray, y: np.ndarray) -> float:
     return float(sigmoid((np.log(p[order[k]] / (1 - p[order[k]])) + np.log(max(below, 1e-5) / (1 - min(below, 1 - 1e-5)))) / 2))
 
 
-def fit(x: Sparse, labels: np.ndarray, folds: np.ndarray) -> tuple[list[tuple[float, np.ndarray, np.ndarray]], list[float]]:
-    """A model and a cutoff for each column of labels; each has the log-odds of those before as further inputs.
+class _Rows(NamedTuple):
+    """Labelled rows: for each distinct bucket of each text its row and bucket; labels y by category."""
 
-    Cutoffs come from the out-of-fold predictions, too.
+    row: np.ndarray
+    bucket: np.ndarray
+    y: np.ndarray
+
+    def chosen(self, own: np.ndarray) -> np.ndarray:
+        """Slot of each bucket among the features that tell most about some category in the rows ``own`` (-1: none)."""
+        mine, y = own[self.row], self.y
+        n_docs = np.bincount(self.bucket[mine], minlength=1 << BUCKET_BITS)
+        value = np.zeros(1 << BUCKET_BITS)
+        for j in range(y.shape[1]):
+            inside = np.bincount(self.bucket[mine], y[self.row[mine], j], 1 << BUCKET_BITS)
+            share = y[own, j].mean() if own.any() else 0.0
+            value = np.maximum(value, np.abs(inside - n_docs * share) / np.sqrt(n_docs * share * (1 - share) + 1))
+        value[n_docs < MIN_DOCS] = 0
+        best = np.argsort(-value, kind="stable")[:FEATURES]
+        best = best[value[best] > 0]
+        slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+        slot[best] = np.arange(len(best))
+        return slot
+
+    def matrix(self, slot: np.ndarray) -> Sparse:
+        hit = slot[self.bucket] >= 0
+        return Sparse(np.concatenate([[0], np.cumsum(np.bincount(self.row[hit], minlength=len(self.y)))]), slot[self.bucket[hit]], FEATURES)
+
+
+def fit(rows: _Rows, folds: np.ndarray) -> tuple[np.ndarray, list[tuple[float, np.ndarray, np.ndarray]], list[float]]:
+    """Slots of the features, and a model and a cutoff for each category.
+
+    Each model has the log-odds of the categories before as further inputs. These come out of
+    fold: features and weights for a fold's rows are found without them. So do the cutoffs.
     """
+    labels = rows.y
+    slot = rows.chosen(np.ones(len(labels), bool))
+    x = rows.matrix(slot)
+    apart = [rows.matrix(rows.chosen(folds != k)) for k in range(FOLDS)]
     models, cutoffs, before = [], [], np.zeros((len(labels), 0))
     for j in range(labels.shape[1]):
         y = labels[:, j].astype(float)
-        models.append(lasso_logistic(x, y, PENALTY, before, STEPS))
+        models.append(lasso_logistic(x, y, PENALTY / max(1, len(y)), before, STEPS))
         out = np.zeros(len(y))
         for k in range(FOLDS):
             own = folds == k
             if own.any():
-                b, w, c = lasso_logistic(x.rows(~own), y[~own], PENALTY, before[~own], STEPS)
-                out[own] = np.clip(b + x.rows(own).times(w) + before[own] @ c, -10, 10)
+                b, w, c = lasso_logistic(apart[k].rows(~own), y[~own], PENALTY / len(y), before[~own], STEPS)
+                out[own] = np.clip(b + apart[k].rows(own).times(w) + before[own] @ c, -10, 10)
         before = np.column_stack([before, out])
         cutoffs.append(_cutoff(sigmoid(out), y))
-    return models, cutoffs
+    return slot, models, cutoffs
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], severe_of: str | None = None, sample_rows: int = SAMPLE_ROWS) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fit a chain on at most ``sample_rows`` labelled rows; labels has doc_id and a 0/1 column for each category.
 
-    ``severe_of`` adds a last category: rows of that category with more of its marks than half
-    of them have (marks: features at least ten times as frequent in it as elsewhere). Rows
-    with a null label or doc_id are not used; without rows all probabilities are near 1/2.
+    Rows with a null label or doc_id are not used; without rows all probabilities are near 1/2.
     """
     bounded_batches(docs.sparkSession)
     usable = labels.select("doc_id", *categories).na.drop()
     sample = usable.orderBy(F.xxhash64("doc_id"), *["doc_id", *categories]).limit(sample_rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     schema = ", ".join(["doc_id long", *(f"{c} int" for c in categories), "buckets array<int>"])
-    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories], "text").mapInArrow(_collect, schema).toArrow()
-    ids = rows["doc_id"].to_numpy().astype(np.int64)
-    y = np.stack([rows[c].to_numpy() for c in categories], axis=1).astype(int)
+    got = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories], "text").mapInArrow(_collect, schema).toArrow()
+    ids = got["doc_id"].to_numpy().astype(np.int64)
+    y = np.stack([got[c].to_numpy() for c in categories], axis=1).astype(int)
     order = np.lexsort((*y.T, ids))
-    taken = rows["buckets"].combine_chunks().take(pa.array(order)) if len(ids) else pa.array([], pa.list_(pa.int32()))
+    taken = got["buckets"].combine_chunks().take(pa.array(order)) if len(ids) else pa.array([], pa.list_(pa.int32()))
     ids, y = ids[order], y[order]
     size = np.diff(taken.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
     bucket, row = taken.flatten().to_numpy() if len(ids) else np.zeros(0, np.int32), np.repeat(np.arange(len(ids)), size)
-
-    # the features that tell most about some category
-    n_docs = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-    value = np.zeros(1 << BUCKET_BITS)
-    rates = []
-    for j in range(y.shape[1]):
-        inside = np.bincount(bucket, y[row, j], 1 << BUCKET_BITS)
-        share = y[:, j].mean() if len(y) else 0.0
-        value = np.maximum(value, np.abs(inside - n_docs * share) / np.sqrt(n_docs * share * (1 - share) + 1))
-        rates.append((inside + 0.5) / (y[:, j].sum() + 1) / ((n_docs - inside + 0.5) / ((1 - y[:, j]).sum() + 1)))
-    value[n_docs < MIN_DOCS] = 0
-    chosen = np.argsort(-value, kind="stable")[:FEATURES]
-    chosen = chosen[value[chosen] > 0]
-    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    hit = slot[bucket] >= 0
-    x = Sparse(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(ids)))]), slot[bucket[hit]], FEATURES)
-    names = list(categories)
-    if severe_of:
-        j = categories.index(severe_of)
-        marks = (rates[j] >= 10) & (n_docs >= MIN_DOCS)
-        amount = np.bincount(row, marks[bucket], len(ids)) if len(ids) else np.zeros(0)
-        own = y[:, j] == 1
-        severe = own & (amount > np.median(amount[own])) if own.any() else own
-        y, names = np.column_stack([y, severe]), [*names, f"severe_{severe_of}"]
     folds = (mix(ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
-    return Chain(names, slot, *fit(x, y, folds))
+    slot, models, cutoffs = fit(_Rows(row, bucket, y), folds)
+    return Chain(list(categories), slot, models, cutoffs)
 
 
 def probabilities(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -166,9 +166,75 @@ def test_near_duplicates_of_odd_rows(odd, no_rows):
 
 
 def test_prefixes_shorten_until_the_recall():
-    assert [ngram_join.prefix_depth(0.8, 32, 8, r) for r in (0.9, 0.999, 0.9999, 1.0)] == [8, 7, 6, 1]
-    depth = ngram_join.prefix_depth(0.8)
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= ngram_join.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+    assert [ngram_join.shortened([0.8], 8, 32, r) for r in (0.9, 0.999, 0.9999, 1.0)] == [8, 7, 6, 1]
+    assert [ngram_join.shortened([1.0, s], 8) for s in (0.95, 0.9, 0.85, 0.8, 0.5)] == [8, 8, 8, 6, 1]
+
+
+def mutated(rng, words, n):
+    """A copy with a block of n words at the end replaced, so that n shingles are lost and n new."""
+    return " ".join(words[: len(words) - n] + [f"new{rng.randrange(10**9)}" for _ in range(n)])
+
+
+@pytest.mark.parametrize(("changed", "depths"), [(4, [8]), (20, [8, 6])])
+def test_depths_follow_the_links(spark, changed, depths):
+    """Copies that agree in nearly all shingles need no shorter prefixes; those just at the threshold do."""
+    rng = random.Random(changed)
+    rows = []
+    for k in range(60):
+        words = sentence(rng, 200, 10**6).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, mutated(rng, words, changed))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = ngram_join._Classes(df, 0.8)
+    found = known.named(known.links(counts=True))
+    assert known.rounds == depths
+    assert {r.doc_id: (r.class_id, r.links) for r in found.collect()} == brute_links(rows)
+
+
+def test_nodes_of_a_forest(spark):
+    """Prefixes shared with a neighbour in the sorted order are those shared with any other."""
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, (400, ngram_join.TREES, ngram_join.DEPTH)).astype(">u2")
+    rows = [(i, x.tobytes()) for i, x in enumerate(labels)]
+    df = spark.createDataFrame(rows, "rep long, signatures binary").repartition(4)
+    got = {(r.tree, r.rep): r.shared for r in ngram_join.forest(df).collect()}
+    less = 0
+    for tree in range(ngram_join.TREES):
+        values = [tuple(x) for x in labels[:, tree].tolist()]
+        for depth in range(1, ngram_join.DEPTH + 1):
+            n = Counter(v[:depth] for v in values)
+            for i, v in enumerate(values):
+                if n[v[:depth]] > 1:
+                    assert got[tree, i] >= depth
+                else:
+                    less += got.get((tree, i), 0) >= depth
+    assert less <= 8 * 2 * ngram_join.DEPTH  # rows at the ends of partitions
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(14)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b), (3, "other words only here and now"), (1, a), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, 2), (1, 1, 2), (2, 1, 2), (1, 1, 1), (3, 1, 1), (3, 3, 0), (4, 4, 0)])
+    assert Counter(map(tuple, ngram_join.keep_one(df).collect())) == Counter([(1, a), (1, b), (3, "other words only here and now"), (4, "")])
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """With tiny blocks a group spans many, and nodes and blocks are dealt; the result is the same."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "DEAL", 3)
+    rng = random.Random(21)
+    words, rows = sentence(rng, 120).split(), []
+    for i in range(150):
+        copy = list(words)
+        for _ in range(rng.randrange(5)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_links(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()} == expected
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == sorted({c for c, _ in expected.values()})
 
 
 def test_signatures_agree_as_often_as_sets_do():

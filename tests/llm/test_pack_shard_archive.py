@@ -120,6 +120,68 @@ def test_sharding_odd_rows(odd, no_rows):
     assert sharding.kd_shards(no_rows, 4).count() == 0
 
 
+def brute_tree(rows, shards, axes):
+    """{row: leaf} for rows of (size, tie, position by axis...), by sorting each node's rows."""
+    bits = sharding._TIE_BITS
+    span = [max(1, max(r[2 + a] for r in rows) - min(r[2 + a] for r in rows)) for a in range(axes)]
+    leaf = {}
+
+    def split(part, k, path):
+        if k == 1 or not part:
+            leaf.update({i: path + "0" * 9 if k == 1 else path for i in part})
+            return
+        wide = [(max(rows[i][2 + a] for i in part) - min(rows[i][2 + a] for i in part)) / span[a] for a in range(axes)]
+        a = wide.index(max(wide))
+        keys = Counter()
+        for i in part:
+            keys[rows[i][2 + a] << bits | rows[i][1]] += rows[i][0]
+        goal, upto, cut = max(1, sum(keys.values()) * (k // 2) // k), 0, -1
+        for key, size in sorted(keys.items()):
+            if upto + size >= goal:
+                cut = key if 2 * (goal - upto) >= size else key - 1
+                break
+            upto += size
+        left = [i for i in part if rows[i][2 + a] << bits | rows[i][1] <= cut]
+        right = [i for i in part if rows[i][2 + a] << bits | rows[i][1] > cut]
+        split(left, k // 2, path + "0")
+        split(right, k - k // 2, path + "1")
+
+    split(list(range(len(rows))), shards, "")
+    order = {p: n for n, p in enumerate(sorted(set(leaf.values())))}
+    return {i: order[p] for i, p in leaf.items()}
+
+
+@pytest.mark.parametrize("cells", [sharding.NODE_CELLS, 5])
+def test_tree_as_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(sharding, "NODE_CELLS", cells)
+    rng = np.random.default_rng(8)
+    sources = [f"https://long-common-prefix/{k:03d}" for k in range(37)]
+    rows = [(i, "x" * int(rng.integers(0, 90)), None if i % 17 == 0 else ("en", "de", "fr")[i % 3], sources[0] if i % 3 else sources[int(rng.integers(0, 37))], int(rng.integers(0, 5000))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(sharding.kd_shards(df, 11).collect(), key=lambda r: r.doc_id)
+    assert [r.at_source for r in got] == [sorted({x[3] for x in rows}).index(x[3]) + 1 for x in rows]
+    assert [r.at_lang for r in got] == [[None, "de", "en", "fr"].index(x[2]) for x in rows]
+    expected = brute_tree([(r.size, r.tie, r.at_source, r.at_lang, r.at_n_chars) for r in got], 11, 3)
+    assert [r.shard for r in got] == [expected[i] for i in range(1500)]
+
+
+def test_many_values_are_joined_with_salt(spark, monkeypatch):
+    df = spark.range(700).selectExpr("id as doc_id", "'t' as text", "if(id % 2 = 0, 'hot', concat('s', id)) as source")
+    plain = Counter(map(tuple, sharding.kd_shards(df, 6).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_VALUES", 0)
+    assert Counter(map(tuple, sharding.kd_shards(df, 6).collect())) == plain
+
+
+def test_leaves_reach_the_target_bytes(spark):
+    df = spark.range(2000).selectExpr("id as doc_id", "repeat('y', 99) as text", "concat('s', id % 9) as source")
+    size = Counter()
+    for r in sharding.kd_shards(df, target_bytes=30_000).collect():
+        size[r.shard] += r.size
+    assert len(size) == 7 and max(size.values()) < 30_000
+    with pytest.raises(ValueError, match="either"):
+        sharding.kd_shards(df)
+
+
 def test_sharding_is_native(odd):
     plan = sharding.kd_shards(odd, 4)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

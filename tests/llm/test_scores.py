@@ -3,13 +3,14 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import linear, quality, quality_rules, token_counts, toxicity
+from locusframe.llm import linear, quality, quality_rules, queries, token_counts, toxicity
 from locusframe.llm.queries import BYTE_RANKS
 
 from .conftest import sentence
@@ -184,25 +185,53 @@ def test_rule_ensemble_on_held_out_rows(spark, odd, no_rows):
 def test_chain_on_unseen_rows(spark, odd, no_rows):
     docs, labels = labelled(spark)
     marked = labels.selectExpr("doc_id", "1 - quality as low_quality", "toxic")
-    chain = toxicity.train(docs, marked.where("doc_id < 900"), ["low_quality", "toxic"], severe_of="toxic")
-    assert chain.categories == ["low_quality", "toxic", "severe_toxic"]
-    assert [len(m[2]) for m in chain.models] == [0, 1, 2]
+    chain = toxicity.train(docs, marked.where("doc_id < 900"), ["low_quality", "toxic"])
+    assert chain.categories == ["low_quality", "toxic"]
+    assert [len(m[2]) for m in chain.models] == [0, 1]
     got = {r.doc_id: r for r in toxicity.probabilities(docs, chain).collect()}
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     wrong = [i for i in range(900, 1200) if (got[i].p_toxic >= chain.cutoffs[1]) != truth[i]]
     assert len(wrong) <= 6 and all(truth[i] for i in wrong)
-    assert all(r.p_severe_toxic < 0.5 for i, r in got.items() if not truth[i])
     assert toxicity.probabilities(odd, chain).count() == odd.count()
     assert toxicity.probabilities(no_rows, chain).count() == 0
-    untrained = toxicity.train(docs, marked.limit(0), ["low_quality", "toxic"], severe_of="toxic")
+    untrained = toxicity.train(docs, marked.limit(0), ["low_quality", "toxic"])
     assert all(abs(r.p_toxic - 0.5) < 0.1 for r in toxicity.probabilities(docs.limit(5), untrained).collect())
 
 
+def test_out_of_fold_features_do_not_see_their_rows():
+    """A bucket that marks the rows of one class, but only in one fold, is no feature for that fold."""
+    n = 90
+    folds, y = np.arange(n) % toxicity.FOLDS, (np.arange(n) // 3 % 2)[:, None]
+    row = np.concatenate([np.arange(n), np.flatnonzero((folds == 0) & (y[:, 0] == 1))])
+    bucket = np.concatenate([1 + y[:, 0], np.full(len(row) - n, 9)])
+    rows = toxicity._Rows(row, bucket.astype(np.int32), y)
+    assert rows.chosen(np.ones(n, bool))[9] >= 0 and rows.chosen(folds != 0)[9] < 0 and rows.chosen(folds != 1)[9] >= 0
+    assert rows.chosen(folds != 0)[1] >= 0
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op2_quality"])
+def test_queries_on_held_out_rows(spark, name):
+    """The queries' own columns against labels that they haven't seen."""
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.queries()[name](spark, sf).collect()}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    out = [i for i in labels if got[i].held_out]
+    if name == "op1_toxicity":
+        wrong = [i for i in out if got[i].toxic != labels[i].toxic]
+        assert all(0 <= got[i].p_toxic <= 1 and 0 <= got[i].p_low_quality <= 1 for i in got)
+    else:
+        wrong = [i for i in out if got[i].predicted != labels[i].quality]
+        assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got.values())
+    assert len(out) > 50 and len(wrong) <= 0.08 * len(out)
+
+
 def brute_tokens(model, word):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
         top = (-1e18, 0)
-        for start in range(end - 1, -1, -1):
+        for start in range(end - 1, max(-1, end - 1 - model.longest), -1):
             score = model.score.get(word[start:end])
             if score is not None and best[start][0] + score > top[0]:
                 top = (best[start][0] + score, best[start][1] + 1)
@@ -210,25 +239,34 @@ def brute_tokens(model, word):
     return best[-1][1]
 
 
-def test_token_counts_as_brute_force(odd, odd_rows, no_rows):
-    model, split = token_counts._model(BYTE_RANKS, 2)
-    got = Counter((r.doc_id, r.n_bytes, r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(odd, BYTE_RANKS).collect())
+@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 40, 0])
+def test_token_counts_as_brute_force(odd, odd_rows, no_rows, frequent):
+    """Also for counts that are joined, not broadcast; one pre-token has 50,000 letters."""
+    model, split = token_counts._model(BYTE_RANKS, 2), token_counts._split()
+    got = Counter((r.doc_id, r.n_bytes, r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(odd, BYTE_RANKS, frequent=frequent).collect())
     memo = {}
     expected = Counter()
     for i, t, *_ in odd_rows:
-        if i == 12:
-            continue
         parts = split(t or "")
         for p in set(parts) - memo.keys():
             memo[p] = brute_tokens(model, p.encode())
         expected[i, len((t or "").encode()), len(parts), sum(memo[p] for p in parts)] += 1
-    assert Counter({k: v for k, v in got.items() if k[0] != 12}) == expected
+    assert got == expected
     assert token_counts.token_counts(no_rows, BYTE_RANKS).count() == 0
 
 
+def test_pretokens_of_the_corpus_are_scored_once(spark):
+    texts = ["one two  three", "two\u00a0 three", "three\u00a0  four \u3000 x\x1c y", None, "", "\n\n a — b", "é"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = token_counts.vocabulary_counts(df, BYTE_RANKS).collect()
+    expected = Counter(p for t in texts for p in token_counts._split()(t or ""))
+    assert {bytes(r.pretoken).decode(): r.n for r in got} == expected and len(got) == len(expected)
+
+
 def test_prefixes_are_scored_once():
-    model = token_counts.Unigram(BYTE_RANKS)
-    model.learn({"interact", "interaction", "interactions", "internal"})
-    assert model.steps == len("interaction") + len("s") + len("nal")
-    model.learn({"interact", "interactive"})
-    assert model.steps == len("interaction") + len("s") + len("nal") + len("interactive")
+    walk = token_counts.Walk(token_counts.Unigram(BYTE_RANKS))
+    words = sorted([b"interact", b"interaction", b"interactions", b"internal", b"interactive", b"a" * 3000, b"a" * 2999])
+    counts = {w: walk.tokens(w) for w in words}
+    nodes = {w[:k] for w in words for k in range(1, len(w) + 1)}
+    assert walk.steps == len(nodes)
+    assert all(counts[w] == brute_tokens(walk.model, w) for w in words if len(w) < 100)
