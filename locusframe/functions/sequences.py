@@ -63,6 +63,24 @@ def pure_run(seq: Column, base: str, at_end: bool) -> Column:
     return F.length(F.regexp_extract(seq, f"({base}*)$" if at_end else f"^({base}*)", 1))
 
 
+def without_tail(clip: Column, base: Column, at_end: Column) -> Column:
+    """A clip without the pure run of its tail's base at the junction end; as it is where base is null."""
+    end = F.when(base == "A", F.regexp_replace(clip, "A+$", "")).when(base == "T", F.regexp_replace(clip, "T+$", ""))
+    start = F.when(base == "A", F.regexp_replace(clip, "^A+", "")).when(base == "T", F.regexp_replace(clip, "^T+", ""))
+    return F.coalesce(F.when(at_end, end).otherwise(start), clip)
+
+
+def masked_bases(seq: Column, qualities: Column, least: int = 10) -> Column:
+    """The sequence in upper case with N for bases of a quality (Phred+33) below ``least``.
+
+    Only where there are as many qualities as bases; else the bases stay.
+    """
+    letters = F.filter(F.split(F.upper(seq), ""), lambda x: x != "")
+    marks = F.filter(F.split(qualities, ""), lambda x: x != "")
+    hidden = F.array_join(F.zip_with(letters, marks, lambda x, q: F.when(F.ascii(q) - 33 < least, F.lit("N")).otherwise(x)), "")
+    return F.when(F.length(seq) == F.length(qualities), hidden).otherwise(F.upper(seq))
+
+
 def poly_tail(clip: Column, at_end: bool, least: int = 10, share: float = 0.8) -> Column:
     """The A or T tail that begins at the junction end of a clip: struct of base and length, or null.
 

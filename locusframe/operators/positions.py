@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import staged
+
 
 def _bin(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
@@ -45,14 +47,32 @@ def gap_clusters(df: DataFrame, keys: list[str], position: str, window: int, tie
     return carried.withColumn(name, F.coalesce("_start", "_earlier")).drop("_before", "_start", "_earlier")
 
 
-def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int = 40) -> DataFrame:
-    """At most ``most`` rows of each key, spread evenly over the order."""
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", size: str | None = None) -> DataFrame:
+    """Number the rows of each key from 0 by an order that leaves no ties, and add the key's number of rows.
+
+    Rows are dealt by ranges of key and order, so that a key with very many of them is numbered
+    by several tasks; each learns how many come before from a small table of ranges.
+    """
+    dealt = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_here"))
     group = Window.partitionBy(*keys)
-    rank = (F.row_number().over(group.orderBy(*order)) - 1).alias("_rank")
-    ranked = df.select("*", rank, F.count("*").over(group).alias("_n"))
+    before = F.coalesce(F.sum("_here").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_here").over(group).alias("_size"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = dealt.withColumn("_inside", inside).join(offsets, on)
+    out = [(F.col("_before") + F.col("_inside")).alias(rank)]
+    return joined.select(*df.columns, *out, *([F.col("_size").alias(size)] if size else []))
+
+
+def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int = 40) -> DataFrame:
+    """At most ``most`` rows of each key, spread evenly over the order (which leaves no ties)."""
+    numbered = ranked(df, keys, order, "_rank", "_n")
     step = F.expr(f"(_rank * {most}) div _n")
     before = F.expr(f"((_rank - 1) * {most}) div _n")
-    return ranked.where((F.col("_n") <= most) | (F.col("_rank") == 0) | (step != before)).drop("_rank", "_n")
+    return numbered.where((F.col("_n") <= most) | (F.col("_rank") == 0) | (step != before)).drop("_rank", "_n")
 
 
 def top_rows(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

@@ -48,6 +48,11 @@ def profiles(rows: DataFrame, options: Calling) -> DataFrame:
         count(clip & F.col("short")).alias("short_clips"),
         count(clip & F.col("supplementary")).alias("supplementary_clips"),
         count(F.col("tail").isNotNull()).alias("tail_clips"),
+        count(F.col("tail.base") == "A").alias("polya_clips"),
+        count(F.col("tail.base") == "T").alias("polyt_clips"),
+        count(F.col("kind") == "mate_unmapped").alias("unmapped_mates"),
+        count(~clip & (F.col("kind") != "mate_unmapped")).alias("discordant_mates"),
+        (F.count_distinct("side") == 2).alias("both_sides"),
         F.max("tail.length").alias("tail_length"),
         F.first("left_junction").alias("left_junction"),
         F.first("right_junction").alias("right_junction"),
@@ -91,63 +96,143 @@ def at_probe_edges(rows: DataFrame, probes: DataFrame, tolerance: int) -> DataFr
     return both.groupBy(*KEYS).agg(F.every(F.col("distance").isNotNull()).alias("only_edges"))
 
 
-def features(candidates: DataFrame) -> dict[str, Column]:
-    """The seven features of the quality score. Columns of typing and mates are used where they exist."""
-    has = set(candidates.columns)
-    mei = F.col("mei_mates") / F.nullif(F.col("checked_mates"), F.lit(0)) >= 0.6 if "mei_mates" in has else F.lit(False)
+# Fixed values of the filters: least identity of the mates of a candidate that they type, and of one without
+# junction clips; its least MEI mates and their share; typed clips that outweigh the depth.
+MATE_IDENTITY, MATE_ONLY_IDENTITY = 0.96, 0.98
+MATE_ONLY_MATES, MATE_ONLY_SHARE = 4, 0.6
+CLIPS_BEYOND_RATIO = 5
+
+#: What later steps add to a candidate, and its value before them (and without them).
+LATER = {
+    "family": "string", "subfamily": "string", "reverse": "boolean", "element_start": "int", "element_end": "int", "identity": "double",
+    "typed_clips": "int", "short_typed_clips": "int", "by_mates": "boolean", "checked_mates": "long", "mei_mates": "long", "tail_mates": "long",
+    "mate_identity": "double", "reference_copy": "boolean", "breakpoint_clips": "long", "only_edges": "boolean",
+}
+_NULL = ("family", "subfamily", "reverse", "element_start", "element_end", "identity", "mate_identity")
+
+
+def with_later(candidates: DataFrame) -> DataFrame:
+    """Add the columns of later steps that aren't there yet: null, 0 or false."""
+    for name, kind in LATER.items():
+        if name not in candidates.columns:
+            start = None if name in _NULL else False if kind == "boolean" else 0
+            candidates = candidates.withColumn(name, F.lit(start).cast(kind))
+    return candidates
+
+
+def mostly_mei() -> Column:
+    """Whether most of the mates that were looked at, and enough of them, are of an element."""
+    return (F.col("mei_mates") >= MATE_ONLY_MATES) & (F.col("mei_mates") / F.greatest("checked_mates", F.lit(1)) >= MATE_ONLY_SHARE)
+
+
+def mate_only() -> Column:
+    """Whether a candidate without enough junction clips is an insertion by its mates: typed, young, with some clip at its breakpoint."""
+    identity = F.when(F.col("by_mates"), F.col("identity")).otherwise(F.col("mate_identity"))
+    clipped = F.col("breakpoint_clips") + F.col("junction_clips") > 0
+    told = F.col("family").isNotNull() & F.array_contains("filters", "no_junction") & ~F.col("reference_copy") & clipped & mostly_mei() & (identity >= MATE_ONLY_IDENTITY)
+    return F.coalesce(told, F.lit(False))
+
+
+def may_pass() -> Column:
+    """Whether a candidate can pass once its mates are known: typed, with enough junction clips."""
+    return F.col("family").isNotNull() & ~F.array_contains("filters", "no_junction")
+
+
+def features() -> dict[str, Column]:
+    """The seven features of the quality score, over the columns of a candidate."""
     return {
         "both_junctions": (F.col("left_clips") > 0) & (F.col("right_clips") > 0),
         "tail": F.col("tail_clips") > 0,
         "tsd": F.col("tsd").isNotNull(),
-        "identity": F.col("identity") >= 0.98 if "identity" in has else F.lit(False),
+        "identity": F.col("identity") >= 0.98,
         "distinct_starts": F.col("distinct_starts").cast("double") / F.col("support") >= 0.7,
-        "mei_mates": mei,
+        "mei_mates": F.col("mei_mates") / F.nullif(F.col("checked_mates"), F.lit(0)) >= 0.6,
         "ratio": F.col("signal_ratio") >= 0.2,
     }
 
 
 def judged(candidates: DataFrame, options: Calling) -> DataFrame:
-    """Add the late filters, quality and confidence. Typing filters apply where typing columns exist."""
-    has = set(candidates.columns)
-    typed = F.coalesce(F.col("typed_clips"), F.lit(0)) if "typed_clips" in has else F.lit(0)
-    reasons = [F.col("filters")]
-    if "typed_clips" in has and options.min_typed_clips > 0:
-        reasons.append(F.when(typed < options.min_typed_clips, F.array(F.lit("untyped"))).otherwise(F.array().cast("array<string>")))
-    if "checked_mates" in has:
-        few = (F.col("checked_mates") > 0) & (F.col("mei_mates") < options.min_mei_mate_fraction * F.col("checked_mates"))
-        reasons.append(F.when(few, F.array(F.lit("non_mei_mates"))).otherwise(F.array().cast("array<string>")))
-    late = []
-    if "only_edges" in has:
-        late.append((F.col("only_edges") & (F.col("tail_clips") == 0) & F.col("tsd").isNull() & (typed == 0), "probe_edge"))
-    late.append(((typed < 5) & (F.col("signal_ratio") < options.min_signal_ratio), "low_ratio"))
-    quality = sc.quality_score(features(candidates))
-    rated = candidates.withColumn("qual", quality).withColumn("filters", F.concat(*reasons, sc.reason_list(late)))
+    """Add the late filters, quality and confidence.
+
+    Short clips count only where some mate is of an element: else they are left out of the
+    junction clips and of the typed ones. Filters stand in the order in which they are found,
+    but a late no_junction comes right after low_support.
+    """
+    rows = with_later(candidates).withColumn("_alone", mate_only())
+    none = F.array().cast("array<string>")
+    some = F.col("mei_mates") > 0
+    tailed = F.col("tail_clips") > 0
+    typed = F.coalesce("typed_clips", F.lit(0))
+    counted = F.when(some, typed).otherwise(F.greatest(typed - F.coalesce("short_typed_clips", F.lit(0)), F.lit(0)))
+    known = F.when(F.col("_alone"), F.array_remove("filters", "no_junction")).otherwise(F.col("filters"))
+    short = ~some & ~F.col("_alone") & (F.greatest(F.col("junction_clips") - F.col("short_junction_clips"), F.lit(0)) < options.min_clips) & ~F.array_contains("filters", "no_junction")
+    low = F.filter(known, lambda x: x == "low_support")
+    known = F.when(short, F.concat(low, F.array(F.lit("no_junction")), F.filter(known, lambda x: x != "low_support"))).otherwise(known)
+    enough_mates = F.col("mei_mates") >= options.min_typed_clips
+    by_mates = F.coalesce(F.col("by_mates"), F.lit(False)) & ~F.col("reference_copy") & (F.col("identity") >= MATE_IDENTITY) & (F.col("tail_clips") >= options.min_typed_clips) & enough_mates
+    ways = [counted >= options.min_typed_clips, (counted >= 1) & tailed & enough_mates, (counted >= 1) & mostly_mei() & (F.col("mate_identity") >= MATE_IDENTITY), by_mates, F.col("_alone")]
+    is_typed = F.lit(False)
+    for way in ways:
+        is_typed = is_typed | F.coalesce(way, F.lit(False))
+    hallmark = tailed | F.col("tsd").isNotNull() | (typed > 0)
+    late = sc.reason_list([
+        (~is_typed, "untyped"),
+        ((F.col("checked_mates") > 0) & (F.col("mei_mates") < options.min_mei_mate_fraction * F.col("checked_mates")), "non_mei_mates"),
+        (F.col("only_edges") & ~hallmark, "probe_edge"),
+        ((counted < CLIPS_BEYOND_RATIO) & (F.col("signal_ratio") < options.min_signal_ratio), "low_ratio"),
+    ])
+    rated = rows.withColumn("filters", F.concat(known, late)).withColumn("qual", sc.quality_score(features()))
     rated = rated.withColumn("passes_before_quality", F.size("filters") == 0)
-    low = F.when(F.col("qual") < options.least_quality, F.array(F.lit("low_qual"))).otherwise(F.array().cast("array<string>"))
-    rated = rated.withColumn("filters", F.concat("filters", low))
-    by_mates = F.col("by_mates") if "by_mates" in has else F.lit(False)
-    return rated.withColumn("confidence", sc.confidence(F.size("filters") == 0, F.col("tail_clips") > 0, by_mates, F.col("tsd").isNotNull()))
+    poor = F.when(F.col("qual") < options.least_quality, F.array(F.lit("low_qual"))).otherwise(none)
+    rated = rated.withColumn("filters", F.concat("filters", poor))
+    return rated.withColumn("confidence", sc.confidence(F.size("filters") == 0, tailed, F.coalesce("by_mates", F.lit(False)), F.col("tsd").isNotNull())).drop("_alone")
 
 
-def genotyped(candidates: DataFrame, reads: DataFrame, options: Reading) -> DataFrame:
-    """Add allele counts and the genotype (struct of call, quality and likelihoods).
+def allele_counts(sites: DataFrame, reads: DataFrame, overhang: int, slack: int = ALLELE_SLACK, width: int = 512) -> DataFrame:
+    """Reads of each allele at sites (site, s_contig, left, right): site, alt_left, alt_right, ref_reads.
 
-    Reads clipped at a junction speak for the insertion; reads over the whole site with some
-    bases to spare at both sides speak against it, once for each junction.
+    reads: contig, start, end, left_clip and right_clip (lengths of good clips, else 0). A read
+    whose clip of ``overhang`` bases ends within ``slack`` of its junction speaks for the
+    insertion; one that covers the whole site and as many bases on both sides, and doesn't,
+    speaks against it. Only reads that overlap the site or a base beside it count. A site
+    without a junction has zeros.
     """
+    spans = sites.withColumn("low", F.least("left", "right")).withColumn("high", F.greatest("left", "right"))
+    kept = reads.select(F.col("contig").alias("r_contig"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), "left_clip", "right_clip")
+    near = (F.greatest(F.col("low") - 1, F.lit(0)), F.col("high") + 1)
+    pairs = iv.overlap_join(spans.where("low is not null"), kept, [("s_contig", "r_contig")], near, (F.col("r_start"), F.col("r_end")), width)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    left = no((F.col("right_clip") >= overhang) & (F.abs(F.col("r_end") - F.col("left")) <= slack))
+    right = no((F.col("left_clip") >= overhang) & (F.abs(F.col("r_start") - F.col("right")) <= slack))
+    whole = (F.col("r_start") + overhang <= F.col("low")) & (F.col("r_end") >= F.col("high") + overhang)
+    counts = pairs.groupBy("site").agg(F.count_if(left).alias("alt_left"), F.count_if(right).alias("alt_right"), F.count_if(whole & ~left & ~right).alias("ref_reads"))
+    return sites.select("site").join(counts, "site", "left").na.fill(0, ["alt_left", "alt_right", "ref_reads"])
+
+
+def _good_clips(reads: DataFrame, options: Reading) -> DataFrame:
+    """left_clip and right_clip of the kept reads: their lengths, or 0 where the median quality is low."""
     from ..functions.sequences import soft_clips
+    from .extract import _qualities, lower_median
 
-    left = F.coalesce("left_junction", "right_junction", "breakpoint")
-    right = F.coalesce("right_junction", "left_junction", "breakpoint")
-    sites = candidates.select(F.col("contig").alias("s_contig"), F.col("cluster_start").alias("s_cluster"), "left_junction", "right_junction", F.least(left, right).alias("low"), F.greatest(left, right).alias("high"))
-    kept = reads.where(exclusion(options) == "kept").where("start is not null").withColumn("c", soft_clips(F.col("cigar"))).select(F.col("contig").alias("r_contig"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), "c")
-    pairs = iv.overlap_join(sites, kept, [("s_contig", "r_contig")], (F.greatest(F.col("low") - ALLELE_SLACK - 1, F.lit(0)), F.col("high") + ALLELE_SLACK + 1), (F.col("r_start"), F.col("r_end")), 512)
-    alt_left = (F.col("c.right") >= options.overhang) & (F.abs(F.col("r_end") - F.col("left_junction")) <= ALLELE_SLACK)
-    alt_right = (F.col("c.left") >= options.overhang) & (F.abs(F.col("r_start") - F.col("right_junction")) <= ALLELE_SLACK)
-    spans = (F.col("r_start") <= F.col("low") - options.overhang) & (F.col("r_end") >= F.col("high") + options.overhang)
-    no = lambda c: F.coalesce(c, F.lit(False))
-    counts = pairs.groupBy("s_contig", "s_cluster").agg(F.count_if(no(alt_left)).alias("alt_left"), F.count_if(no(alt_right)).alias("alt_right"), F.count_if(spans & ~no(alt_left) & ~no(alt_right)).alias("ref_reads"))
-    joined = candidates.join(counts, (F.col("contig") == F.col("s_contig")) & (F.col("cluster_start") == F.col("s_cluster")), "left").drop("s_contig", "s_cluster").na.fill(0, ["alt_left", "alt_right", "ref_reads"])
-    joined = joined.withColumn("alt_reads", F.col("alt_left") + F.col("alt_right")).withColumn("junctions", F.greatest(F.lit(1), F.col("left_junction").isNotNull().cast("int") + F.col("right_junction").isNotNull().cast("int")))
+    kept = reads.where(exclusion(options) == "kept").where("start is not null").withColumn("c", soft_clips(F.col("cigar")))
+    quality = _qualities(F.col("qual"))
+    whole = F.size(quality)
+    # the qualities of most reads are never looked at: only a long clip's count
+    left = F.when(F.col("c.left") >= options.overhang, F.when((whole < F.col("c.left")) | (lower_median(F.slice(quality, F.lit(1), F.greatest("c.left", F.lit(1)))) >= options.min_clip_quality), F.col("c.left")).otherwise(0)).otherwise(0)
+    ending = F.slice(quality, F.greatest(whole - F.col("c.right") + 1, F.lit(1)), F.greatest("c.right", F.lit(1)))
+    right = F.when(F.col("c.right") >= options.overhang, F.when(lower_median(ending) >= options.min_clip_quality, F.col("c.right")).otherwise(0)).otherwise(0)
+    return kept.withColumn("left_clip", left).withColumn("right_clip", right)
+
+
+def genotyped(candidates: DataFrame, reads: DataFrame, options: Reading) -> DataFrame:
+    """Add allele counts and the genotype (struct of call, quality and likelihoods; null without a junction).
+
+    Reference reads count once for each junction.
+    """
+    sites = candidates.select(F.struct(*KEYS).alias("site"), F.col("contig").alias("s_contig"), F.col("left_junction").alias("left"), F.col("right_junction").alias("right"))
+    counts = allele_counts(sites, _good_clips(reads, options), options.overhang).select("site.*", "alt_left", "alt_right", "ref_reads")
+    joined = candidates.join(counts, KEYS, "left").na.fill(0, ["alt_left", "alt_right", "ref_reads"])
+    joined = joined.withColumn("alt_reads", F.col("alt_left") + F.col("alt_right")).withColumn("junctions", F.col("left_junction").isNotNull().cast("int") + F.col("right_junction").isNotNull().cast("int"))
     joined = joined.withColumn("ref_reads", F.col("ref_reads") * F.col("junctions"))
-    return joined.withColumn("genotype", sc.genotype(F.col("alt_reads"), F.col("ref_reads"), F.col("junctions"), F.col("passes_before_quality"), F.col("depth")))
+    call = sc.genotype(F.col("alt_reads"), F.col("ref_reads"), F.col("junctions"), F.col("passes_before_quality"), F.col("depth"))
+    return joined.withColumn("genotype", F.when(F.col("junctions") > 0, call))

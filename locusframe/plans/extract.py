@@ -10,6 +10,8 @@ from ..functions import sequences as sq
 from ..operators import intervals as iv
 from ..operators import statistics as st
 from ..options import Reading
+from ..storage import staged
+from . import typing
 
 LEFT, RIGHT = 0, 1
 #: Reads are taken to be no longer than this on the reference when they are held against regions.
@@ -60,7 +62,7 @@ def clips(reads: DataFrame, options: Reading) -> DataFrame:
     values = _qualities(F.col("_e.q"))
     rows = rows.withColumn("median_q", lower_median(values)).withColumn("masked", F.coalesce(F.forall(values, lambda x: x < options.min_clip_quality) & (F.size(values) > 0), F.lit(False)))
     tail = F.when(F.col("_e.side") == LEFT, sq.poly_tail(F.col("_e.clip"), True, options.polya_min_len, options.polya_min_frac)).otherwise(sq.poly_tail(F.col("_e.clip"), False, options.polya_min_len, options.polya_min_frac))
-    return rows.select(*_common(F.col("_e.position"), F.col("_e.side"), "soft_clip"), F.col("_e.clip").alias("clip"), "median_q", "masked", tail.alias("tail"), F.col("has_sa").alias("supplementary"), (F.col("_e.n") < options.min_clip_len).alias("short"), F.lit(None).cast("int").alias("mate_contig"), F.lit(None).cast("long").alias("mate_start"), F.lit(None).cast("long").alias("mate_span"), F.lit(None).cast("long").alias("length"))
+    return rows.select(*_common(F.col("_e.position"), F.col("_e.side"), "soft_clip"), F.col("_e.clip").alias("clip"), "median_q", "masked", tail.alias("tail"), F.col("has_sa").alias("supplementary"), (F.col("_e.n") < options.min_clip_len).alias("short"), F.lit(None).cast("int").alias("mate_contig"), F.lit(None).cast("long").alias("mate_start"), F.lit(None).cast("long").alias("mate_span"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("int").alias("mate_mapq"))
 
 
 def _common(position: Column, side: Column, kind: str | Column) -> list[Column]:
@@ -83,7 +85,7 @@ def mates(reads: DataFrame, options: Reading) -> DataFrame:
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("clip", "string"), ("median_q", "int"), ("masked", "boolean"), ("tail", "struct<base:string,length:int>"), ("supplementary", "boolean"), ("short", "boolean"))]
     rows = reads.where(flag(1)).withColumn("_kind", kind).where("_kind <> 'none'")
     located = F.col("_kind") != "mate_unmapped"
-    return rows.select(*_common(position, side, F.col("_kind")), *nothing, F.when(located, F.col("mate_contig")).alias("mate_contig"), F.when(located, F.col("mate_start")).alias("mate_start"), F.when(located, sq.reference_span(F.col("mc"))).alias("mate_span"), F.abs("tlen").alias("length"))
+    return rows.select(*_common(position, side, F.col("_kind")), *nothing, F.when(located, F.col("mate_contig")).alias("mate_contig"), F.when(located, F.col("mate_start")).alias("mate_start"), F.when(located, sq.reference_span(F.col("mc"))).alias("mate_span"), F.abs("tlen").alias("length"), F.when(located, F.col("mq")).alias("mate_mapq"))
 
 
 def insert_sizes(mate_rows: DataFrame, most: int = 10_000) -> DataFrame:
@@ -92,10 +94,11 @@ def insert_sizes(mate_rows: DataFrame, most: int = 10_000) -> DataFrame:
     return st.outlier_threshold(sizes, [], "length")
 
 
-def signals(reads: DataFrame, regions: DataFrame, options: Reading) -> tuple[DataFrame, DataFrame, DataFrame]:
+def signals(reads: DataFrame, regions: DataFrame, options: Reading, consensus: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signals of the reads in the regions, counts of reads by outcome, and the insert-size statistics.
 
-    Large inserts are signals if they exceed the threshold. Rows alike in all columns are one.
+    Large inserts are signals if they exceed the threshold; short clips if they have a tail or
+    a hit of some consensus. Rows alike in all columns are one.
     """
     inside = reads_in(reads, regions)
     judged = inside.withColumn("outcome", exclusion(options))
@@ -104,6 +107,12 @@ def signals(reads: DataFrame, regions: DataFrame, options: Reading) -> tuple[Dat
     sizes = insert_sizes(found)
     pairs = found.where("kind not in ('insert_size', 'large_insert')")
     large = found.where("kind = 'large_insert'").crossJoin(F.broadcast(sizes.select("threshold"))).where("length > threshold").drop("threshold")  # one row
-    clipped = clips(kept, options).where((F.col("median_q") >= options.min_clip_quality) & (~F.col("short") | F.col("tail").isNotNull()))
+    good = clips(kept, options).where(F.col("median_q") >= options.min_clip_quality)
+    plain = ~F.col("short") | F.col("tail").isNotNull()
+    clipped = good.where(plain)
+    if consensus is not None:
+        short = staged(good.where(~plain), "short-clips")
+        known = typing.hits(short.select(F.upper("clip").alias("id"), F.upper("clip").alias("seq")).distinct(), consensus).select(F.col("id").alias("_clip")).distinct()
+        clipped = clipped.unionByName(short.join(known, F.upper("clip") == F.col("_clip"), "left_semi"))
     both = clipped.unionByName(pairs).unionByName(large)
     return both.dropDuplicates(), judged.groupBy("outcome").agg(F.count("*").alias("n")), sizes

@@ -14,16 +14,16 @@ def flip(s):
     return s[::-1].translate(_FLIP)
 
 
-def simulate(path, seed=5, length=20_000, right=9_988, tsd=12, tail=30, depth=50):
+def simulate(path, seed=5, length=20_000, right=9_988, tsd=12, tail=30, depth=50, element=280):
     """Insert an element with a tail before ``right + tsd``, so that the site of ``tsd`` bases is doubled.
 
-    Returns the reference. Reads of the other haplotype map whole; those over a junction are
-    clipped, and those inside of the element are unmapped.
+    Returns the reference and the element. Reads of the other haplotype map whole; those over a
+    junction are clipped, and those inside of the element are unmapped.
     """
     rng = random.Random(seed)
     ref = dna(rng, length)
     left = right + tsd
-    inserted = dna(rng, 280) + "A" * tail
+    inserted = dna(rng, element) + "A" * tail
     carrier = ref[:left] + inserted + ref[right:]
     window = (8_500, 11_500)
     lines = ["@HD\tVN:1.6\tSO:coordinate", f"@SQ\tSN:chr1\tLN:{length}", "@SQ\tSN:chr2\tLN:5000", "@RG\tID:a\tSM:made_up"]
@@ -77,4 +77,4 @@ def simulate(path, seed=5, length=20_000, right=9_988, tsd=12, tail=30, depth=50
                 records.append((at, f"{name}\t{flag}\tchr1\t{at + 1}\t{60 if own else 0}\t{own[1] if own else '*'}\t=\t{(mate or own)[0] + 1}\t{tlen}\t{seqs[i]}\t{'I' * READ}{tags}"))
     with open(path, "w") as out:
         out.write("\n".join([*lines, *(r for _, r in sorted(records))]) + "\n")
-    return ref
+    return ref, inserted[: len(inserted) - tail]

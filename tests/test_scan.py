@@ -1,6 +1,7 @@
 """From SAM text to candidates and reports."""
 
 import gzip
+import json as js
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from .simulate import simulate
 @pytest.fixture(scope="module")
 def sample(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("scan")
-    ref = simulate(folder / "reads.sam")
+    ref, element = simulate(folder / "reads.sam")
+    (folder / "elements.fa").write_text(f">AluMade#SINE/Alu\n{element}\n>L1Made#LINE/L1\n{element[::-1]}\n")
     (folder / "targets.bed").write_text("# probes\ntrack x\nchr1\t9700\t9900\tone\nchr1 10100 10300 two\n\n")
     (folder / "ref.fa").write_text(">chr1 made up\n" + "\n".join(ref[i : i + 60] for i in range(0, len(ref), 60)) + "\n>chr2\nACGT\n")
     contigs, samples = text.sam_header(spark, str(folder / "reads.sam"))
@@ -80,23 +82,70 @@ def test_scan_finds_the_insertion(spark, sample):
     folder, _, contigs, _, reads = sample
     probes = text.bed(spark, str(folder / "targets.bed"))
     options = Options(calling=Calling(min_typed_clips=0, profile="discovery"))
-    got = scan.scan(reads, contigs, probes, options).cache()
+    with pytest.raises(ValueError, match="min_typed_clips"):
+        scan.scan(reads, contigs, probes, Options())
+    got = scan.scan(reads, contigs, probes, options)
     assert got.count() == 1
     row = got.first()
     assert (row.left_junction, row.right_junction, row.tsd) == (10000, 9988, 12)
     assert row.breakpoint in (9988, 10000) and row.tail_clips >= 2 and row.confidence == "high"
     assert row.genotype.call == "0/1" and row.alt_reads > 5 and row.ref_reads > 5 and row.depth > 20
-    line = report.tsv(got).first().line.split("\t")
-    assert line[:2] == ["MEI_1", "chr1"] and len(line) == len(report.TSV_COLUMNS) and "None" not in line
-    assert report.bed(got).first().line.startswith("chr1\t9988\t10000\tMEI_1\t")
-    assert report.json(got).first().line.startswith('{"id":"MEI_1","contig":"chr1"')
-    header = report.vcf_header([("chr1", 20000)], "made_up", ["low_qual"])
+
+
+@pytest.fixture(scope="module")
+def whole(spark, sample):
+    """A scan with consensus and reference, and its default demands."""
+    folder, _, contigs, _, reads = sample
+    probes = text.bed(spark, str(folder / "targets.bed"))
+    consensus, reference = text.consensus(spark, str(folder / "elements.fa")), text.fasta(spark, str(folder / "ref.fa"))
+    return scan.run(reads, contigs, probes, Options(), consensus, reference)
+
+
+def test_scan_types_and_assembles(sample, whole):
+    _, ref, _, _, _ = sample
+    row = whole.candidates.collect()[0]
+    assert whole.candidates.count() == 1 and row.filters == []
+    assert (row.family, row.subfamily, row.reverse, row.by_mates) == ("ALU", "AluMade", False, False)
+    assert row.typed_clips >= 2 and row.identity == 1.0 and row.element_start == 0
+    assert row.checked_mates >= 20 and row.mei_mates > 0.7 * row.checked_mates and row.mate_identity > 0.99 and not row.reference_copy
+    assert row.assembled == "both" and (row.left_junction, row.right_junction) == (10000, 9988)
+    assert row.tsd_bases == ref[9988:10000] and row.tsd == 12 and (row.tail_base, row.tail_run) == ("A", 30)
+    assert row.ref_base == ref[row.breakpoint - 1] and row.qual >= 10 and row.confidence == "high"
+    assert {r.stage: r.n for r in whole.stages.collect()}["passed"] == 1
+    assert {r.outcome for r in whole.outcomes.collect()} == {"kept", "unmapped"} and whole.sizes.first().n > 100
+
+
+def test_reports(spark, sample, whole):
+    folder, _, contigs, _, _ = sample
+    got = whole.candidates
+    heading = report.Heading("made_up", report.command_line(["scan", "/data/x/reads.sam"]), (("chr1", 20000),), "ref.fa")
+    assert heading.command == "scan reads.sam"
+    line = dict(zip(report.TSV_COLUMNS, report.tsv(got).first().line.split("\t"), strict=True))
+    assert (line["id"], line["contig"], line["filter"], line["family"], line["typed_by"], line["assembled"], line["polya_length"], line["strand"]) == ("MEI_1", "chr1", "PASS", "ALU", "clips", "both", "30", "+")
+    assert line["cipos"] == "." and line["element_start"] == "1" and line["tsd_length"] == "12" and "None" not in line.values() and line["identity"] == "1.000"
+    assert report.bed(got).first().line.split("\t") == ["chr1", "9988", "10000", "MEI_1", line["support"], "+", "high"]
     path = folder / "out.vcf.gz"
-    assert report.write_one(report.vcf(got), str(path), header) == 1
+    assert report.write(got, str(path), "vcf", heading) == 1
     lines = gzip.open(path, "rt").read().splitlines()
-    assert lines[0] == "##fileformat=VCFv4.2" and lines[-1].split("\t")[6:8][0] == "PASS" and not list(folder.glob(".*.part"))
+    assert lines[0] == "##fileformat=VCFv4.2" and lines[-1].split("\t")[6] == "PASS" and lines[-1].split("\t")[4] == "<INS:ME:ALU>" and not list(folder.glob(".*.part"))
     calls = text.calls_vcf(spark, str(path)).first()
-    assert calls.contig == "1" and calls["info"]["TSDLEN"] == "12"
+    assert calls.contig == "1" and calls["info"]["TSD_LEN"] == "12" and calls["info"]["MEINFO"].startswith("AluMade,1,")
+    declared = {x.split("ID=")[1].split(",")[0] for x in lines if x.startswith("##INFO")}
+    assert len(declared) == 22 and set(calls["info"]) <= declared
+    nested = report.nested_signals(whole.signals, contigs, anonymize=True)
+    assert report.write(got, str(folder / "out.json"), "json", heading, nested) == 1
+    told = js.loads((folder / "out.json").read_text())
+    one = told["candidates"][0]
+    assert told["sample"] == "made_up" and one["filter"] == ["PASS"] and one["assembly"]["assembled"] == "both" and one["cipos"] is None
+    assert one["signals"][0]["read"] == "read_1" and {s["kind"] for s in one["signals"]} == {"soft_clip", "mate_unmapped"}
+    names = list(dict.fromkeys(s["read"] for s in one["signals"]))
+    assert names == [f"read_{k + 1}" for k in range(len(names))] and any(s.get("mei_mate") for s in one["signals"])
+    assert all("mapq" in s and ("tail" in s or True) for s in one["signals"])
+    for form in ("tsv", "bed"):
+        assert report.write(got, str(folder / f"out.{form}"), form, heading) == 1
+    assert text.calls_tsv(spark, str(folder / "out.tsv")).first().family == "ALU"
+    with pytest.raises(ValueError, match="formats"):
+        report.write(got, "x", "xml", heading)
 
 
 def test_partitions_do_not_matter(spark, sample):
@@ -105,3 +154,10 @@ def test_partitions_do_not_matter(spark, sample):
     options = Options(calling=Calling(min_typed_clips=0, profile="discovery", keep_filtered=True))
     lines = [sorted(r.line for r in report.tsv(scan.scan(x, contigs, probes, options)).collect()) for x in (reads, reads.repartition(7))]
     assert lines[0] == lines[1] and lines[0]
+
+
+def test_unknown_contigs_are_errors(spark, sample):
+    folder, _, contigs, _, reads = sample
+    probes = text.bed(spark, str(folder / "targets.bed")).withColumn("contig", F.lit("1"))
+    with pytest.raises(ValueError, match="other style"):
+        scan.scan(reads, contigs, probes, Options(calling=Calling(min_typed_clips=0)))
