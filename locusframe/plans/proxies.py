@@ -119,12 +119,6 @@ _PROFILE = f"""{_CLUSTERS}, hours as (
 )"""
 
 
-@query(f"with {_PROFILE} select user_id, cluster_start, support, kinds, clicks::bigint as clicks, views::bigint as views, errors::bigint as errors, purchases::bigint as purchases, first, last, mode_hour, near_mode::bigint as near_mode from profile")
-def cluster_profile(spark, sf_dir):
-    """Counts, extent and smallest mode of each cluster."""
-    return profile(spark, sf_dir)
-
-
 @query(f"""with {_CLUSTERS}, sides as (
   select user_id, cluster_start, max(pos) filter (where event_type in ('click', 'view')) as up, min(pos) filter (where event_type not in ('click', 'view')) as down,
          count(*) filter (where event_type in ('click', 'view')) as n_up, count(*) filter (where event_type not in ('click', 'view')) as n_down
@@ -234,12 +228,6 @@ def _allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_if(alt & (F.col("l_linestatus") == "F")).alias("alt_left"), F.count_if(alt & (F.col("l_linestatus") == "O")).alias("alt_right"), F.count_if(~alt & (F.col("l_quantity") > 25)).alias("ref"), F.count("*").alias("depth"))
 
 
-@query(f"with {_COUNTS} select l_partkey, alt_left::bigint as alt_left, alt_right::bigint as alt_right, ref::bigint as ref, depth from counts")
-def allele_counts(spark, sf_dir):
-    """Conditional counts of both alternative sides and the reference."""
-    return _allele_counts(spark, sf_dir)
-
-
 @query(f"""with {_COUNTS}, l as (
   select *, alt_left + alt_right as alt, greatest((alt_left > 0)::int + (alt_right > 0)::int, 1)::double as j from counts
 ), ll as (
@@ -308,12 +296,6 @@ def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.withColumn("filters", sc.reason_list(reasons))
 
 
-@query(f"with {_QUALITY} select user_id, cluster_start, qual, array_to_string(list_filter([{_REASONS}], lambda x: x is not null), ';') as filters from rated")
-def filter_list(spark, sf_dir):
-    """All reasons against each cluster, in order."""
-    return _filtered(spark, sf_dir).select("user_id", "cluster_start", "qual", F.array_join("filters", ";").alias("filters"))
-
-
 @query(f"""with {_QUALITY}, f as (select *, len(list_filter([{_REASONS}], lambda x: x is not null)) = 0 as passes from rated)
 select user_id, cluster_start, case when not passes then null when clicks = 0 or purchases > 1 then 'low' when views > 0 then 'high' else 'medium' end as confidence from f""")
 def confidence_tier(spark, sf_dir):
@@ -391,19 +373,19 @@ def longest_run(spark, sf_dir):
 
 
 _SEEDS = f"""with q as (select doc_id, {_DNA} as seq from documents), b as (select item_id, {_DNA} as seq from benchmark),
-qk as (select doc_id, i - 1 as qpos, substr(seq, i, 6) as kmer from (select *, unnest(range(1, length(seq) - 4)) as i from q)),
-bk as (select item_id, i - 1 as bpos, substr(seq, i, 6) as kmer from (select *, unnest(range(1, length(seq) - 4)) as i from b)),
-mixed as (select item_id, bpos, kmer from bk where {' and '.join(f"5 * (6 - length(replace(kmer, '{b}', ''))) < 24" for b in 'ACGT')}),
+qk as (select doc_id, i - 1 as qpos, substr(seq, i, 11) as kmer from (select *, unnest(range(1, length(seq) - 9)) as i from q)),
+bk as (select item_id, i - 1 as bpos, substr(seq, i, 11) as kmer from (select *, unnest(range(1, length(seq) - 9)) as i from b)),
+mixed as (select item_id, bpos, kmer from bk where {' and '.join(f"5 * (11 - length(replace(kmer, '{b}', ''))) < 44" for b in 'ACGT')}),
 seeds as (select doc_id, item_id, (bpos - qpos)::bigint as diagonal from qk join mixed using (kmer))"""
 
 
 def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared informative 6-mers of documents and benchmark items, by diagonal."""
+    """Shared informative 11-mers of documents and benchmark items, by diagonal."""
     parts = []
     for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
         text = F.coalesce(F.col("text"), F.lit(""))
         seq = F.translate(F.concat(*[F.md5(F.concat(text, F.lit(str(i)))) for i in range(3)]), *_LETTERS)
-        parts.append(table(spark, sf_dir, name).select(key, F.inline(sq.informative_kmers(seq, 6))))
+        parts.append(table(spark, sf_dir, name).select(key, F.inline(sq.informative_kmers(seq, 11))))
     queries = parts[0].select("doc_id", F.col("position").alias("qpos"), "kmer")
     index = parts[1].select("item_id", F.col("position").alias("bpos"), "kmer")
     return queries.join(index, "kmer").select("doc_id", "item_id", (F.col("bpos") - F.col("qpos")).cast("long").alias("diagonal"))
@@ -507,22 +489,6 @@ def liftover(spark, sf_dir):
     return iv.lift(points, blocks, "o_custkey", "p", 64)
 
 
-@query(f"""with {_QUALITY} select user_id, cluster_start, concat_ws(chr(9), user_id::varchar, cluster_start::varchar, support::varchar, case when clicks > 0 then clicks::varchar else '.' end, printf('%.3f', round(near_mode::double / support * 1000) / 1000), qual::varchar) as line from rated""")
-def tsv_rows(spark, sf_dir):
-    """Clusters as lines of a table, with a point for what is missing and three decimals."""
-    rows = profile(spark, sf_dir).withColumn("qual", sc.quality_score(_quality_features()))
-    ratio = F.format_string("%.3f", sc.round3(F.col("near_mode").cast("double") / F.col("support")))
-    parts = [F.col("user_id").cast("string"), F.col("cluster_start").cast("string"), F.col("support").cast("string"), F.coalesce(F.when(F.col("clicks") > 0, F.col("clicks").cast("string")), F.lit(".")), ratio, F.col("qual").cast("string")]
-    return rows.select("user_id", "cluster_start", F.concat_ws("\t", *parts).alias("line"))
-
-
-@query(f"""with {_QUALITY} select user_id, cluster_start, 'SUPPORT=' || support || ';KINDS=' || kinds || case when clicks > 0 then ';TAIL=' || clicks else '' end || case when views > 0 then ';TSD' else '' end as info from rated""")
-def vcf_info(spark, sf_dir):
-    """Clusters as INFO fields; flags without a value, and absent keys left out."""
-    fields = [F.concat(F.lit("SUPPORT="), "support"), F.concat(F.lit("KINDS="), "kinds"), F.when(F.col("clicks") > 0, F.concat(F.lit("TAIL="), "clicks")), F.when(F.col("views") > 0, F.lit("TSD"))]
-    return profile(spark, sf_dir).select("user_id", "cluster_start", F.concat_ws(";", *fields).alias("info"))
-
-
 @query()
 def one_to_one_match(spark, sf_dir):
     """Clicks and purchases of each user within two hours, matched one to one by distance."""

@@ -104,7 +104,7 @@ def _text(c: Column) -> Column:
 
 
 def _ratio(c: Column) -> Column:
-    return F.format_string("%.3f", sc.round3(c))
+    return F.when(c.isNotNull(), F.format_string("%.3f", sc.round3(c)))
 
 
 def _filter() -> Column:
@@ -223,7 +223,8 @@ def anonymous(signals: DataFrame, order: list[str]) -> DataFrame:
 
 def nested_signals(signals: DataFrame, contigs: DataFrame, anonymize: bool = False) -> DataFrame:
     """KEYS and a JSON array of each candidate's signals in their order; fields that a kind lacks are left out."""
-    rows = anonymous(signals, [*KEYS, *_SIGNAL_ORDER]) if anonymize else signals
+    rows = signals.withColumn("_real", F.col("read"))
+    rows = anonymous(rows, [*KEYS, *_SIGNAL_ORDER]) if anonymize else rows
     named = F.broadcast(contigs.select(F.col("rank").alias("_rank"), F.col("name").alias("mate_name")))  # header rows
     rows = rows.join(named, F.col("mate_contig") == F.col("_rank"), "left")
     clip = F.col("kind") == "soft_clip"
@@ -249,7 +250,7 @@ def nested_signals(signals: DataFrame, contigs: DataFrame, anonymize: bool = Fal
     ]
     # mapq is null where a read has none, and stays; what is null for its kind goes
     one = F.regexp_replace(F.to_json(F.struct(*fields)), r'("read_end":[0-9]++)(?!,"mapq")', '$1,"mapq":null')
-    placed = rows.select(*KEYS, F.struct(*_SIGNAL_ORDER, one.alias("json")).alias("s"))
+    placed = rows.select(*KEYS, F.struct(*["_real" if c == "read" else c for c in _SIGNAL_ORDER], one.alias("json")).alias("s"))
     return placed.groupBy(*KEYS).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["json"]), ","), F.lit("]")).alias("signals"))
 
 

