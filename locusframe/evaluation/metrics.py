@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.positions import gap_clusters
+from ..operators.positions import gap_clusters, ranked
+from ..storage import staged
 
 
 def rates(calls: DataFrame, predicted: Column, actual: Column, keys: list[str] | None = None) -> DataFrame:
@@ -136,27 +136,39 @@ def match_by_position(points: DataFrame, keys: list[str], position: str, is_left
     return matched.select(*keys, F.col("_m.left").alias(left), F.col("_m.right").alias(right), "_m.distance")
 
 
-def lower_bound(successes: int, trials: int, level: float = 0.975, steps: int = 60) -> float:
-    """Exact (Clopper-Pearson) lower bound of a share, by bisection of the binomial tail."""
-    if not successes:
-        return 0.0
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function I_x(a, b), by its continued fraction where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 1.0
+    for j in range(100 + int(4 * math.sqrt(a + b)), 0, -1):  # from the innermost term outwards
+        m, odd = divmod(j, 2)
+        top = -(a + m) * (a + b + m) if odd else m * (b - m)
+        value = 1 + top * x / ((a + j - 1) * (a + j)) / value
+    return front / value
+
 
-    def tail(p: float) -> float:
-        logs = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(p) + ((trials - k) * math.log1p(-p) if k < trials else 0.0) for k in range(successes, trials + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+def lower_bound(successes: int, trials: int, level: float = 0.95) -> float:
+    """Exact one-sided (Clopper-Pearson) lower bound of a share: a quantile of the beta distribution.
 
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        if middle <= 0 or tail(middle) < 1 - level:
-            low = middle
+    It is the share at which so many successes or more have the probability 1 - level.
+    """
+    if not successes:
+        return 0.0
+    a, b, inside, outside = successes, trials - successes + 1, 0.0, 1.0
+    while outside - inside > 1e-12:
+        middle = (inside + outside) / 2
+        if _beta_share(middle, a, b) < 1 - level:
+            inside = middle
         else:
-            high = middle
-    return low
+            outside = middle
+    return inside
 
 
-def with_lower_bound(df: DataFrame, successes: str, trials: str, level: float = 0.975) -> DataFrame:
+def with_lower_bound(df: DataFrame, successes: str, trials: str, level: float = 0.95) -> DataFrame:
     """Add lower_bound. Each distinct pair of counts is worked out once for each batch."""
 
     @F.pandas_udf("double")
@@ -172,26 +184,24 @@ def with_lower_bound(df: DataFrame, successes: str, trials: str, level: float =
     return df.withColumn("lower_bound", bound(F.col(successes).cast("long"), F.col(trials).cast("long")))
 
 
-def bootstrap(df: DataFrame, first: str, second: str, hit: str, total: str, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """2.5 and 97.5 percentiles of sum(hit) / sum(total), with both groupings resampled and weights multiplied.
+def bootstrap(df: DataFrame, first: str, second: str | None, hit: str, total: str, rounds: int = 200, seed: int = 1) -> DataFrame:
+    """2.5 and 97.5 percentiles of sum(hit) / sum(total), with one or both groupings drawn anew and weights multiplied.
 
-    Groups are drawn with replacement, so their weights are Poisson counts derived from a hash of
-    round and group: no table of weights is needed, and tasks agree on them.
+    In each round as many groups are drawn, with replacement, as there are; a group weighs as
+    often as it is drawn. Draws come from a hash of the seed, round and number of the draw, so
+    all tasks agree on them, and the same input gives the same interval.
     """
-    cells = df.groupBy(first, second).agg(F.sum(hit).alias("_h"), F.sum(total).alias("_t"))
-    rounded = cells.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    rng = random.Random(seed)
-    salts = [rng.randrange(1 << 31) for _ in range(2)]
-
-    def weight(group: str, salt: int) -> Column:
-        u = F.pmod(F.xxhash64("_round", group, F.lit(salt)), F.lit(1 << 32)) / float(1 << 32)
-        below, term, w = 0.0, math.exp(-1), F.lit(0)
-        for k in range(10):
-            below += term
-            w = w + F.when(u >= below, 1).otherwise(0)
-            term /= k + 1
-        return w
-
-    w = weight(first, salts[0]) * weight(second, salts[1])
-    shares = rounded.groupBy("_round").agg((F.sum(w * F.col("_h")) / F.nullif(F.sum(w * F.col("_t")), F.lit(0))).alias("_share"))
-    return shares.agg(F.expr("percentile(_share, 0.025)").alias("low"), F.expr("percentile(_share, 0.975)").alias("high"), F.count("_share").alias("rounds"))
+    groups = [g for g in (first, second) if g]
+    cells = staged(df.groupBy(*groups).agg(F.sum(hit).alias("_h"), F.sum(total).alias("_t")), "cells")
+    weighed = cells.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", F.lit(1))
+    for k, g in enumerate(groups):
+        numbers = staged(ranked(cells.select(g).distinct(), [], [g], "_at"), "groups")
+        n = numbers.count()
+        draws = numbers.select(F.col("_at").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+        taken = F.pmod(F.xxhash64(F.lit(seed * 2 + k), "_round", "_draw"), F.lit(max(n, 1)))
+        weights = draws.groupBy("_round", taken.alias("_at")).agg(F.count("*").alias("_times")).join(numbers, "_at").select("_round", g, "_times")
+        weighed = weighed.join(weights, ["_round", g]).withColumn("_w", F.col("_w") * F.col("_times")).drop("_times")
+    shares = weighed.groupBy("_round").agg((F.sum(F.col("_w") * F.col("_h")) / F.nullif(F.sum(F.col("_w") * F.col("_t")), F.lit(0))).alias("_share"))
+    ordered = shares.agg(F.array_sort(F.collect_list("_share")).alias("s"))  # one number for each round
+    at = lambda q: F.get("s", F.least(F.floor(F.size("s") * q), F.size("s") - 1).cast("int"))
+    return ordered.select(at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("rounds"))

@@ -505,7 +505,7 @@ def clopper_pearson(spark, sf_dir):
 
 @query()
 def two_way_bootstrap(spark, sf_dir):
-    """Interval of the share of returned lines, with customers' segments and parts' brands resampled."""
+    """Interval of the share of returned lines, with suppliers and parts' brands drawn anew."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey"), (F.col("l_returnflag") == "R").cast("int").alias("hit"), F.lit(1).alias("one"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return metrics.bootstrap(lines.join(part, F.col("l_partkey") == F.col("p_partkey")), "l_suppkey", "p_brand", "hit", "one", 100)

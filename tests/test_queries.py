@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from locusframe.plans import proxies, proxies_candidates  # noqa: F401
+from locusframe.plans import proxies, proxies_candidates, proxies_evaluation  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels".split()
