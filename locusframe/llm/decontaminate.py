@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Benchmark items are grouped into size classes. Each text is read through windows of each
-class's size; a window's 64-bit SimHash over its word pairs is looked up in a multi-index of
+class's size, which is a little below what may be left of its shortest item (three fifths of its
+longest at least): so also an item that is cut off holds a window whole. A window's 64-bit SimHash over its word pairs is looked up in a multi-index of
 the items' fingerprints, which by the pigeonhole principle holds all items within the Hamming
 radius: the fingerprint is cut into blocks, and two fingerprints within the radius differ in
 some block by at most radius // blocks bits. A similarity doesn't bound the distance of two
@@ -34,8 +35,8 @@ BITS = 64
 BASE_SHARE = 0.975
 #: An item is represented by windows of at least this share of the similarity times its length.
 CLASS_SHARE = 0.75
-#: Items of the benchmark that are held by a task at once.
-ITEMS_AT_ONCE = 20_000
+#: Items of the benchmark, and bytes of their texts, that are held by a task at once (a longer item stands alone).
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 32 << 20
 #: Small slices keep the running sums in the processor's cache.
 SLICE = 1 << 17
 _BLOCK_BITS = BITS // BLOCKS
@@ -230,12 +231,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
     places = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    n, total = places.agg(F.count("*"), size).collect()[0]
+    blocks = max(1, -(-n // ITEMS_AT_ONCE), -(-2 * total // BYTES_AT_ONCE))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    heaviest = places.groupBy(number.alias("block")).agg(size.alias("bytes"), F.count("*").alias("n")).where(F.col("bytes") > BYTES_AT_ONCE).where("n > 1").count()
+    while heaviest:  # uneven items: more blocks until each is within the bound or holds one item
+        blocks *= 2
+        number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+        heaviest = places.groupBy(number.alias("block")).agg(size.alias("bytes"), F.count_distinct("item_id", "text").alias("n")).where(F.col("bytes") > BYTES_AT_ONCE).where("n > 1").count()
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     result = None
     for block in range(blocks):
-        rows = places.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().to_pydict()
+        rows = places.where(number == block).toArrow().to_pydict()
         index = spark.sparkContext.broadcast((rows["item_id"], rows["text"]))
 
         def run(batches: Iterator[pa.RecordBatch], index=index, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 LEVEL = 3
 MIN_REVISIT_BYTES = 100
+#: The copies of a payload are dealt to so many tasks.
+SALTS = 16
 _DATE = "1970-01-01T00:00:00Z"
 
 
@@ -45,8 +47,12 @@ def marked(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     known = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     firsts = known.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # short payloads match nothing, and are dealt by page; the copies of one payload by a salt
+    dealt = F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "url").cast("string")))
+    salted = known.withColumn("digest_key", dealt).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    copies = firsts.withColumnRenamed("payload_digest", "digest_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = salted.join(copies, ["digest_key", "salt"], "left")
     other = F.col("first_page").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_page")))
-    joined = known.join(firsts, "payload_digest", "left")
     return joined.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(other, F.col("first_page")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_uri"))
 
 
@@ -65,7 +71,12 @@ def _line(value: str | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_uri: str | None) -> bytes:
-    """A response or revisit record; a revisit has no payload, but its digest and length."""
+    """A response or revisit record; a revisit has no payload, but its digest and length.
+
+    Pages come without the server's header lines, so a response holds the bare payload and says
+    so by its content type (other readers would call that a resource record); the length of
+    the payload, which a revisit lacks, is in a header of our own.
+    """
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
     head = [
@@ -212,7 +223,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield out(rows)
 
     files = max(1, manifest.count())
-    return manifest.select("path").repartition(files, "path").mapInArrow(run, _RECORDS)
+    return manifest.select("path").repartitionByRange(files, "path").mapInArrow(run, _RECORDS)  # an archive to a task
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
