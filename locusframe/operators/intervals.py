@@ -49,11 +49,12 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l
     return a.join(b, match & touches).drop("_s", "_e", "_bin", "_rs", "_re", "_rbin")
 
 
-def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], row_range: tuple[Column, Column], region_range: tuple[Column, Column], width: int) -> DataFrame:
+def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], row_range: tuple[Column, Column], region_range: tuple[Column, Column], width: int, coarser: int = 1) -> DataFrame:
     """The rows that overlap some region, each once: a semi-join.
 
-    ``width`` must be no less than the longest row, so that a row touches two bins at most: rows
-    without a region in their first bin are held against their last.
+    Rows are held against the regions in the bins of their first and last base. Those that
+    reach over a bin between are held against them in bins 1,024 times as wide (``coarser``
+    times); choose ``width`` no less than a thousandth of the longest row, near the usual length.
     """
     cut = regions.select(*[F.col(y).alias(f"_r{i}") for i, (_, y) in enumerate(on)], region_range[0].alias("_rs"), region_range[1].alias("_re"))
     cut = cut.withColumn("_rbin", _bins(F.col("_rs"), F.col("_re"), width))
@@ -63,10 +64,15 @@ def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], r
         touches = touches & (F.col(x) == F.col(f"_r{i}"))
     first = F.floor(F.col("_s") / width)
     last = F.greatest(first, F.floor((F.col("_e") - 1) / width))
+    reach = last - first if coarser else F.least(last - first, F.lit(1))
     in_first = touches & (first == F.col("_rbin"))
-    near = ranged.join(cut, in_first, "left_semi")
-    far = ranged.where(last > first).join(cut, in_first, "left_anti").join(cut, touches & (last == F.col("_rbin")), "left_semi")
-    return near.unionAll(far).select(*rows.columns)
+    near = ranged.where(reach <= 1).join(cut, in_first, "left_semi")
+    far = ranged.where(reach == 1).join(cut, in_first, "left_anti").join(cut, touches & (last == F.col("_rbin")), "left_semi")
+    found = near.unionAll(far).select(*rows.columns)
+    if not coarser:
+        return found
+    long = ranged.where(reach > 1).select(*rows.columns)
+    return found.unionAll(within_any(long, regions, on, row_range, region_range, width << 10, coarser - 1))
 
 
 def depth_at(points: DataFrame, reads: DataFrame, on: list[tuple[str, str]], position: str, read_range: tuple[Column, Column], width: int, name: str = "depth") -> DataFrame:

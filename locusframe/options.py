@@ -62,13 +62,18 @@ class Calling:
 
 @dataclass(frozen=True)
 class Options:
+    """All of a scan. ``allow_no_reference`` lets the profile exome go without one."""
+
     padding: int = 300
     region: str | None = None
+    allow_no_reference: bool = False
     reading: Reading = field(default_factory=Reading)
     calling: Calling = field(default_factory=Calling)
 
     def __post_init__(self) -> None:
         _check(self.padding >= 0, "padding is 0 or more")
+        if self.region is not None:
+            parse_region(self.region)
 
 
 def parse_region(text: str) -> tuple[str, int | None, int | None]:

@@ -14,7 +14,7 @@ from ..storage import staged
 from . import typing
 
 LEFT, RIGHT = 0, 1
-#: Reads are taken to be no longer than this on the reference when they are held against regions.
+#: Width of the bins in which reads are held against regions.
 BIN = 1 << 14
 
 

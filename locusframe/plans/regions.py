@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +39,41 @@ def unknown_probes(probes: DataFrame, contigs: DataFrame) -> DataFrame:
     return missing.withColumn("_other", other).join(F.broadcast(contigs.select(F.col("name").alias("_found"))), F.col("_other") == F.col("_found"), "left").withColumn("restyled", F.col("_found").isNotNull()).drop("_other", "_found")
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and MD5 of each contig from its chunks in order; one chunk is held at a time."""
+    name, digest, n = None, None, 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"contig": [name], "bases": [n], "digest": [digest.hexdigest()]})
+
+    for batch in batches:
+        for contig, seq in zip(batch["contig"].to_pylist(), batch["seq"].to_pylist(), strict=True):
+            if contig != name:
+                if digest:
+                    yield out()
+                name, digest, n = contig, hashlib.md5(usedforsecurity=False), 0
+            digest.update(seq.upper().encode())
+            n += len(seq)
+    if digest:
+        yield out()
+
+
 def changed_contigs(contigs: DataFrame, reference: DataFrame) -> DataFrame:
-    """Contigs whose length or MD5 differs from that of the reference's chunks (contig, chunk, seq)."""
-    whole = reference.groupBy("contig").agg(F.sum(F.length("seq")).alias("bases"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "")).alias("digest"))
+    """Contigs whose length or MD5 (if the header has it) differs from that of the reference's chunks (contig, chunk, seq)."""
+    ordered = reference.repartition("contig").sortWithinPartitions("contig", "chunk").select("contig", "seq")
+    whole = ordered.mapInArrow(_digests, "contig string, bases long, digest string")
     both = contigs.join(whole, contigs["name"] == whole["contig"])
     return both.where((F.col("length") != F.col("bases")) | (F.col("m5") != F.col("digest"))).select("name", "length", "bases", "m5", "digest")
+
+
+def derived_targets(targets: DataFrame, blocks: DataFrame, trim: int = 50) -> DataFrame:
+    """Targets (contig, start, end) lifted through alignment blocks where both ends come to one contig in one piece.
+
+    Lifted intervals longer than twice ``trim`` lose it at both ends. Blocks as of sources.text.chain.
+    """
+    ends = targets.select("contig", "start", "end", F.explode(F.array(F.col("start"), F.col("end") - 1)).alias("at")).distinct()
+    lifted = iv.lift(ends, blocks, "contig", "at").where("lifted is not null")
+    whole = lifted.groupBy("contig", "start", "end").agg(F.count_distinct("lifted_contig").alias("places"), F.min("lifted_contig").alias("to"), F.min("lifted").alias("low"), (F.max("lifted") + 1).alias("high"), F.count("*").alias("n"))
+    kept = whole.where((F.col("places") == 1) & (F.col("high") - F.col("low") == F.col("end") - F.col("start")))
+    long = F.col("high") - F.col("low") > 2 * trim
+    return kept.select(F.col("to").alias("contig"), F.when(long, F.col("low") + trim).otherwise(F.col("low")).alias("start"), F.when(long, F.col("high") - trim).otherwise(F.col("high")).alias("end")).orderBy("contig", "start")

@@ -43,6 +43,11 @@ def run(reads: DataFrame, contigs: DataFrame, probes: DataFrame, options: Option
     known = regions.unknown_probes(probes, contigs).limit(1).collect()
     if known:
         raise ValueError(f"the header lacks contig {known[0]['contig']} of the targets" + (", but has it under the other style of names" if known[0]["restyled"] else ""))
+    if options.calling.profile == "exome" and reference is None and not options.allow_no_reference:
+        raise ValueError("the profile exome needs the reference: give it, take the profile discovery, or set allow_no_reference")
+    changed = regions.changed_contigs(contigs, reference).limit(1).collect() if reference is not None else []
+    if changed:
+        raise ValueError(f"contig {changed[0]['name']} of the reference isn't that of the header")
     targets = regions.restrict(regions.scan_regions(probes, contigs, options.padding), contigs, options.region)
     found, outcomes, sizes = extract.signals(reads, targets, options.reading, consensus)
     rows = staged(ca.clustered(staged(found, "signals"), options.calling.window), "clustered")

@@ -5,6 +5,8 @@ All are read with Spark's text and CSV readers, so they may lie in any store tha
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,16 +19,21 @@ def _tag(name: str, kind: str) -> Column:
 
 
 def sam_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """contigs (rank, name, length, m5) in the header's order, and samples (sample, rank)."""
-    lines = spark.read.text(path).where(F.col("value").startswith("@"))
-    field = lambda k: F.nullif(F.regexp_extract("value", f"\t{k}:([^\t]*)", 1), F.lit(""))
-    # a header is small; its order is that of the file
-    ordered = lines.select("value", F.monotonically_increasing_id().alias("at"))
-    rank = (F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("rank")
-    contigs = ordered.where(F.col("value").startswith("@SQ")).select(rank, field("SN").alias("name"), field("LN").cast("long").alias("length"), F.lower(field("M5")).alias("m5"))
-    samples = ordered.where(F.col("value").startswith("@RG")).select(field("SM").alias("sample"), "at").where("sample is not null")
-    first = samples.groupBy("sample").agg(F.min("at").alias("at"))
-    return contigs, first.select("sample", (F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("rank"))
+    """contigs (rank, name, length, m5) in the header's order, and samples (sample, rank).
+
+    Only the first lines of the file are read: as many as begin with @.
+    """
+    n, lines = 10_000, []
+    while True:
+        lines = [r["value"] for r in spark.read.text(path).limit(n).collect()]  # a header, and few lines more
+        if len(lines) < n or not all(x.startswith("@") for x in lines):
+            break
+        n *= 10
+    fields = [(x[:3], dict(f.split(":", 1) for f in x.split("\t")[1:] if ":" in f)) for x in lines if x.startswith("@")]
+    found = [f for kind, f in fields if kind == "@SQ"]
+    contigs = [(i, f.get("SN"), int(f["LN"]) if "LN" in f else None, f["M5"].lower() if "M5" in f else None) for i, f in enumerate(found)]
+    names = dict.fromkeys(f["SM"] for kind, f in fields if kind == "@RG" and "SM" in f)
+    return spark.createDataFrame(contigs, "rank int, name string, length long, m5 string"), spark.createDataFrame([(s, i) for i, s in enumerate(names)], "sample string, rank int")
 
 
 def sample_name(samples: DataFrame, stem: str) -> tuple[str, str | None]:
@@ -70,17 +77,35 @@ def sam_reads(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
-    """contig, start, end, name. Skips empty lines, comments, track and browser lines.
+    """contig, start, end, name, line (from 1) and error. Skips empty lines, comments, track and browser lines.
 
-    Lines that are not of the format have a reason in ``error``; callers stop on any.
+    Lines that are not of the format have a reason in ``error``; see checked_bed. Targets are a
+    small file, which one task reads; it is unpacked by its first bytes, whatever its name.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("value"))
-    kept = lines.where((F.col("value") != "") & ~F.col("value").rlike("^(#|track|browser)"))
+    raw = spark.read.format("binaryFile").load(path)
+    packed = any(r["m"] == b"\x1f\x8b" for r in raw.select(F.substring("content", 1, 2).alias("m")).collect())
+    if packed and not path.endswith(".gz"):
+        content = b"".join(gzip.decompress(bytes(r["content"])) for r in raw.collect()).decode()
+        lines = spark.createDataFrame([(x, i + 1) for i, x in enumerate(content.split("\n"))], "value string, line long")
+    else:
+        lines = spark.read.text(path).coalesce(1).select("value", (F.monotonically_increasing_id() + 1).alias("line"))
+    kept = lines.withColumn("value", F.trim("value")).where((F.col("value") != "") & ~F.col("value").rlike("^(#|track|browser)"))
     f = F.split("value", r"\s+")
     whole = lambda i: F.get(f, F.lit(i)).rlike("^[0-9]+$")
-    parsed = kept.select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"), F.get(f, F.lit(3)).alias("name"), "value", F.size(f).alias("n"), (whole(1) & whole(2)).alias("digits"))
+    parsed = kept.select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end"), F.get(f, F.lit(3)).alias("name"), "value", "line", F.size(f).alias("n"), (whole(1) & whole(2)).alias("digits"))
     error = F.when(F.col("n") < 3, F.concat(F.lit("fewer than three columns: "), "value")).when(~F.col("digits"), F.concat(F.lit("not a position: "), "value")).when(F.col("end") <= F.col("start"), F.concat(F.lit("ends before it begins: "), "value"))
-    return parsed.select("contig", "start", "end", "name", error.alias("error"))
+    return parsed.select("contig", "start", "end", "name", "line", error.alias("error"))
+
+
+def checked_bed(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start, end and name of a BED file; an error names the first line that isn't of the format, or an empty file."""
+    rows = bed(spark, path)
+    bad = rows.where("error is not null").orderBy("line").limit(1).collect()
+    if bad:
+        raise ValueError(f"{path}, line {bad[0]['line']}: {bad[0]['error']}")
+    if not rows.limit(1).count():
+        raise ValueError(f"{path}: no target")
+    return rows.select("contig", "start", "end", "name")
 
 
 def fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
@@ -139,6 +164,14 @@ def gtf(spark: SparkSession, path: str, features: tuple[str, ...] = ("exon", "CD
     return rows.where(F.col("_c2").isin(*features)).select(F.col("_c0").alias("contig"), F.col("_c2").alias("feature"), (F.col("_c3").cast("long") - 1).alias("start"), F.col("_c4").cast("long").alias("end"))
 
 
+def merged_features(spark: SparkSession, path: str) -> DataFrame:
+    """contig (without chr), feature, start, end: exons and coding sequences, those that overlap or touch as one."""
+    from ..operators.intervals import merge_intervals
+
+    rows = gtf(spark, path).select(plain_contig(F.col("contig")).alias("contig"), "feature", "start", "end")
+    return merge_intervals(rows, ["contig", "feature"]).select("contig", "feature", "start", "end")
+
+
 def chain(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a chain file: source, s, e, score, chain, q_contig, q_size, strand, q_start.
 

@@ -1,11 +1,13 @@
 """From SAM text to candidates and reports."""
 
 import gzip
+import hashlib
 import json as js
 
 import pytest
 from pyspark.sql import functions as F
 
+from locusframe import cli
 from locusframe.options import Calling, Options
 from locusframe.plans import extract, regions, scan
 from locusframe.sinks import report
@@ -31,7 +33,7 @@ def test_sources(spark, sample):
     assert [tuple(r)[:3] for r in contigs.orderBy("rank").collect()] == [(0, "chr1", 20000), (1, "chr2", 5000)]
     assert text.sample_name(samples, "stem") == ("made_up", None)
     probes = text.bed(spark, str(folder / "targets.bed"))
-    assert {tuple(r) for r in probes.collect()} == {("chr1", 9700, 9900, "one", None), ("chr1", 10100, 10300, "two", None)}
+    assert {tuple(r) for r in probes.collect()} == {("chr1", 9700, 9900, "one", 3, None), ("chr1", 10100, 10300, "two", 4, None)}
     chunks = text.fasta(spark, str(folder / "ref.fa"), 7000)
     assert [(r.chunk, len(r.seq)) for r in chunks.where("contig = 'chr1'").orderBy("chunk").collect()] == [(0, 7000), (1, 7000), (2, 6000)]
     rows = spark.createDataFrame([("chr1", 6990, 7010), ("chr1", -5, 3), ("chr2", 10, 20)], "contig string, a long, b long")
@@ -41,6 +43,13 @@ def test_sources(spark, sample):
     bad = folder / "bad.bed"
     bad.write_text("chr1\t5\nchr1\tx\t9\nchr1\t9\t9\n")
     assert text.bed(spark, str(bad)).where("error is not null").count() == 3
+    with pytest.raises(ValueError, match="line 1: fewer"):
+        text.checked_bed(spark, str(bad))
+    bad.write_text("# nothing\n")
+    with pytest.raises(ValueError, match="no target"):
+        text.checked_bed(spark, str(bad))
+    (folder / "packed").write_bytes(gzip.compress(b"track\nchr1\t5\t9\n"))
+    assert [tuple(r) for r in text.checked_bed(spark, str(folder / "packed")).collect()] == [("chr1", 5, 9, None)]
 
 
 def test_other_tables(spark, tmp_path):
@@ -82,6 +91,8 @@ def test_scan_finds_the_insertion(spark, sample):
     folder, _, contigs, _, reads = sample
     probes = text.bed(spark, str(folder / "targets.bed"))
     options = Options(calling=Calling(min_typed_clips=0, profile="discovery"))
+    with pytest.raises(ValueError, match="exome needs"):
+        scan.scan(reads, contigs, probes, Options(calling=Calling(min_typed_clips=0)))
     with pytest.raises(ValueError, match="min_typed_clips"):
         scan.scan(reads, contigs, probes, Options())
     got = scan.scan(reads, contigs, probes, options)
@@ -97,7 +108,7 @@ def whole(spark, sample):
     """A scan with consensus and reference, and its default demands."""
     folder, _, contigs, _, reads = sample
     probes = text.bed(spark, str(folder / "targets.bed"))
-    consensus, reference = text.consensus(spark, str(folder / "elements.fa")), text.fasta(spark, str(folder / "ref.fa"))
+    consensus, reference = text.consensus(spark, str(folder / "elements.fa")), text.fasta(spark, str(folder / "ref.fa")).where("contig = 'chr1'")
     return scan.run(reads, contigs, probes, Options(), consensus, reference)
 
 
@@ -165,3 +176,33 @@ def test_unknown_contigs_are_errors(spark, sample):
     probes = text.bed(spark, str(folder / "targets.bed")).withColumn("contig", F.lit("1"))
     with pytest.raises(ValueError, match="other style"):
         scan.scan(reads, contigs, probes, Options(calling=Calling(min_typed_clips=0)))
+
+
+def test_command_line(spark, sample, capsys):
+    folder, _, _, _, _ = sample
+    line = ["scan", "--bam", str(folder / "reads.sam"), "--bed", str(folder / "targets.bed"), "--output", str(folder / "cli.vcf"), "--format", "vcf", "--min-typed-clips", "0", "--profile", "discovery", "--keep-filtered"]
+    arguments = cli.parser().parse_args(line)
+    assert cli.options(arguments) == Options(calling=Calling(min_typed_clips=0, profile="discovery", keep_filtered=True))
+    assert cli.run(spark, arguments, line) >= 1
+    lines = (folder / "cli.vcf").read_text().splitlines()
+    assert "##command=scan --bam reads.sam --bed targets.bed --output cli.vcf --format vcf --min-typed-clips 0 --profile discovery --keep-filtered" in lines and lines[-1].startswith("chr1\t")
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["scan", "--bam", "x"])
+    with pytest.raises(ValueError, match="min_mapq"):
+        cli.options(cli.parser().parse_args([*line, "--min-mapq", "300"]))
+
+
+def test_references_are_compared(spark, sample):
+    folder, ref, contigs, _, _ = sample
+    chunks = text.fasta(spark, str(folder / "ref.fa"), 7000)
+    known = spark.createDataFrame([(0, "chr1", 20000, hashlib.md5(ref.encode()).hexdigest()), (1, "chr2", 4, None)], "rank int, name string, length long, m5 string")
+    assert regions.changed_contigs(known, chunks).count() == 0
+    assert [r.name for r in regions.changed_contigs(known.withColumn("m5", F.lit("0")), chunks).orderBy("name").collect()] == ["chr1", "chr2"]
+    assert [r.name for r in regions.changed_contigs(contigs, chunks).collect()] == ["chr2"]
+
+
+def test_targets_of_another_assembly(spark):
+    targets = spark.createDataFrame([("chr1", 110, 130), ("chr1", 135, 160), ("chr1", 100, 260)], "contig string, start long, end long")
+    blocks = spark.createDataFrame([("chr1", 100, 140, 9, 1, "chrA", 900, "+", 500), ("chr1", 150, 300, 9, 1, "chrA", 900, "+", 550), ("chr1", 400, 600, 9, 2, "chrB", 1000, "-", 0)], "source string, s long, e long, score long, chain long, q_contig string, q_size long, strand string, q_start long")
+    more = targets.unionByName(spark.createDataFrame([("chr1", 400, 600)], "contig string, start long, end long"))
+    assert [tuple(r) for r in regions.derived_targets(more, blocks).collect()] == [("chrA", 510, 530), ("chrA", 535, 560), ("chrA", 550, 610), ("chrB", 850, 950)]
