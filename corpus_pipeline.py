@@ -1,4 +1,10 @@
-"""A corpus pipeline of the operators in locusframe.llm: each stage is written and read again."""
+"""A corpus pipeline of the operators in locusframe.llm: each stage is written and read again.
+
+Stages take any columns besides doc_id, text, lang, source and n_chars along. Null texts count
+as empty, so the quality rules reject them; rows without a doc_id are never duplicates of others
+and never go for a benchmark item; repeated rows are one document from the n-gram join on. An
+empty table passes through, and packs to nothing.
+"""
 
 from __future__ import annotations
 
@@ -15,28 +21,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, those without a text or ten words among them."""
     return quality_rules.kept(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in 10 documents or more go; n_chars is counted anew."""
+    """Lines found in 10 documents or more go; n_chars is counted anew (null for a null text)."""
     kept = line_dedup.dedup_lines(docs, min_docs=10)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that with the least doc_id; all without one stay."""
     return ngram_join.keep_one(docs, 0.8).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, with all rows of their doc_id; those without a doc_id stay."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"), 0.8).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences, with their ids."""
+    """The pieces of the training sequences, with their ids; a null text is one end-of-document id."""
     return packing.pack(docs, BYTE_BPE, 1024)
 
 
