@@ -70,6 +70,12 @@ def quality_score(features: dict[str, Column]) -> Column:
     return phred(1 / (1 + F.pow(F.lit(10.0), total)))
 
 
+def most_quality() -> int:
+    """The quality of a candidate for which each feature speaks as well as it can."""
+    total = QUALITY_PRIOR + sum(max(pair) for pair in QUALITY_WEIGHTS.values())
+    return int(-10 * math.log10(1 / (1 + 10**total)) + 0.5)
+
+
 def confidence(passes: Column, tail: Column, by_mates: Column, tsd: Column) -> Column:
     """high, medium or low for candidates that pass, else null."""
     return F.when(~passes, F.lit(None)).when(~tail | by_mates, F.lit("low")).when(tsd, F.lit("high")).otherwise(F.lit("medium"))

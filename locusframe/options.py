@@ -76,6 +76,11 @@ class Options:
             parse_region(self.region)
 
 
+def examples(names: list[str], most: int = 5) -> str:
+    """The first few names, for a message; a mark stands for the others."""
+    return ", ".join(names[:most]) + (", ..." if len(names) > most else "")
+
+
 def parse_region(text: str) -> tuple[str, int | None, int | None]:
     """``chr`` or ``chr:a-b`` (1-based, inclusive, commas allowed) as contig and 0-based half-open span.
 

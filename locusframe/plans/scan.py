@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..options import Options
+from ..options import Options, examples
 from ..sources.text import bases
 from ..storage import staged
 from . import candidates as ca
@@ -40,9 +40,10 @@ def run(reads: DataFrame, contigs: DataFrame, probes: DataFrame, options: Option
     options = options or Options()
     if consensus is None and options.calling.min_typed_clips > 0:
         raise ValueError("without consensus sequences no clip is typed: set min_typed_clips to 0")
-    known = regions.unknown_probes(probes, contigs).limit(1).collect()
-    if known:
-        raise ValueError(f"the header lacks contig {known[0]['contig']} of the targets" + (", but has it under the other style of names" if known[0]["restyled"] else ""))
+    unknown = regions.unknown_probes(probes, contigs).groupBy("contig").agg(F.max("restyled").alias("restyled")).orderBy("contig").limit(6).collect()
+    if unknown:
+        style = "; it has them under the other style of names" if unknown[0]["restyled"] else ""
+        raise ValueError(f"the header lacks contigs of the targets: {examples([r['contig'] for r in unknown])}{style}")
     if options.calling.profile == "exome" and reference is None and not options.allow_no_reference:
         raise ValueError("the profile exome needs the reference: give it, take the profile discovery, or set allow_no_reference")
     changed = regions.changed_contigs(contigs, reference).limit(1).collect() if reference is not None else []

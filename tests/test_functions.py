@@ -11,7 +11,7 @@ from locusframe.functions import sequences as sq
 from locusframe.operators import intervals as iv
 from locusframe.operators import positions as po
 from locusframe.operators import statistics as st
-from locusframe.options import Calling, Reading, parse_region
+from locusframe.options import Calling, Reading, examples, parse_region
 from locusframe.plans import proxies
 
 
@@ -144,6 +144,11 @@ def test_matches_of_points_without_their_pairs(spark):
     assert "edge" not in plan and "_run" in plan
 
 
+def test_best_quality_and_examples():
+    assert sc.most_quality() == 26
+    assert examples(["a", "b"]) == "a, b" and examples(list("abcdefg")) == "a, b, c, d, e, ..."
+
+
 def test_regions_and_options():
     assert parse_region("chr1") == ("chr1", None, None) and parse_region("chr1:1,001-2,000") == ("chr1", 1000, 2000)
     assert parse_region("HLA:01") == ("HLA:01", None, None)
