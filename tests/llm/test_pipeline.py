@@ -29,3 +29,20 @@ def test_stages(spark):
     assert {i for i, _ in rows("decontamination")} == classes - leaks
     assert {r[0] for r in after["packing"]} == classes - leaks
     assert corpus_pipeline.run(spark, SF).count() == len(after["packing"])
+
+
+def test_odd_rows_through_all_stages(spark, odd, odd_rows, no_rows):
+    """Nulls, repeated rows, long texts and clashing columns; then an empty table."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, SF), "test-odd")
+        if name != "packing":
+            assert docs.columns == before.columns and docs.count() <= before.count()
+            assert docs.where("doc_id is null").count() == (0 if name == "quality rules" else before.where("doc_id is null").count())
+        else:
+            ids = {r.doc_id for r in before.collect()}
+            assert ids and {r.doc_id for r in docs.collect()} == ids
+    empty = no_rows
+    for _, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.written(stage(spark, empty, SF), "test-none")
+        assert empty.count() == 0
