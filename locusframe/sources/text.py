@@ -50,24 +50,26 @@ def sam_reads(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
 
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
+    # header lines may meet these expressions before they are left out, so none of them may fail
+    at = lambda i: F.get(f, F.lit(i))
     known = F.broadcast(contigs.select(F.col("rank").alias("contig"), F.col("name").alias("contig_name")))  # header rows
     mate = F.broadcast(contigs.select(F.col("rank").alias("mate_contig"), F.col("name").alias("mate_name")))
-    start = f[3].cast("long") - 1
-    given = lambda i: F.when(f[i] != "*", f[i])
-    mapq = f[4].cast("int")
+    start = at(3).try_cast("long") - 1
+    given = lambda i: F.when(at(i) != "*", at(i))
+    mapq = at(4).try_cast("int")
     rows = lines.select(
-        f[0].alias("name"),
-        f[1].cast("int").alias("flag"),
-        f[2].alias("rname"),
+        at(0).alias("name"),
+        at(1).try_cast("int").alias("flag"),
+        at(2).alias("rname"),
         F.when(start >= 0, start).alias("start"),
         F.when(mapq != 255, mapq).alias("mapq"),
         given(5).alias("cigar"),
-        F.when(f[6] == "=", f[2]).otherwise(f[6]).alias("rnext"),
-        F.when(f[7].cast("long") > 0, f[7].cast("long") - 1).alias("mate_start"),
-        f[8].cast("long").alias("tlen"),
+        F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("rnext"),
+        F.when(at(7).try_cast("long") > 0, at(7).try_cast("long") - 1).alias("mate_start"),
+        at(8).try_cast("long").alias("tlen"),
         given(9).alias("seq"),
         given(10).alias("qual"),
-        _tag("MQ", "i").cast("int").alias("mq"),
+        _tag("MQ", "i").try_cast("int").alias("mq"),
         _tag("MC", "Z").alias("mc"),
         _tag("SA", "Z").isNotNull().alias("has_sa"),
     )
@@ -216,7 +218,8 @@ def calls_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Calls of a VCF: contig, pos, id, filter, and the fields of INFO as a map (flags have null)."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
-    return lines.select(plain_contig(f[0]).alias("contig"), f[1].cast("long").alias("pos"), f[2].alias("id"), f[4].alias("alt"), F.nullif(f[5], F.lit(".")).cast("int").alias("qual"), f[6].alias("filter"), F.str_to_map(f[7], F.lit(";"), F.lit("=")).alias("info"))
+    at = lambda i: F.get(f, F.lit(i))
+    return lines.select(plain_contig(at(0)).alias("contig"), at(1).try_cast("long").alias("pos"), at(2).alias("id"), at(4).alias("alt"), F.nullif(at(5), F.lit(".")).try_cast("int").alias("qual"), at(6).alias("filter"), F.str_to_map(at(7), F.lit(";"), F.lit("=")).alias("info"))
 
 
 def calls_tsv(spark: SparkSession, path: str) -> DataFrame:
