@@ -333,7 +333,8 @@ class _Classes:
     def _members(self, blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
         """rep, block, copies, signatures, root and shingles of the classes in blocks."""
         known = self.classes.join(blocks.select("rep", "block"), "rep")
-        texts = self.thin.join(known.select("rep", "doc_id", "text_key"), ["doc_id", "text_key"]).dropDuplicates(["rep"]).select("rep", "text")
+        # one row of a class; the key of the join tells classes apart, so its shuffle serves for both
+        texts = self.thin.join(known.select("rep", "doc_id", "text_key"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("rep", "text")
         sets = texts.mapInArrow(_sets, "rep long, shingles binary")
         named = known.select("rep", "block", "copies", "signatures").join(sets, "rep")
         if roots is None:
