@@ -79,3 +79,43 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and failed_rules is null as kept, coalesce(failed_rules, '') as failed_rules
 from stats left join broken using (rid)
 """
+
+ORACLE_SQL["op11_mixing"] = r"""
+with recursive d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         ('0x' || substr(md5(concat(coalesce(doc_id::varchar, ''), ' ', coalesce(text, ''))), 1, 15))::bigint as place
+  from documents
+), curves(curve, weight, t0, t1, w0, w1, upto) as (
+  values (0, 5.0::double, 0.0::double, 1.0::double, 7.5::double, 2.5::double, 5.0::double), (1, 2.0::double, 0.0::double, 1.0::double, 2.0::double, 2.0::double, 2.0::double),
+         (2, 1.0::double, 0.0::double, 0.5::double, 0.25::double, 0.75::double, 0.25::double), (2, 1.0::double, 0.5::double, 1.0::double, 0.75::double, 2.25::double, 1.0::double)
+), s as (
+  select source, source_size, curve, (select max(weight) from curves c where c.curve = r.curve) as weight
+  from (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 as curve from d group by source) r
+), level(level, held) as (
+  select 0.0::double, -1::bigint
+  union all
+  select (1.5::double * any_value(total) - 2.0::double * coalesce(sum(source_size) filter (where over), 0)) / (sum(weight) filter (where not over)), count(*) filter (where over)
+  from (select s.*, level, held, weight * level > source_size * 2.0::double as over, (select sum(source_size) from s)::double as total from s, level)
+  group by held having count(*) filter (where over) > any_value(held) and count(*) filter (where not over and weight > 0) > 0
+), t as (
+  select *, floor(target + 0.5::double)::bigint as goal
+  from (select *, least(weight * (select arg_max(level, held) from level), source_size * 2.0::double) as target from s)
+), laid as (
+  select *, coalesce(sum(size) over (partition by source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start from d
+), copies as (
+  select l.doc_id, l.size, t.source_size, t.target, t.curve, t.weight, t.goal, l.start,
+         greatest(least(l.size, t.goal - l.start), 0) as first, greatest(least(l.size, t.goal - t.source_size - l.start), 0) as second
+  from laid l join t on l.source is not distinct from t.source
+), placed as (
+  select *, (start + first / 2.0::double) / goal::double * weight as area from copies where first > 0
+), seg as (
+  select p.*, c.t0, c.t1, c.w0, c.w1, c.t1 - c.t0 as span, greatest(area - (c.upto - (c.w0 + c.w1) / 2.0::double * (c.t1 - c.t0)), 0.0::double) as inside
+  from placed p join curves c on c.curve = p.curve and c.upto >= p.area
+  where not exists (select 1 from curves b where b.curve = p.curve and b.upto >= p.area and b.upto < c.upto)
+)
+select doc_id, size, source_size, target, first + second as taken,
+       t0 + least(2.0::double * inside / (w0 + sqrt(w0 * w0 + 2.0::double * ((w1 - w0) / span) * inside)), span) as position
+from seg
+union all
+select doc_id, size, source_size, target, 0, null from copies where first = 0
+"""

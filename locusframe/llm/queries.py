@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
+from . import decontaminate, line_dedup, mixing, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
 from .oracles import ORACLE_SQL
 from .runtime import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Weights over training time of the sources in turn: 5, 2 and 1 on the whole, from broad to special.
+CURRICULUM = [[(0, 7.5), (1, 2.5)], [(0, 2), (1, 2)], [(0, 0.25), (0.5, 0.75), (1, 2.25)]]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +86,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, in the order of its first training position."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.curriculum(docs, mixing.cycled_schedules(docs, CURRICULUM), share=1.5, cap=2.0)
+    first = mixed.withColumn("position", F.get("copies", F.lit(0))["position"])
+    return first.orderBy(F.col("position").asc_nulls_last(), "place").select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding, op11_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ BROADCAST_VALUES = 100_000
 SALTS = 64
 
 
-def _ranks(docs: DataFrame, name: str) -> DataFrame:
+def string_ranks(docs: DataFrame, name: str) -> DataFrame:
     """value and rank (from 1, in order, without gaps) of the distinct values of a column, but null."""
     values = docs.select(F.col(name).alias("value")).where("value is not null").distinct().orderBy("value")
     # numbers grow with the order inside a partition of the sort, and from one to the next
@@ -41,7 +41,7 @@ def _ranks(docs: DataFrame, name: str) -> DataFrame:
 
 def _with_ranks(rows: DataFrame, docs: DataFrame, name: str, out: str) -> DataFrame:
     """Replace the column ``out`` of rows, a value of the dimension, by its rank; null has 0."""
-    ranks = written(_ranks(docs, name), "kd-ranks")
+    ranks = written(string_ranks(docs, name), "kd-ranks")
     if ranks.count() <= BROADCAST_VALUES:
         joined = rows.join(F.broadcast(ranks), F.col(out) == F.col("value"), "left")
     else:  # each rank in SALTS copies, so that a frequent value is dealt to as many tasks
