@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
+from . import decontaminate, hard_negatives, line_dedup, mixing, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
 from .oracles import ORACLE_SQL
 from .runtime import table
 
@@ -94,9 +94,16 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.orderBy(F.col("position").asc_nulls_last(), "place").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten negatives in the window of each of five positives of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding, op11_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding, op11_mixing, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
