@@ -16,16 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .runtime import keyed_join, written
 from .sharding import string_ranks
 
 #: About so many documents are put in order by one task, of all sources together.
 PIECE_ROWS = 20_000
 #: Bits of a document's place by hash, and of a piece's number at most (a source's pieces are summed up in one window).
 _ORDER_BITS, _PIECE_BITS = 60, 20
-#: Targets of up to so many sources (about 200 bytes each) are broadcast; beyond, the join is salted.
-BROADCAST_SOURCES = 50_000
-SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,17 +92,6 @@ def _inverse(segments: Column, area: Column) -> Column:
     return F.element_at(F.transform(F.array(at), solved), 1)
 
 
-def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Join the few columns of each source to its rows; nulls are one source."""
-    named = sources.withColumnRenamed("source", "_source")
-    match = F.col("source").eqNullSafe(F.col("_source"))
-    if sources.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(named), match).drop("_source")
-    # each source in SALTS copies, so that a frequent one is dealt to as many tasks
-    copies = named.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(copies, match & (F.pmod("order", F.lit(SALTS)) == F.col("_copy"))).drop("_source", "_copy")
-
-
 def curriculum(docs: DataFrame, schedule: DataFrame, share: float = 1.0, cap: float = 2.0, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """What a mix takes of each document, and at which training positions.
 
@@ -144,7 +130,8 @@ def curriculum(docs: DataFrame, schedule: DataFrame, share: float = 1.0, cap: fl
     spread = laid.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     spread = spread.select("doc_id", "source", "size", "order", (F.col("before") + F.col("inside") + F.col("nth") * F.col("size")).alias("start"))
 
-    mixed = _with_sources(spread, targets)
+    named = targets.withColumnRenamed("source", "_source")
+    mixed = keyed_join(spread, named, F.col("source").eqNullSafe(F.col("_source")), F.col("order")).drop("_source")
     goal = F.floor(F.col("target") + F.lit(0.5))
     rounds = F.when(F.col("source_size") > 0, F.ceil(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
 

@@ -137,3 +137,34 @@ from positives join scores using (anchor_id)
 where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify rank <= 10
 """
+
+ORACLE_SQL["op13_collocations"] = r"""
+with pieces as (
+  select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece
+  from (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents)
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), totals as (
+  select lang, sum(len(words))::bigint as n from w group by lang
+), counts as (
+  select lang, size, phrase, count(*)::bigint as n
+  from (select lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) as phrase from w, range(1, 6) s(size) where len(words) >= size)
+  group by lang, size, phrase having count(*) >= 100
+), cuts as (
+  select lang, phrase, n as a, k, array_to_string(p[1:k], ' ') as head, array_to_string(p[k + 1:], ' ') as rest
+  from (select *, string_split(phrase, ' ') as p, unnest(range(1, size)) as k from counts where size > 1)
+), scored as (
+  select c.*, x.n as l, y.n as r, t.n as n, ((1000::hugeint * a * t.n) // (x.n::hugeint * y.n))::bigint as score
+  from cuts c join counts x on c.lang = x.lang and c.head = x.phrase join counts y on c.lang = y.lang and c.rest = y.phrase join totals t on c.lang = t.lang
+), best as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_parts as (
+  select lang, array_to_string(p[i:i + w - 1], ' ') as phrase, max(n) as longer
+  from (select c.lang, c.n, c.size, string_split(c.phrase, ' ') as p, w, unnest(range(1, c.size - w + 2)) as i from counts c, range(2, 5) s(w) where w < c.size)
+  group by all
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from best left join inner_parts using (lang, phrase)
+where longer is null or 100 * longer < 100 * a
+qualify rank <= 2000
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, line_dedup, mixing, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
+from . import collocations, decontaminate, hard_negatives, line_dedup, mixing, ngram_join, packing, quality, quality_rules, sharding, token_counts, toxicity, warc
 from .oracles import ORACLE_SQL
 from .runtime import table
 
@@ -101,9 +101,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, contained=100, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All opN_ queries by name."""
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding, op11_mixing, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_decontaminate, op4_ngram_join, op5_line_dedup, op6_quality_rules, op7_token_counts, op8_packing, op9_warc, op10_sharding, op11_mixing, op12_hard_negatives, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:

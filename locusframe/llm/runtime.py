@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -61,6 +61,21 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(bound))
 
 
+#: A table with a row for each group is broadcast up to so many rows (a few hundred bytes each); beyond, the join is salted.
+BROADCAST_ROWS, SALTS = 50_000, 64
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, match: Column, salt: Column) -> DataFrame:
+    """Inner join of rows with a written table that has few rows, at most one for each row of ``rows``.
+
+    A larger one is joined in SALTS copies: the rows of a frequent key are dealt to as many tasks by ``salt``.
+    """
+    if keyed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), match)
+    copies = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, match & (F.pmod(salt, F.lit(SALTS)) == F.col("_copy"))).drop("_copy")
+
+
 #: Keys with more than this share of all rows are joined by broadcast; there are at most 1 / HOT of them.
 HOT = 1e-5
 

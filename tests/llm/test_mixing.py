@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import mixing, queries
+from locusframe.llm import mixing, queries, runtime
 
 STEEP = [[(0, 7.5), (1, 2.5)], [(0, 2), (1, 2)], [(0, 0.25), (0.5, 0.75), (1, 2.25)]]
 
@@ -82,7 +82,7 @@ def test_many_sources_are_joined_with_salt(spark, monkeypatch):
     rows = [(i, "x y z " * (i % 5), "hot" if i % 2 else f"s{i}", 1) for i in range(300)]
     schedule = {r[2]: STEEP[i % 3] for i, r in enumerate(rows)}
     whole = Counter(str(r) for r in held(spark, rows, schedule).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
     assert Counter(str(r) for r in held(spark, rows, schedule).collect()) == whole
 
 
