@@ -28,7 +28,7 @@ from .textscan import LOWER, Hasher, mix, ranges, slices
 SHARDS = 16
 #: Bits of a map for each hash, and of a map at most (32 MB); further candidates are counted in further rounds.
 BITS_EACH, MAP_BITS = 16, 28
-#: Counts that a task gathers before it hands them on, and bytes of text worked on at once.
+#: Hashes that a task gathers before it counts them, and bytes of text worked on at once.
 HELD, PART_BYTES = 1 << 21, 3 << 20
 TOP_SALTS = 64
 
@@ -74,9 +74,19 @@ class Scan:
         n = max(0, len(self.piece) - size + 1)
         return self.piece[:n] == self.piece[size - 1 : size - 1 + n]
 
-    def phrase(self, first: int, size: int) -> bytes:
-        """The words from one on, joined by a space."""
-        return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[first : first + size].tolist(), self.end[first : first + size].tolist(), strict=True))
+    def phrases(self, first: np.ndarray, size: int) -> pa.Array:
+        """Runs of ``size`` words, each joined by a space; built from all their bytes at once."""
+        word = (first[:, None] + np.arange(size)).ravel()
+        length = self.end[word] - self.start[word] + 1  # with the byte after it, which becomes the space
+        stop = np.cumsum(length)
+        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.start[word] - (stop - length), length)
+        data = self.data[np.minimum(at, len(self.data) - 1)]
+        data[stop - 1] = 0x20
+        keep = np.ones(len(data), bool)
+        keep[stop[size - 1 :: size] - 1] = False
+        bounds = np.zeros(len(first) + 1, np.int64)
+        bounds[1:] = stop[size - 1 :: size] - np.arange(1, len(first) + 1)
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(data[keep])).cast(pa.string())
 
 
 def _scans(batch: pa.RecordBatch, kinds: dict[tuple[str, int], int]) -> Iterator[Scan]:
@@ -143,18 +153,9 @@ def _phrases(sizes: tuple[int, ...], known=None, share: tuple[int, int] = (0, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: dict[tuple[str, int], int] = {}
-        counts: dict[int, dict[bytes, list[int]]] = {}
-
-        def out() -> pa.RecordBatch:
-            names = list(kinds)
-            rows = [(*names[kind], h, words, n) for kind, found in counts.items() for words, (h, n) in found.items()]
-            langs, shards, hashes, words, n = zip(*rows, strict=True)
-            columns = [pa.array(langs, pa.string()), pa.array(shards, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PHRASES.split(", ")])
-
         for batch in batches:
             for scan in _scans(batch, kinds):
-                second = scan.second()
+                second, names = scan.second(), list(kinds)
                 for size in sizes:
                     hashes = scan.windows(scan.hash, size)
                     pick = scan.inside(size)
@@ -167,15 +168,10 @@ def _phrases(sizes: tuple[int, ...], known=None, share: tuple[int, int] = (0, 1)
                     for kind in np.unique(scan.kind[at]).tolist():
                         mine = np.flatnonzero(scan.kind[at] == kind)
                         firsts, n = _distinct(hashes[at[mine]], others[mine])
-                        found = counts.setdefault(kind, {})
                         first = at[mine[firsts]]
-                        for i, h, k in zip(first.tolist(), hashes[first].view(np.int64).tolist(), n.tolist(), strict=True):
-                            found.setdefault(scan.phrase(i, size), [h, 0])[1] += k
-                if sum(map(len, counts.values())) >= HELD // 4:
-                    yield out()
-                    counts = {}
-        if counts:
-            yield out()
+                        lang, shard = (pa.repeat(pa.scalar(x, t), len(first)) for x, t in zip(names[kind], (pa.string(), pa.int64()), strict=True))
+                        columns = [lang, shard, pa.array(hashes[first].view(np.int64)), scan.phrases(first, size), pa.array(n)]
+                        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PHRASES.split(", ")])
 
     return run
 
