@@ -29,7 +29,7 @@ SHARDS = 16
 #: Bits of a map for each hash, and of a map at most (32 MB); further candidates are counted in further rounds.
 BITS_EACH, MAP_BITS = 16, 28
 #: Hashes that a task gathers before it counts them, and bytes of text worked on at once.
-HELD, PART_BYTES = 1 << 21, 3 << 20
+HELD, PART_BYTES = 1 << 20, 1 << 20
 TOP_SALTS = 64
 
 _U = np.uint64
