@@ -1,11 +1,14 @@
-"""Junction contigs from reads: a greedy walk over k-mers, as a pandas UDF over bounded sets of reads."""
+"""Junction contigs from reads, by a table of which letter follows which k - 1 letters; a pandas UDF over bounded sets of reads."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from itertools import takewhile
+from collections.abc import Iterator
+from itertools import groupby, islice
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 K, LEAST, LONGEST, RUN_ANCHOR = 21, 2, 600, 8
 NEAREST, FARTHEST, AFTER_VARIANT, INSERT, SITE = 3, 40, 8, 10, 50
 _FLIP = str.maketrans("ACGT", "TGCA")
+_KMERS = re.compile(f"(?=([ACGT]{{{K}}}))")
 SCHEMA = "left_junction long, left_contig string, left_insert string, right_junction long, right_contig string, right_insert string, tail_base string, tail_length int"
 
 
@@ -23,70 +27,66 @@ def flipped(seq: str) -> str:
     return seq[::-1].translate(_FLIP)
 
 
-class Walk:
-    """k-mer counts of some reads, and contigs that grow along them."""
+class Successors:
+    """The k-mers of some reads, and the one letter that clearly follows each k - 1 letters."""
 
     def __init__(self, reads: list[str]):
-        self.reads = reads
-        kmers = (r[i : i + K] for r in reads for i in range(len(r) - K + 1))
-        self.counts = Counter(k for k in kmers if not set(k) - set("ACGT"))
-
-    def contig(self, seed: str) -> str:
-        """Add the base that most reads have, while there is one; a k-mer is passed once.
-
-        A base needs LEAST reads, and more than twice as many as the next one, if that has LEAST.
+        self.text = "\n".join(reads)
+        self.counts = Counter(_KMERS.findall(self.text))
+        self.next: dict[str, str] = {}
+        for stem, kmers in groupby(sorted(self.counts), key=lambda k: k[:-1]):
+            well_known = sorted((-self.counts[k], k[-1]) for k in kmers if self.counts[k] >= LEAST)
+            if well_known and all(well_known[0][0] < 2 * n for n, _ in well_known[1:]):
+                self.next[stem] = well_known[0][1]
+
+    def path(self, stem: str, passed: set[str]) -> Iterator[str]:
+        """Letters while each is clear, up to a k-mer that was passed before or a run as long as the stem."""
+        while (letter := self.next.get(stem)) and stem.strip(letter) and stem + letter not in passed:
+            passed.add(stem + letter)
+            stem = stem[1:] + letter
+            yield letter
+
+    def beyond_run(self, contig: str) -> str:
+        """The rest of the run that a contig ends with, and a letter; nothing if too few reads span the run.
+
+        Reads are looked at that have the letters before the run, the run so far or more, and
+        another letter: the median of their runs counts, and the letter that most have after it.
         """
-        grown, passed = seed, {seed}
-        while len(grown) < LONGEST:
-            tip = grown[1 - K :]
-            (best, base), (second, _) = sorted(((self.counts[tip + b], b) for b in "ACGT"), reverse=True)[:2]
-            if best < LEAST or LEAST <= second and best <= 2 * second:
-                break
-            if tip == base * (K - 1):
-                step = self.past_run(grown, base)
-                if not step:
-                    break
-                grown += step
-                if step.endswith("N"):
-                    break
-            elif tip + base in passed:
-                break
-            else:
-                passed.add(tip + base)
-                grown += base
-        return grown[:LONGEST]
-
-    def past_run(self, grown: str, base: str) -> str:
-        """What leads over a run that is longer than a k-mer: the rest of its median length in the reads, and the next base."""
-        so_far = len(grown) - len(grown.rstrip(base))
-        anchor = grown[: len(grown) - so_far][-RUN_ANCHOR:]
-        if len(anchor) < RUN_ANCHOR:
+        letter = contig[-1]
+        before = contig.rstrip(letter)
+        so_far = len(contig) - len(before)
+        if len(before) < RUN_ANCHOR:
             return ""
-        seen = []
-        for read in self.reads:
-            at = read.find(anchor)
-            while at >= 0:
-                after = read[at + RUN_ANCHOR :]
-                n = len(after) - len(after.lstrip(base))
-                if so_far <= n < len(after):
-                    seen.append((n, after[n]))
-                at = read.find(anchor, at + 1)
-        if len(seen) < LEAST:
+        spans = re.findall(f"(?={before[-RUN_ANCHOR:]}({letter}{{{so_far},}})([^{letter}\n]))", self.text)
+        if len(spans) < LEAST:
             return ""
-        length = sorted(seen)[(len(seen) - 1) // 2][0]
-        votes = Counter(b for _, b in seen)
-        return base * (length - so_far) + min(votes, key=lambda b: (-votes[b], b))
+        lengths = np.sort([len(run) for run, _ in spans])
+        after, votes = np.unique([x for _, x in spans], return_counts=True)  # in order, so that the least of equals wins
+        return letter * (int(lengths[(len(lengths) - 1) // 2]) - so_far) + str(after[votes.argmax()])
+
+    def contig(self, seed: str) -> str:
+        """The seed and what follows it: clear paths, and runs that reads lead over; to LONGEST letters, or an N after a run."""
+        grown, passed, step = seed, {seed}, "?"
+        while step and step[-1] != "N" and len(grown) < LONGEST:
+            grown += "".join(islice(self.path(grown[1 - K :], passed), LONGEST - len(grown)))
+            stem = grown[1 - K :]
+            at_run = len(set(stem)) == 1 and self.next.get(stem) == stem[0]
+            step = self.beyond_run(grown) if at_run else ""
+            grown += step
+        return grown[:LONGEST]
 
 
 def on_flank(contig: str, reference: str) -> int | None:
-    """Leading bases that lie on the flank: up to the first mismatch that isn't a lone variant. None if it never leaves."""
+    """Leading letters that lie on the flank: up to the first mismatch that isn't a lone variant. None if there is none.
+
+    A lone variant has AFTER_VARIANT matches right after it.
+    """
     n = min(len(contig), len(reference))
-    for i in range(n):
-        if contig[i] != reference[i]:
-            after = slice(i + 1, i + 1 + AFTER_VARIANT)
-            if i + AFTER_VARIANT >= n or contig[after] != reference[after]:
-                return i
-    return None
+    equal = np.frombuffer(contig[:n].encode(), np.uint8) == np.frombuffer(reference[:n].encode(), np.uint8)
+    wrong = np.flatnonzero(~equal)
+    matches = np.diff(np.append(wrong, n)) - 1
+    leaves = wrong[matches < AFTER_VARIANT]
+    return int(leaves[0]) if len(leaves) else None
 
 
 class Side(NamedTuple):
@@ -96,35 +96,32 @@ class Side(NamedTuple):
 
 
 def leaving(reads: list[str], flank: str, edge: int) -> tuple[int, str, int] | None:
-    """Walk off a flank whose junction is estimated at ``edge``: seed's start, contig, and bases on the flank."""
-    walk = Walk(reads)
-    for gap in range(NEAREST, FARTHEST + 1):
-        end = edge - gap
-        if end - K < 0 or end > len(flank):
-            continue
-        if walk.counts[flank[end - K : end]] >= LEAST:
-            contig = walk.contig(flank[end - K : end])
-            inside = on_flank(contig, flank[end - K :])
-            return (end - K, contig, inside) if inside is not None and len(contig) - inside >= INSERT else None
-    return None
+    """A contig that leaves a flank near ``edge``: where its seed begins, the contig, and its letters on the flank.
+
+    The seed is the k-mer of the flank, of those that end NEAREST to FARTHEST before the edge, that is nearest and that the reads hold.
+    """
+    known = Successors(reads)
+    ends = (edge - gap for gap in range(NEAREST, FARTHEST + 1))
+    begin = next((e - K for e in ends if K <= e <= len(flank) and known.counts[flank[e - K : e]] >= LEAST), None)
+    if begin is None:
+        return None
+    contig = known.contig(flank[begin : begin + K])
+    inside = on_flank(contig, flank[begin:])
+    return None if inside is None or len(contig) - inside < INSERT else (begin, contig, inside)
 
 
 def tail_of(insert: str, at_end: bool, least: int, share: float) -> tuple[int, str] | None:
     """Length of the pure run and base of the A or T tail at the junction end of an insert, if the insert goes beyond it."""
-    seq = insert[::-1] if at_end else insert
-    best = (0, "")
-    for base in "AT":
-        hits = stretch = 0
-        for i, x in enumerate(seq, 1):
-            hits += x == base
-            if x == base and hits >= share * i:
-                stretch = i
-        if stretch > best[0]:
-            best = (stretch, base)
-    if best[0] < least:
-        return None
-    run = len(list(takewhile(lambda x: x == best[1], seq)))
-    return (run, best[1]) if run < len(seq) else None
+    letters = np.frombuffer((insert[::-1] if at_end else insert).encode(), np.uint8)
+    place = np.arange(1, len(letters) + 1)
+
+    def reach(base: str) -> int:
+        own = letters == ord(base)
+        return int((place * (own & (np.cumsum(own) >= share * place))).max(initial=0))
+
+    base = max("AT", key=reach)
+    other = np.flatnonzero(letters != ord(base))
+    return (int(other[0]), base) if reach(base) >= least and len(other) else None
 
 
 def assemble(left_reads: list[str], right_reads: list[str], inside: list[str], window: str, start: int, left: int | None, right: int | None, least: int = 10, share: float = 0.8) -> tuple[Side | None, Side | None, tuple[int, str] | None]:

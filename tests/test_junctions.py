@@ -19,21 +19,21 @@ def pieces(seq, size=80, step=7):
 def test_a_walk_follows_most_reads():
     rng = random.Random(2)
     seq = dna(rng, 300)
-    grown = asm.Walk(pieces(seq) * 2).contig(seq[:21])
+    grown = asm.Successors(pieces(seq) * 2).contig(seq[:21])
     assert seq.startswith(grown) and len(grown) > 290
     fork = [seq[:100] + "ACGTACGTTGCA" * 3] * 2 + [seq[:100] + "TTGGCCAATCGA" * 3] * 2
-    assert asm.Walk(fork).contig(seq[:21]) == seq[:100]
-    assert asm.Walk([seq]).contig(seq[:21]) == seq[:21]  # one read isn't enough
+    assert asm.Successors(fork).contig(seq[:21]) == seq[:100]
+    assert asm.Successors([seq]).contig(seq[:21]) == seq[:21]  # one read isn't enough
     loop = (seq[:50] * 6)[:280]
-    assert len(asm.Walk([loop] * 2).contig(loop[:21])) <= 50 + 21
-    assert "N" not in asm.Walk([seq[:60] + "N" + seq[61:]] * 3).contig(seq[:21])
+    assert len(asm.Successors([loop] * 2).contig(loop[:21])) <= 50 + 21
+    assert "N" not in asm.Successors([seq[:60] + "N" + seq[61:]] * 3).contig(seq[:21])
 
 
 def test_a_walk_passes_long_runs():
     rng = random.Random(3)
     left, right = dna(rng, 60) + "C", "G" + dna(rng, 60)
     reads = [left[-40:] + "A" * n + right[:40] for n in (28, 30, 30, 31, 33)] * 2
-    contig = asm.Walk(reads).contig(left[-40:][:21])
+    contig = asm.Successors(reads).contig(left[-40:][:21])
     assert contig.startswith(left[-40:] + "A" * 30 + "G")
 
 
@@ -52,7 +52,84 @@ def test_junctions_of_both_sides():
     assert asm.assemble([], [], [], ref, 1000, 1000 + left, None) == (None, None, None)
 
 
+def slow_contig(reads, seed):
+    """The walk by its rules alone: each letter by counting in all reads anew."""
+    known = lambda k: sum(r[i : i + 21] == k for r in reads for i in range(len(r) - 20)) if not set(k) - set("ACGT") else 0
+    contig, passed = seed, {seed}
+    while len(contig) < 600:
+        n = {b: known(contig[-20:] + b) for b in "ACGT"}
+        best = max(n, key=n.get)
+        rivals = [c for b, c in n.items() if b != best and c >= 2]
+        if n[best] < 2 or any(2 * c >= n[best] for c in rivals):
+            break
+        if contig[-20:] != best * 20:
+            if contig[-20:] + best in passed:
+                break
+            passed.add(contig[-20:] + best)
+            contig += best
+            continue
+        run = next(i for i in range(len(contig), 0, -1) if contig[i - 1] != best) if set(contig) != {best} else 0
+        told = []
+        for r in reads:
+            for i in range(len(r) - 8 if run >= 8 else 0):
+                if r[i : i + 8] == contig[run - 8 : run]:
+                    end = i + 8
+                    while end < len(r) and r[end] == best:
+                        end += 1
+                    if end < len(r) and end - i - 8 >= len(contig) - run:
+                        told.append((end - i - 8, r[end]))
+        if len(told) < 2:
+            break
+        letters = sorted(x for _, x in told)
+        after = max(sorted(set(letters)), key=letters.count)
+        contig += best * (sorted(n for n, _ in told)[(len(told) - 1) // 2] - (len(contig) - run)) + after
+        if after == "N":
+            break
+    return contig[:600]
+
+
+def test_contigs_as_by_counting_anew():
+    rng = random.Random(11)
+    for _ in range(60):
+        seq = dna(rng, 40) + rng.choice("ACGT") * rng.choice([0, 18, 22, 27]) + dna(rng, 30) + rng.choice(["", "A" * 25 + "N", dna(rng, 15) * 2]) + dna(rng, 30)
+        reads = []
+        for _ in range(30):
+            at = rng.randrange(len(seq) - 40)
+            read = list(seq[at : at + rng.randrange(40, 75)])
+            for _ in range(rng.randrange(3)):
+                read[rng.randrange(len(read))] = rng.choice("ACGTN")
+            if rng.random() < 0.3:
+                del read[rng.randrange(len(read))]
+            reads.append("".join(read))
+        seed = seq[5:26]
+        assert asm.Successors(reads).contig(seed) == slow_contig(reads, seed)
+
+
+def test_given_assembly():
+    """A 12-base site, an element and A30, with estimates 2 bases off: junctions 1200 and 1188, tail A30."""
+    rng = random.Random(13)
+    while True:
+        ref, element = dna(rng, 400), dna(rng, 100)
+        if element[0] != ref[200] and ref[187] != "A" and element[-1] != "A":
+            break
+    hap = ref[:200] + element + "A" * 30 + ref[188:]
+    reads = [hap[i : i + 100] for i in range(80, 360, 4)]
+    one, two, tail = asm.assemble(reads, reads, [], ref, 1000, 1202, 1186)
+    assert (one.junction, two.junction, tail) == (1200, 1188, (30, "A"))
+    assert ref[188:200] == hap[188:200] and one.insert.startswith(element[:40]) and two.insert.endswith("A" * 30)
+
+
+def test_anchors_of_a_window():
+    window = tracts.Window("ACGGTGCATTGAC" + "GATCCCGTAG" * 2)
+    assert window.explains("ACGTGCAT", 0, 30) is True and window.explains("ACGTGGCAT", 0, 31) is False
+    assert window.explains("ACGTTGCAT", 1, 40) is True and window.explains("ACGTGCAT", 1, 41) is False
+    assert window.explains("ATATATATATAT", 0, 0) is None and window.explains("ACGTT", 0, 0) is None
+    assert window.explains("TGACGTGCAT", 0, 36) is True and window.explains("TGACGTGCAT", 0, 37) is False  # two letters further in
+    assert tracts.Window("C" + "A" * 10 + "G").has_run(14, "A") and not tracts.Window("C" + "A" * 10 + "G").has_run(15, "A") and not tracts.Window("C" + "A" * 9 + "G").has_run(5, "A")
+
+
 def test_flanks_allow_lone_variants():
+    assert asm.on_flank("ACGTAC", "ACGTTT") == 4
     assert asm.on_flank("ACGTACGTACGTTTTT", "ACGAACGTACGTAAAA") == 12
     assert asm.on_flank("ACGT", "ACGT") is None and asm.on_flank("ACGTT", "ACGTA") == 4
 
