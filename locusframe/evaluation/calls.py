@@ -54,11 +54,11 @@ def labels(value: Column, edges: list[int], unit: str = "") -> Column:
     return out.otherwise(F.lit(f">= {edges[-1]}{unit}"))
 
 
-def in_targets(points: DataFrame, targets: DataFrame, contig: str, position: str, width: int = 1 << 12) -> DataFrame:
+def in_targets(points: DataFrame, targets: DataFrame, contig: str, position: str) -> DataFrame:
     """The rows of which the boundary lies in a target (contig, start, end), its end included."""
     cut = targets.select(F.col("contig").alias("_t"), "start", "end")
     at = F.col(position)
-    return iv.within_any(points, cut, [(contig, "_t")], (at, at + 1), (F.col("start"), F.col("end") + 1), width)
+    return iv.within_any(points, cut, [(contig, "_t")], (at, at + 1), (F.col("start"), F.col("end") + 1))
 
 
 def target_distance(points: DataFrame, targets: DataFrame, contig: str, position: str, reach: int, name: str = "distance") -> DataFrame:
@@ -68,7 +68,7 @@ def target_distance(points: DataFrame, targets: DataFrame, contig: str, position
     """
     cut = targets.select(F.col("contig").alias("_t"), F.col("start").alias("_ts"), F.col("end").alias("_te"))
     at = F.col(position)
-    pairs = iv.overlap_join(points, cut, [(contig, "_t")], (at - reach, at + reach + 1), (F.col("_ts"), F.col("_te") + 1), max(1, 2 * reach + 1))
+    pairs = iv.overlap_join(points, cut, [(contig, "_t")], (at - reach, at + reach + 1), (F.col("_ts"), F.col("_te") + 1))
     away = F.greatest(F.lit(0), F.col("_ts") - at, at - F.col("_te"))
     near = pairs.groupBy(*points.columns).agg(F.min(away).alias(name)).where(F.col(name) <= reach)
     match = None
@@ -83,7 +83,7 @@ def near(calls: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     at = calls.select("sample", "call", F.col("contig").alias("_c"), F.explode("points").alias("_at"))
     true = truth.select("id", F.col("contig").alias("_tc"), "pos")
     reach = (F.col("_at") - tolerance, F.col("_at") + tolerance + 1)
-    pairs = iv.overlap_join(at, true, [("_c", "_tc")], reach, (F.col("pos"), F.col("pos") + 1), 2 * tolerance + 1)
+    pairs = iv.overlap_join(at, true, [("_c", "_tc")], reach, (F.col("pos"), F.col("pos") + 1))
     return pairs.groupBy("sample", "call", "id").agg(F.min(F.abs(F.col("_at") - F.col("pos"))).alias("distance"))
 
 

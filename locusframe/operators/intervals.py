@@ -1,7 +1,7 @@
 """Operators over half-open intervals of contigs.
 
-Range joins are equi-joins on bins with the range as a further condition, so they are hash or
-sort-merge joins and never compare all pairs of a contig.
+Range joins are equi-joins on nested bins with the range as a further condition, so they are hash or
+sort-merge joins and never compare all pairs of a contig, nor copy a long row to many bins.
 """
 
 from __future__ import annotations
@@ -27,62 +27,85 @@ def covered(df: DataFrame, keys: list[str], **names: object) -> DataFrame:
     return merge_intervals(df, keys, **names).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    """Bins an interval touches; one without length touches that of its start."""
-    first = F.floor(start / width)
-    return F.explode(F.sequence(first, F.greatest(first, F.floor((end - 1) / width))))
+def _level(start: Column, end: Column) -> Column:
+    """The least level whose bins, 16 ** level wide, are as long as an interval."""
+    length = end - start
+    return F.when(length > 1, F.length(F.hex(length - 1))).otherwise(F.when(length.isNotNull(), F.lit(0)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int) -> DataFrame:
+def _copies(mine: str, other: Column, first_of_both: bool) -> Column:
+    """Slots and bins of an interval (_s, _e, _l): its own where shorter ones look for it, and those of longer ones.
+
+    A slot is a level and the side that is longer there. An interval touches one or two bins of its own
+    level and of any above. ``other`` is the array of levels of the other side: only these are looked up.
+    """
+    side, opposite = (0, 1) if mine == "left" else (1, 0)
+    level, start, end = F.col(f"_{mine}_l"), F.col(f"_{mine}_s"), F.col(f"_{mine}_e")
+
+    def bins(at: Column, owner: int) -> Column:
+        low = F.call_function("shiftright", start, at * 4)
+        high = F.greatest(low, F.call_function("shiftright", end - 1, at * 4))
+        return F.transform(F.sequence(low, high), lambda x: F.struct((at * 2 + owner).alias("slot"), x.alias("bin")))
+
+    # of equal levels the left side looks and the right side waits
+    above = F.filter(other, lambda x: x >= level if first_of_both else x > level)
+    waits = F.exists(other, lambda x: x < level if first_of_both else x <= level)
+    looked_up = F.flatten(F.transform(above, lambda x: bins(x, opposite)))
+    return F.concat(F.when(waits, bins(level, side)).otherwise(F.array().cast("array<struct<slot:int,bin:bigint>>")), looked_up)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_range: tuple[Column, Column], right_range: tuple[Column, Column]) -> DataFrame:
     """All pairs of rows with equal keys whose half-open ranges overlap, each pair once.
 
-    left and right must not share column names. Choose ``width`` near the longer of the usual
-    lengths: a row is copied to each bin that its range touches. A pair that shares several
-    bins is kept in the bin where its overlap begins.
+    left and right must not share column names. Lengths may be as different as they like: bins are nested,
+    16 times as wide from level to level. A row waits in the one or two bins that it
+    touches of the level of its own length, and looks for longer rows in the bins above, of the levels that the
+    other side has (at most one for each power of 16, found by a subquery). So a row has a few copies, however
+    long it is. A pair that shares two bins is kept in the one where its overlap begins. Rows with a null in key or range have no pair.
     """
-    a = left.withColumn("_s", left_range[0]).withColumn("_e", left_range[1]).withColumn("_bin", _bins(F.col("_s"), F.col("_e"), width))
-    b = right.withColumn("_rs", right_range[0]).withColumn("_re", right_range[1]).withColumn("_rbin", _bins(F.col("_rs"), F.col("_re"), width))
-    match = F.col("_bin") == F.col("_rbin")
+    sides = []
+    for name, df, (start, end) in (("left", left, left_range), ("right", right, right_range)):
+        ranged = df.withColumn(f"_{name}_s", start.cast("long")).withColumn(f"_{name}_e", end.cast("long"))
+        sides.append(ranged.withColumn(f"_{name}_l", _level(F.col(f"_{name}_s"), F.col(f"_{name}_e"))))
+    levels = [df.agg(F.collect_set(f"_{name}_l").alias("levels")).scalar() for name, df in zip(("left", "right"), sides, strict=True)]
+    # generated columns come before the levels are used, so that these are a column and not a subquery in each lambda
+    cut = []
+    for k, (name, df) in enumerate(zip(("left", "right"), sides, strict=True)):
+        told = df.withColumn(f"_{name}_o", levels[1 - k])
+        cut.append(told.withColumn(f"_{name}_at", F.explode(_copies(name, F.col(f"_{name}_o"), name == "left"))))
+    match = (F.col("_left_at.slot") == F.col("_right_at.slot")) & (F.col("_left_at.bin") == F.col("_right_at.bin"))
     for x, y in on:
         match = match & (F.col(x) == F.col(y))
-    touches = (F.col("_s") < F.col("_re")) & (F.col("_rs") < F.col("_e")) & (F.col("_bin") == F.floor(F.greatest("_s", "_rs") / width))
-    return a.join(b, match & touches).drop("_s", "_e", "_bin", "_rs", "_re", "_rbin")
+    begins = F.call_function("shiftright", F.greatest("_left_s", "_right_s"), F.shiftright("_left_at.slot", 1) * 4)
+    touches = (F.col("_left_s") < F.col("_right_e")) & (F.col("_right_s") < F.col("_left_e")) & (F.col("_left_at.bin") == begins)
+    joined = cut[0].join(cut[1], match & touches)
+    return joined.drop(*[f"_{name}_{c}" for name in ("left", "right") for c in ("s", "e", "l", "o", "at")])
 
 
-def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], row_range: tuple[Column, Column], region_range: tuple[Column, Column], width: int, coarser: int = 1) -> DataFrame:
-    """The rows that overlap some region, each once: a semi-join.
+def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], row_range: tuple[Column, Column], region_range: tuple[Column, Column]) -> DataFrame:
+    """The rows that overlap some region, each once, repeated rows as often as they are.
 
-    Rows are held against the regions in the bins of their first and last base. Those that
-    reach over a bin between are held against them in bins 1,024 times as wide (``coarser``
-    times); choose ``width`` no less than a thousandth of the longest row, near the usual length.
+    Regions are merged, and each knows the end of the one before; a row is kept with the
+    first region that it overlaps. A row without length lies in two regions that touch there.
     """
-    cut = regions.select(*[F.col(y).alias(f"_r{i}") for i, (_, y) in enumerate(on)], region_range[0].alias("_rs"), region_range[1].alias("_re"))
-    cut = cut.withColumn("_rbin", _bins(F.col("_rs"), F.col("_re"), width))
-    ranged = rows.withColumn("_s", row_range[0]).withColumn("_e", row_range[1])
-    touches = (F.col("_s") < F.col("_re")) & (F.col("_rs") < F.col("_e"))
-    for i, (x, _) in enumerate(on):
-        touches = touches & (F.col(x) == F.col(f"_r{i}"))
-    first = F.floor(F.col("_s") / width)
-    last = F.greatest(first, F.floor((F.col("_e") - 1) / width))
-    reach = last - first if coarser else F.least(last - first, F.lit(1))
-    in_first = touches & (first == F.col("_rbin"))
-    near = ranged.where(reach <= 1).join(cut, in_first, "left_semi")
-    far = ranged.where(reach == 1).join(cut, in_first, "left_anti").join(cut, touches & (last == F.col("_rbin")), "left_semi")
-    found = near.unionAll(far).select(*rows.columns)
-    if not coarser:
-        return found
-    long = ranged.where(reach > 1).select(*rows.columns)
-    return found.unionAll(within_any(long, regions, on, row_range, region_range, width << 10, coarser - 1))
-
-
-def depth_at(points: DataFrame, reads: DataFrame, on: list[tuple[str, str]], position: str, read_range: tuple[Column, Column], width: int, name: str = "depth") -> DataFrame:
+    keys = [f"_r{i}" for i in range(len(on))]
+    cut = regions.select(*[F.col(y).alias(k) for k, (_, y) in zip(keys, on, strict=True)], region_range[0].alias("_rs"), region_range[1].alias("_re"))
+    merged = merge_intervals(cut, keys, "_rs", "_re")
+    placed = with_previous_max(merged.select(*keys, "start", "end"), keys, "start", "end", 1 << 20, "_before", ["end"])
+    islands = placed.select(*keys, F.col("start").alias("_rs"), F.col("end").alias("_re"), "_before")
+    ranged = rows.withColumn("_row_start", row_range[0])
+    pairs = overlap_join(ranged, islands, [(x, k) for k, (x, _) in zip(keys, on, strict=True)], (F.col("_row_start"), row_range[1]), (F.col("_rs"), F.col("_re")))
+    return pairs.where(F.col("_before").isNull() | (F.col("_before") <= F.col("_row_start"))).select(*rows.columns)
+
+
+def depth_at(points: DataFrame, reads: DataFrame, on: list[tuple[str, str]], position: str, read_range: tuple[Column, Column], name: str = "depth") -> DataFrame:
     """Add to each boundary the reads that overlap the bases on both sides of it; 0 where there is none.
 
     The rows of points must be distinct.
     """
     at = F.col(position)
     around = (F.greatest(at - 1, F.lit(0)), at + 1)
-    hits = overlap_join(points, reads, on, around, read_range, width).groupBy(*points.columns).agg(F.count("*").alias(name))
+    hits = overlap_join(points, reads, on, around, read_range).groupBy(*points.columns).agg(F.count("*").alias(name))
     match = None
     for c in points.columns:
         same = F.col(f"p.{c}").eqNullSafe(F.col(f"h.{c}"))
@@ -93,9 +116,8 @@ def depth_at(points: DataFrame, reads: DataFrame, on: list[tuple[str, str]], pos
 
 def nearest_edge(points: DataFrame, edges: DataFrame, on: list[tuple[str, str]], position: str, edge: str, tolerance: int, name: str = "distance") -> DataFrame:
     """Distance from each row to the nearest edge within the tolerance; rows without one are left out."""
-    width = max(1, 2 * tolerance + 1)
     reach = (F.col(position) - tolerance, F.col(position) + tolerance + 1)
-    pairs = overlap_join(points, edges, on, reach, (F.col(edge), F.col(edge) + 1), width)
+    pairs = overlap_join(points, edges, on, reach, (F.col(edge), F.col(edge) + 1))
     return pairs.groupBy(*points.columns).agg(F.min(F.abs(F.col(position) - F.col(edge))).alias(name))
 
 
@@ -105,7 +127,7 @@ def loci(points: DataFrame, keys: list[str], position: str, gap: int = 100) -> D
     return clustered.groupBy(*keys, F.col("cluster_start").alias("first")).agg(F.max(position).alias("last"), F.count("*").alias("points"))
 
 
-def lift(points: DataFrame, blocks: DataFrame, contig: str, position: str, width: int = 1 << 16) -> DataFrame:
+def lift(points: DataFrame, blocks: DataFrame, contig: str, position: str) -> DataFrame:
     """Map positions through alignment blocks: adds lifted_contig and lifted, null where no block holds the position.
 
     blocks: source, s, e, score, chain, q_contig, q_size, strand, q_start. Of several blocks
@@ -113,7 +135,7 @@ def lift(points: DataFrame, blocks: DataFrame, contig: str, position: str, width
     positions count from the other end. The rows of points must be distinct.
     """
     at = F.col(position)
-    pairs = overlap_join(points, blocks, [(contig, "source")], (at, at + 1), (F.col("s"), F.col("e")), width)
+    pairs = overlap_join(points, blocks, [(contig, "source")], (at, at + 1), (F.col("s"), F.col("e")))
     inner = F.col("q_start") + at - F.col("s")
     lifted = F.when(F.col("strand") == "-", F.col("q_size") - 1 - inner).otherwise(inner)
     best = F.min_by(F.struct(F.col("q_contig").alias("lifted_contig"), lifted.alias("lifted")), F.struct(-F.col("score"), F.col("chain")))

@@ -10,7 +10,7 @@ from ..operators import intervals as iv
 from ..operators import positions as po
 from ..operators import statistics as st
 from ..options import Calling, Reading
-from .extract import BIN, LEFT, RIGHT, exclusion
+from .extract import LEFT, RIGHT, exclusion
 
 KEYS = ["contig", "cluster_start"]
 NEAR_JUNCTION = 2
@@ -82,7 +82,7 @@ def with_depth(candidates: DataFrame, reads: DataFrame, options: Reading) -> Dat
     """Add the kept reads over each breakpoint, and the signals' share of them."""
     points = candidates.select(*KEYS, "breakpoint").withColumnRenamed("contig", "p_contig")
     kept = reads.where(exclusion(options) == "kept").where("start is not null").select(F.col("contig").alias("r_contig"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    deep = iv.depth_at(points, kept, [("p_contig", "r_contig")], "breakpoint", (F.col("r_start"), F.col("r_end")), 512)
+    deep = iv.depth_at(points, kept, [("p_contig", "r_contig")], "breakpoint", (F.col("r_start"), F.col("r_end")))
     joined = candidates.join(deep.select(F.col("p_contig").alias("contig"), "cluster_start", "depth"), KEYS)
     return joined.withColumn("signal_ratio", sc.signal_ratio(F.col("support"), F.col("depth")))
 
@@ -188,7 +188,7 @@ def judged(candidates: DataFrame, options: Calling) -> DataFrame:
     return rated.withColumn("confidence", sc.confidence(F.size("filters") == 0, tailed, F.coalesce("by_mates", F.lit(False)), F.col("tsd").isNotNull())).drop("_alone")
 
 
-def allele_counts(sites: DataFrame, reads: DataFrame, overhang: int, slack: int = ALLELE_SLACK, width: int = 512) -> DataFrame:
+def allele_counts(sites: DataFrame, reads: DataFrame, overhang: int, slack: int = ALLELE_SLACK) -> DataFrame:
     """Reads of each allele at sites (site, s_contig, left, right): site, alt_left, alt_right, ref_reads.
 
     reads: contig, start, end, left_clip and right_clip (lengths of good clips, else 0). A read
@@ -200,7 +200,7 @@ def allele_counts(sites: DataFrame, reads: DataFrame, overhang: int, slack: int
     spans = sites.withColumn("low", F.least("left", "right")).withColumn("high", F.greatest("left", "right"))
     kept = reads.select(F.col("contig").alias("r_contig"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), "left_clip", "right_clip")
     near = (F.greatest(F.col("low") - 1, F.lit(0)), F.col("high") + 1)
-    pairs = iv.overlap_join(spans.where("low is not null"), kept, [("s_contig", "r_contig")], near, (F.col("r_start"), F.col("r_end")), width)
+    pairs = iv.overlap_join(spans.where("low is not null"), kept, [("s_contig", "r_contig")], near, (F.col("r_start"), F.col("r_end")))
     no = lambda c: F.coalesce(c, F.lit(False))
     left = no((F.col("right_clip") >= overhang) & (F.abs(F.col("r_end") - F.col("left")) <= slack))
     right = no((F.col("left_clip") >= overhang) & (F.abs(F.col("r_start") - F.col("right")) <= slack))

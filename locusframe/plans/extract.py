@@ -14,8 +14,6 @@ from ..storage import staged
 from . import typing
 
 LEFT, RIGHT = 0, 1
-#: Width of the bins in which reads are held against regions.
-BIN = 1 << 14
 
 
 def flag(bit: int) -> Column:
@@ -34,7 +32,7 @@ def reads_in(reads: DataFrame, regions: DataFrame) -> DataFrame:
     """Reads that overlap a region, each once; placed unmapped reads count with one base."""
     cut = regions.select(F.col("contig").alias("_contig"), F.col("start").alias("_start"), F.col("end").alias("_end"))
     placed = reads.where(F.col("start").isNotNull() & F.col("contig").isNotNull())
-    return iv.within_any(placed, cut, [("contig", "_contig")], (F.col("start"), F.col("end")), (F.col("_start"), F.col("_end")), BIN)
+    return iv.within_any(placed, cut, [("contig", "_contig")], (F.col("start"), F.col("end")), (F.col("_start"), F.col("_end")))
 
 
 def _qualities(text: Column) -> Column:

@@ -54,7 +54,7 @@ def tandem_repeats(clips: DataFrame, candidates: DataFrame, contigs: DataFrame,
     return joined.withColumn("filters", F.when(F.col("_tract"), F.array_append("filters", "tandem_repeat")).otherwise(F.col("filters"))).drop("_tract")
 
 
-def breakpoints(requests: DataFrame, reads: DataFrame, keys: list[str], width: int = 512) -> DataFrame:
+def breakpoints(requests: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
     """The boundary inside each request at which most reads are clipped: keys, boundary and votes.
 
     requests: keys, q_contig, first, last (inclusive) and estimate. reads: contig, start, end,
@@ -62,7 +62,7 @@ def breakpoints(requests: DataFrame, reads: DataFrame, keys: list[str], width: i
     """
     ends = F.array(F.struct(F.col("left_clip").alias("n"), F.col("start").alias("boundary")), F.struct(F.col("right_clip").alias("n"), F.col("end").alias("boundary")))
     clipped = reads.where(F.greatest("left_clip", "right_clip") >= SHORT_CLIP).select(F.col("contig").alias("r_contig"), F.inline(ends)).where(F.col("n") >= SHORT_CLIP)
-    pairs = iv.overlap_join(requests, clipped, [("q_contig", "r_contig")], (F.col("first"), F.col("last") + 1), (F.col("boundary"), F.col("boundary") + 1), width)
+    pairs = iv.overlap_join(requests, clipped, [("q_contig", "r_contig")], (F.col("first"), F.col("last") + 1), (F.col("boundary"), F.col("boundary") + 1))
     return po.best_boundary(pairs, keys, "boundary", "estimate")
 
 
@@ -90,7 +90,7 @@ def located(candidates: DataFrame, reads: DataFrame, options: Reading, least_mat
     return joined.drop("_at", "_votes")
 
 
-def junction_reads(requests: DataFrame, reads: DataFrame, keys: list[str], order: list[str], most: int = MOST_READS, width: int = 1024) -> DataFrame:
+def junction_reads(requests: DataFrame, reads: DataFrame, keys: list[str], order: list[str], most: int = MOST_READS) -> DataFrame:
     """The first reads of each request and set: keys, role (left, right or inside), seq and rank.
 
     requests: keys, q_contig, low and high (a window), left and right (junctions, may be null).
@@ -101,7 +101,7 @@ def junction_reads(requests: DataFrame, reads: DataFrame, keys: list[str], order
     """
     place = F.when(F.col("unmapped"), F.col("start") + 1).otherwise(F.greatest("end", F.col("start") + 1))
     useful = reads.where(F.col("unmapped") | (F.col("left_clip") > 0) | (F.col("right_clip") > 0)).withColumnRenamed("contig", "r_contig")
-    pairs = iv.overlap_join(requests, useful, [("q_contig", "r_contig")], (F.col("low"), F.col("high")), (F.col("start"), place), width)
+    pairs = iv.overlap_join(requests, useful, [("q_contig", "r_contig")], (F.col("low"), F.col("high")), (F.col("start"), place))
 
     def close(junction: str, end: Column, clip: str) -> Column:
         return ~F.col("unmapped") & (F.col(clip) > 0) & F.coalesce(F.abs(end - F.col(junction)) <= SLACK, F.lit(False))

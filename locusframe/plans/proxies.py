@@ -156,7 +156,7 @@ def region_semi_join(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("cust"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", _days("l_shipdate").alias("d"))
     ships = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "cust", "d")
-    return iv.within_any(ships, regions, [("cust", "o_custkey")], (F.col("d"), F.col("d") + 7), (F.col("start"), F.col("end")), 64)
+    return iv.within_any(ships, regions, [("cust", "o_custkey")], (F.col("d"), F.col("d") + 7), (F.col("start"), F.col("end")))
 
 
 @query(f"""with {_SPANS}, points as (select c_custkey, 9000 + (c_custkey % 7) * 300 as b from customer)
@@ -164,7 +164,7 @@ select c_custkey, b, count(o_custkey) as depth from points left join spans on o_
 def local_depth(spark, sf_dir):
     """Order periods over a boundary of each customer, 0 where there is none."""
     points = table(spark, sf_dir, "customer").select("c_custkey", F.expr("9000 + (c_custkey % 7) * 300").alias("b"))
-    return iv.depth_at(points, order_spans(spark, sf_dir), [("c_custkey", "o_custkey")], "b", (F.col("s"), F.col("e")), 64)
+    return iv.depth_at(points, order_spans(spark, sf_dir), [("c_custkey", "o_custkey")], "b", (F.col("s"), F.col("e")))
 
 
 @query(f"""with {_EVENTS}, edges as (select user_id as u, pos as edge from events_p where event_type = 'purchase')
@@ -486,7 +486,7 @@ def liftover(spark, sf_dir):
     spans = order_spans(spark, sf_dir)
     blocks = spans.select(F.col("o_custkey").alias("source"), "s", "e", (F.col("o_orderkey") % 11).alias("score"), F.col("o_orderkey").alias("chain"), (F.col("o_custkey") + 100000).alias("q_contig"), F.lit(4000).alias("q_size"), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("+").alias("strand"), (F.col("o_orderkey") % 97).alias("q_start"))
     points = spans.select("o_custkey", (F.col("s") + 9).alias("p")).distinct()
-    return iv.lift(points, blocks, "o_custkey", "p", 64)
+    return iv.lift(points, blocks, "o_custkey", "p")
 
 
 @query()

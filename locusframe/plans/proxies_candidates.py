@@ -212,7 +212,7 @@ counts as (select site, count_if(a)::bigint as alt_left, count_if(b)::bigint as
 select site, coalesce(alt_left, 0) as alt_left, coalesce(alt_right, 0) as alt_right, coalesce(ref_reads, 0) as ref_reads from sites left join counts using (site)""")
 def allele_counts(spark, sf_dir):
     """Order periods that speak for and against a site of each customer."""
-    return ca.allele_counts(_sites(spark, sf_dir), _order_reads(spark, sf_dir), 15, width=64)
+    return ca.allele_counts(_sites(spark, sf_dir), _order_reads(spark, sf_dir), 15)
 
 
 @query(f"""with {_SITES}, ends as (select contig, "start" as boundary from reads where left_clip >= 3 union all select contig, "end" from reads where right_clip >= 3),
@@ -221,7 +221,7 @@ select site, boundary, votes from votes qualify row_number() over (partition by
 def breakpoint_request(spark, sf_dir):
     """The day between two at which most order periods of each customer are clipped."""
     requests = _sites(spark, sf_dir).select("site", F.col("s_contig").alias("q_contig"), F.lit(9200).alias("first"), F.lit(9800).alias("last"), F.lit(9500).alias("estimate"))
-    return junctions.breakpoints(requests, _order_reads(spark, sf_dir), ["site"], 128)
+    return junctions.breakpoints(requests, _order_reads(spark, sf_dir), ["site"])
 
 
 @query(f"""with {_SITES}, w as (select site, l, r, 9000 as low, 9900 as high from sites),
@@ -235,7 +235,7 @@ def junction_reads(spark, sf_dir):
     o = F.col("o_orderkey")
     reads = _order_reads(spark, sf_dir).select("*", (o % 10 == 0).alias("unmapped"), F.concat(F.lit("seq"), o.cast("string")).alias("seq"))
     requests = _sites(spark, sf_dir).select("site", F.col("s_contig").alias("q_contig"), "left", "right", F.lit(9000).alias("low"), F.lit(9900).alias("high"))
-    return junctions.junction_reads(requests, reads, ["site"], ["o_orderkey"], 3, 128)
+    return junctions.junction_reads(requests, reads, ["site"], ["o_orderkey"], 3)
 
 
 _HITS = """hits as (select p_brand, l_orderkey as voter, max(l_linenumber % 2 = 0) over (partition by p_brand, l_orderkey) as short, p_type as family, p_size as cid, p_type || p_size as name, l_linestatus = 'F' as reverse, floor(l_extendedprice)::bigint as score, floor(l_quantity)::bigint / 64 as identity, l_linenumber as element_start, l_linenumber + 40 as element_end

@@ -73,15 +73,46 @@ def test_overlap_join_gives_each_pair_once(spark):
     left = spark.createDataFrame([(1, 0, 100), (2, 95, 96), (3, 300, 310)], "i long, a long, b long")
     right = spark.createDataFrame([(1, 5, 99), (2, 96, 305), (3, 310, 311)], "j long, x long, y long")
     left, right = left.withColumn("k", F.lit(1)), right.withColumn("l", F.lit(1))
-    for width in (1, 10, 1000):
-        got = iv.overlap_join(left, right, [("k", "l")], (F.col("a"), F.col("b")), (F.col("x"), F.col("y")), width).select("i", "j").collect()
-        assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1), (3, 2)]
+    got = iv.overlap_join(left, right, [("k", "l")], (F.col("a"), F.col("b")), (F.col("x"), F.col("y"))).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1), (3, 2)]
+
+
+def spans(rng, n, keys=3):
+    """Intervals of lengths from 0 to 10 ** 9 at places that they share; one key has most of them."""
+    out = []
+    for i in range(n):
+        length = int(10 ** rng.uniform(0, 9)) if rng.random() < 0.95 else 0
+        start = rng.choice([0, -5, 4095, 4096, 10**9]) + rng.randrange(-length - 20, length + 20)
+        out.append((i, None if i % 61 == 0 else rng.choice([0, 0, 0, *range(keys)]), start, None if i % 67 == 0 else start + length))
+    return out
+
+
+def test_range_joins_of_all_lengths(spark):
+    rng = random.Random(12)
+    a, b = spans(rng, 500), spans(rng, 400)
+    left, right = spark.createDataFrame(a, "i long, k long, a long, b long"), spark.createDataFrame(b, "j long, l long, x long, y long")
+    whole = [(p, q) for p in a for q in b if None not in (p[1], p[3], q[1], q[3]) and p[1] == q[1] and p[2] < q[3] and q[2] < p[3]]
+    got = iv.overlap_join(left, right, [("k", "l")], (F.col("a"), F.col("b")), (F.col("x"), F.col("y"))).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == sorted((p[0], q[0]) for p, q in whole) and len(got) > 10_000
+    inside = iv.within_any(left.where("b is null or b > a"), right, [("k", "l")], (F.col("a"), F.col("b")), (F.col("x"), F.col("y"))).collect()
+    assert sorted(r.i for r in inside) == sorted({p[0] for p, _ in whole if p[3] > p[2]})
+    points = spark.createDataFrame([(i, k, p) for i, k, p, _ in spans(rng, 300)], "i long, k long, p long")
+    deep = {r.i: r.depth for r in iv.depth_at(points, right, [("k", "l")], "p", (F.col("x"), F.col("y"))).collect()}
+    assert deep == {i: sum(None not in (q[1], q[3], k) and q[1] == k and max(p - 1, 0) < q[3] and q[2] < p + 1 for q in b) for i, k, p in map(tuple, points.collect())}
+
+
+def test_rows_of_a_range_join_have_few_copies(spark):
+    long = spark.createDataFrame([(i, 10**k * 7) for i, k in enumerate([0, 1, 3, 5, 7, 9])], "i long, n long").selectExpr("i", "1000 as _left_s", "1000 + n as _left_e")
+    cut = long.withColumn("_left_l", iv._level(F.col("_left_s"), F.col("_left_e")))
+    levels = F.array(*map(F.lit, range(9)))
+    copies = [len(r.c) for r in cut.select(iv._copies("left", levels, True).alias("c")).collect()]
+    assert max(copies) <= 20 and copies[-1] <= 4
 
 
 def test_within_any_keeps_repeated_rows(spark):
     rows = spark.createDataFrame([(1, 95, 105), (1, 95, 105), (1, 0, 5), (1, 250, 260)], "k long, a long, b long")
     regions = spark.createDataFrame([(1, 104, 240)], "c long, s long, e long")
-    got = iv.within_any(rows, regions, [("k", "c")], (F.col("a"), F.col("b")), (F.col("s"), F.col("e")), 100).collect()
+    got = iv.within_any(rows, regions, [("k", "c")], (F.col("a"), F.col("b")), (F.col("s"), F.col("e"))).collect()
     assert [tuple(r) for r in got] == [(1, 95, 105)] * 2
 
 
