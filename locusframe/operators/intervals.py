@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from .positions import gap_clusters, with_previous_max
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1 << 20) -> DataFrame:
-    """Union of intervals that overlap or touch: keys, start, end, merged (how many)."""
+def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1 << 20, before: str | None = None) -> DataFrame:
+    """Union of intervals that overlap or touch: keys, start, end, merged (how many); with ``before`` the end of the one before, too."""
     plain = df.select(*keys, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
     reach = with_previous_max(plain, keys, "start", "end", width, "_reach", ["end"])
     opened = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
     carried = with_previous_max(reach.withColumn("_open", opened), keys, "start", "_open", width, "_earlier", ["end"])
     island = carried.withColumn("_island", F.coalesce("_open", "_earlier"))
-    return island.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("end").alias("end"), F.count("*").alias("merged"))
+    return island.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("end").alias("end"), F.count("*").alias("merged"), *([F.max(F.when(F.col("_open").isNotNull(), F.col("_reach"))).alias(before)] if before else []))
 
 
 def covered(df: DataFrame, keys: list[str], **names: object) -> DataFrame:
@@ -33,25 +33,32 @@ def _level(start: Column, end: Column) -> Column:
     return F.when(length > 1, F.length(F.hex(length - 1))).otherwise(F.when(length.isNotNull(), F.lit(0)))
 
 
-def _copies(mine: str, other: Column, first_of_both: bool) -> Column:
-    """Slots and bins of an interval (_s, _e, _l): its own where shorter ones look for it, and those of longer ones.
+def _slots(others: DataFrame, level: str, left: bool) -> Column:
+    """For each level an array of the slots of a row of that level, by a subquery on the levels of the other side.
 
-    A slot is a level and the side that is longer there. An interval touches one or two bins of its own
-    level and of any above. ``other`` is the array of levels of the other side: only these are looked up.
+    A slot is a level, and which side is the longer one there (even: left). A row waits at its own
+    level if the other side has shorter rows, and looks at the levels of the other side's longer rows. Of equal levels the left side looks.
     """
-    side, opposite = (0, 1) if mine == "left" else (1, 0)
-    level, start, end = F.col(f"_{mine}_l"), F.col(f"_{mine}_s"), F.col(f"_{mine}_e")
+    own, opposite = (0, 1) if left else (1, 0)
+    present = F.col("present")
 
-    def bins(at: Column, owner: int) -> Column:
-        low = F.call_function("shiftright", start, at * 4)
-        high = F.greatest(low, F.call_function("shiftright", end - 1, at * 4))
-        return F.transform(F.sequence(low, high), lambda x: F.struct((at * 2 + owner).alias("slot"), x.alias("bin")))
+    def of(at: Column) -> Column:
+        waits = F.exists(present, lambda x: x < at if left else x <= at)
+        above = F.filter(present, lambda x: x >= at if left else x > at)
+        waiting = F.when(waits, F.array(at * 2 + own)).otherwise(F.array().cast("array<int>"))
+        return F.concat(waiting, F.transform(above, lambda x: x * 2 + opposite))
 
-    # of equal levels the left side looks and the right side waits
-    above = F.filter(other, lambda x: x >= level if first_of_both else x > level)
-    waits = F.exists(other, lambda x: x < level if first_of_both else x <= level)
-    looked_up = F.flatten(F.transform(above, lambda x: bins(x, opposite)))
-    return F.concat(F.when(waits, bins(level, side)).otherwise(F.array().cast("array<struct<slot:int,bin:bigint>>")), looked_up)
+    return others.agg(F.collect_set(level).alias("present")).select(F.transform(F.sequence(F.lit(0), F.lit(16)), of).alias("slots")).scalar()
+
+
+def _placed(df: DataFrame, name: str, slots: Column) -> DataFrame:
+    """A row for each slot and bin of an interval (its start, end and level): one or two bins in each slot."""
+    start, end, level = (F.col(f"_{name}_{c}") for c in ("start", "end", "level"))
+    slotted = df.withColumn(f"_{name}_slot", F.explode(F.get(slots, level)))
+    shift = F.shiftright(f"_{name}_slot", 1) * 4
+    low = F.call_function("shiftright", start, shift)
+    high = F.greatest(low, F.call_function("shiftright", end - 1, shift))
+    return slotted.withColumn(f"_{name}_bin", F.explode(F.sequence(low, high)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_range: tuple[Column, Column], right_range: tuple[Column, Column]) -> DataFrame:
@@ -65,21 +72,16 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], l
     """
     sides = []
     for name, df, (start, end) in (("left", left, left_range), ("right", right, right_range)):
-        ranged = df.withColumn(f"_{name}_s", start.cast("long")).withColumn(f"_{name}_e", end.cast("long"))
-        sides.append(ranged.withColumn(f"_{name}_l", _level(F.col(f"_{name}_s"), F.col(f"_{name}_e"))))
-    levels = [df.agg(F.collect_set(f"_{name}_l").alias("levels")).scalar() for name, df in zip(("left", "right"), sides, strict=True)]
-    # generated columns come before the levels are used, so that these are a column and not a subquery in each lambda
-    cut = []
-    for k, (name, df) in enumerate(zip(("left", "right"), sides, strict=True)):
-        told = df.withColumn(f"_{name}_o", levels[1 - k])
-        cut.append(told.withColumn(f"_{name}_at", F.explode(_copies(name, F.col(f"_{name}_o"), name == "left"))))
-    match = (F.col("_left_at.slot") == F.col("_right_at.slot")) & (F.col("_left_at.bin") == F.col("_right_at.bin"))
+        ranged = df.withColumn(f"_{name}_start", start.cast("long")).withColumn(f"_{name}_end", end.cast("long"))
+        sides.append(ranged.withColumn(f"_{name}_level", _level(F.col(f"_{name}_start"), F.col(f"_{name}_end"))))
+    a = _placed(sides[0], "left", _slots(sides[1], "_right_level", True))
+    b = _placed(sides[1], "right", _slots(sides[0], "_left_level", False))
+    match = (F.col("_left_slot") == F.col("_right_slot")) & (F.col("_left_bin") == F.col("_right_bin"))
     for x, y in on:
         match = match & (F.col(x) == F.col(y))
-    begins = F.call_function("shiftright", F.greatest("_left_s", "_right_s"), F.shiftright("_left_at.slot", 1) * 4)
-    touches = (F.col("_left_s") < F.col("_right_e")) & (F.col("_right_s") < F.col("_left_e")) & (F.col("_left_at.bin") == begins)
-    joined = cut[0].join(cut[1], match & touches)
-    return joined.drop(*[f"_{name}_{c}" for name in ("left", "right") for c in ("s", "e", "l", "o", "at")])
+    begins = F.call_function("shiftright", F.greatest("_left_start", "_right_start"), F.shiftright("_left_slot", 1) * 4)
+    touches = (F.col("_left_start") < F.col("_right_end")) & (F.col("_right_start") < F.col("_left_end")) & (F.col("_left_bin") == begins)
+    return a.join(b, match & touches).drop(*[f"_{name}_{c}" for name in ("left", "right") for c in ("start", "end", "level", "slot", "bin")])
 
 
 def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], row_range: tuple[Column, Column], region_range: tuple[Column, Column]) -> DataFrame:
@@ -90,9 +92,7 @@ def within_any(rows: DataFrame, regions: DataFrame, on: list[tuple[str, str]], r
     """
     keys = [f"_r{i}" for i in range(len(on))]
     cut = regions.select(*[F.col(y).alias(k) for k, (_, y) in zip(keys, on, strict=True)], region_range[0].alias("_rs"), region_range[1].alias("_re"))
-    merged = merge_intervals(cut, keys, "_rs", "_re")
-    placed = with_previous_max(merged.select(*keys, "start", "end"), keys, "start", "end", 1 << 20, "_before", ["end"])
-    islands = placed.select(*keys, F.col("start").alias("_rs"), F.col("end").alias("_re"), "_before")
+    islands = merge_intervals(cut, keys, "_rs", "_re", before="_before").select(*keys, F.col("start").alias("_rs"), F.col("end").alias("_re"), "_before")
     ranged = rows.withColumn("_row_start", row_range[0])
     pairs = overlap_join(ranged, islands, [(x, k) for k, (x, _) in zip(keys, on, strict=True)], (F.col("_row_start"), row_range[1]), (F.col("_rs"), F.col("_re")))
     return pairs.where(F.col("_before").isNull() | (F.col("_before") <= F.col("_row_start"))).select(*rows.columns)

@@ -102,11 +102,14 @@ def test_range_joins_of_all_lengths(spark):
 
 
 def test_rows_of_a_range_join_have_few_copies(spark):
-    long = spark.createDataFrame([(i, 10**k * 7) for i, k in enumerate([0, 1, 3, 5, 7, 9])], "i long, n long").selectExpr("i", "1000 as _left_s", "1000 + n as _left_e")
-    cut = long.withColumn("_left_l", iv._level(F.col("_left_s"), F.col("_left_e")))
-    levels = F.array(*map(F.lit, range(9)))
-    copies = [len(r.c) for r in cut.select(iv._copies("left", levels, True).alias("c")).collect()]
-    assert max(copies) <= 20 and copies[-1] <= 4
+    lengths = [7 * 10**k for k in (0, 1, 3, 5, 7, 9)]
+    long = spark.createDataFrame([(n,) for n in lengths], "n long").selectExpr("n", "1000 as _left_start", "1000 + n as _left_end")
+    cut = long.withColumn("_left_level", iv._level(F.col("_left_start"), F.col("_left_end")))
+    every = spark.range(9).selectExpr("cast(id as int) as level")
+    copies = {r.n: r["count"] for r in iv._placed(cut, "left", iv._slots(every, "level", True)).groupBy("n").count().collect()}
+    assert max(copies.values()) <= 20 and copies[lengths[-1]] <= 4
+    few = {r.n: r["count"] for r in iv._placed(cut, "left", iv._slots(every.where("level = 2"), "level", True)).groupBy("n").count().collect()}
+    assert max(few.values()) <= 2
 
 
 def test_within_any_keeps_repeated_rows(spark):
