@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators.positions import gap_clusters
-from .metrics import greedy_match, with_lower_bound
+from ..storage import staged
+from .matching import greedy_match
+from .metrics import with_lower_bound
 
 FALSE = ("fp", "wrong_family", "duplicate")
 TIERS = ("high", "medium", "low")
@@ -87,33 +89,37 @@ def near(calls: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     return pairs.groupBy("sample", "call", "id").agg(F.min(F.abs(F.col("_at") - F.col("pos"))).alias("distance"))
 
 
-def statuses(calls: DataFrame, truth: DataFrame, genotypes: DataFrame, tolerance: int = 20) -> DataFrame:
-    """The calls with status, id (the truth that a call is matched with, or null) and genotype_of_truth.
+def _judged(calls: DataFrame, pairs: DataFrame, truth: DataFrame, genotypes: DataFrame, cases: list[str]) -> DataFrame:
+    """Calls with their statuses in each case: ``calls`` and ``pairs`` (of sample, call, id, distance) have the columns ``cases``.
 
-    Pairs of a call and a truth that the sample carries are taken closest first, each side
-    once: tp, or wrong_family. Other calls are duplicate near a truth of their sample; unknown
-    near one that their sample isn't genotyped at; other_sample near one that another carries;
-    else fp.
+    All cases are matched at once, each apart from the others.
     """
-    pairs = near(calls, truth, tolerance).join(genotypes, ["id", "sample"], "left")
-    own = pairs.where(carries(F.col("genotype")))
-    # matching runs in loci that no pair leaves: gaps above the tolerance and a call's own extent
-    span = calls.agg(F.max(F.array_max("points") - F.array_min("points")).alias("s")).collect()[0]["s"] or 0
-    marks = own.join(truth.select("id", "contig", "pos"), "id").select("sample", "contig", F.col("pos").alias("at")).distinct()
-    runs = gap_clusters(marks, ["sample", "contig"], "at", 2 * tolerance + span, [], name="locus")
-    placed = own.join(truth.select("id", "contig", F.col("pos").alias("at")), "id").join(runs, ["sample", "contig", "at"])
-    matched = greedy_match(placed, ["sample", "contig", "locus"], "call", "id", "distance").select("sample", "call", F.col("id").alias("matched"))
+    at = [*cases, "sample", "call"]
+    told_pairs = staged(pairs.join(genotypes, ["id", "sample"], "left"), "near")
+    own = told_pairs.where(carries(F.col("genotype")))
+    matched = greedy_match(own, [*cases, "sample"], "call", "id", "distance").select(*at, F.col("id").alias("matched"))
     anyone = genotypes.groupBy("id").agg(F.max(carries(F.col("genotype"))).alias("_any"))
-    told = pairs.join(anyone, "id", "left").groupBy("sample", "call").agg(
+    told = told_pairs.join(anyone, "id", "left").groupBy(*at).agg(
         F.max(carries(F.col("genotype"))).alias("_own"), F.max(missing(F.col("genotype"))).alias("_missing"), F.max(F.coalesce("_any", F.lit(False))).alias("_others")
     )
     known = truth.select(F.col("id").alias("matched"), F.col("family").alias("_family")).join(genotypes.select(F.col("id").alias("matched"), "sample", F.col("genotype").alias("genotype_of_truth")), "matched")
-    rows = calls.join(told, ["sample", "call"], "left").join(matched, ["sample", "call"], "left").join(known, ["sample", "matched"], "left")
+    rows = calls.join(told, at, "left").join(matched, at, "left").join(known, ["sample", "matched"], "left")
     left = F.when(F.col("_own"), F.lit("duplicate")).when(F.col("_missing"), F.lit("unknown")).when(F.col("_others"), F.lit("other_sample")).otherwise(F.lit("fp"))
     status = F.when(F.col("matched").isNotNull(), F.when(same_family(F.col("family"), F.col("_family")), F.lit("tp")).otherwise(F.lit("wrong_family"))).otherwise(left)
     return rows.select(*calls.columns, status.alias("status"), F.col("matched").alias("id"), "genotype_of_truth")
 
 
+def statuses(calls: DataFrame, truth: DataFrame, genotypes: DataFrame, tolerance: int = 20) -> DataFrame:
+    """The calls with status, id (the truth that a call is matched with, or null) and genotype_of_truth.
+
+    Pairs of a call and a truth that the sample carries are taken closest first, each side
+    once: tp, or wrong_family. Other calls are duplicate near a truth of their sample; unknown
+    near one that their sample isn't genotyped at; other_sample near one that another carries;
+    else fp.
+    """
+    return _judged(calls, near(calls, truth, tolerance), truth, genotypes, [])
+
+
 def carried(truth: DataFrame, genotypes: DataFrame, samples: DataFrame) -> DataFrame:
     """Carrier pairs: sample and the columns of the truths that it carries."""
     have = genotypes.join(samples.select("sample").distinct(), "sample", "left_semi").where(carries(F.col("genotype")))
@@ -141,24 +147,28 @@ def summary(judged: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_level(calls: DataFrame, truth: DataFrame, genotypes: DataFrame, thresholds: list[float], tolerance: int = 20) -> DataFrame:
-    """Statuses at each level: any (all calls), PASS, and QUAL>=q for each threshold; adds level."""
-    levels = [("any", calls), ("PASS", passing(calls)), *((f"QUAL>={q:g}", passing(calls, q)) for q in thresholds)]
-    out = None
-    for name, some in levels:
-        judged = statuses(some, truth, genotypes, tolerance).withColumn("level", F.lit(name))
-        out = judged if out is None else out.unionByName(judged)
-    return out
+    """Statuses at each level: any (all calls), PASS, and QUAL>=q for each threshold; adds level.
+
+    A call is listed at each level it reaches; what is near it is looked for once.
+    """
+    passes = [F.when(F.col("passes") & (F.col("qual") >= q), F.lit(f"QUAL>={q:g}")) for q in thresholds]
+    levels = F.array_compact(F.array(F.lit("any"), F.when(F.col("passes"), F.lit("PASS")), *passes))
+    tall = calls.withColumn("level", F.explode(levels))
+    pairs = near(calls, truth, tolerance).join(tall.select("sample", "call", "level"), ["sample", "call"])
+    return _judged(tall, pairs, truth, genotypes, ["level"])
 
 
 def by_tolerance(calls: DataFrame, truth: DataFrame, genotypes: DataFrame, tolerances: list[int]) -> DataFrame:
-    """Calls that pass at each tolerance, all and precise and imprecise ones apart: counts and precision; recall of all."""
+    """Calls that pass at each tolerance, all and precise and imprecise ones apart: counts and precision; recall of all.
+
+    What is near a call is looked for once, at the widest tolerance.
+    """
     pairs = carried(truth, genotypes, calls).agg(F.count("*").alias("truth"))
-    out = None
-    for t in tolerances:
-        judged = statuses(passing(calls), truth, genotypes, t)
-        kinds = F.array(F.lit("all"), F.when(F.col("imprecise"), F.lit("imprecise")).otherwise(F.lit("precise")))
-        tall = judged.withColumn("kind", F.explode(kinds)).withColumn("tolerance", F.lit(t))
-        out = tall if out is None else out.unionByName(tall)
+    good = passing(calls)
+    each = F.explode(F.array(*map(F.lit, tolerances)))
+    close = near(good, truth, max(tolerances)).withColumn("tolerance", each).where("distance <= tolerance")
+    judged = _judged(good.withColumn("tolerance", each), close, truth, genotypes, ["tolerance"])
+    out = judged.withColumn("kind", F.explode(F.array(F.lit("all"), F.when(F.col("imprecise"), F.lit("imprecise")).otherwise(F.lit("precise")))))
     counts = out.groupBy("tolerance", "kind").agg(F.count("*").alias("calls"), *[F.count_if(F.col("status") == s).alias(s) for s in ("tp", "wrong_family", "duplicate")], F.count_if(F.col("status").isin(*FALSE)).alias("false"), F.count_distinct(F.when(F.col("status") == "tp", F.struct("sample", "id"))).alias("found"))
     joined = counts.crossJoin(F.broadcast(pairs))  # one row
     precise = F.col("tp") / F.nullif((F.col("tp") + F.col("false")).cast("double"), F.lit(0.0))

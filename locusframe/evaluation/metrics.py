@@ -1,17 +1,14 @@
-"""Evaluation of calls against a truth: rates, AUC, naive Bayes, matching, resampling."""
+"""Evaluation of calls against a truth: rates, AUC, naive Bayes, exact bounds, resampling."""
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from ..operators.positions import gap_clusters, ranked
+from ..operators.positions import ranked, running_sums
 from ..storage import staged
 
 
@@ -25,12 +22,12 @@ def rates(calls: DataFrame, predicted: Column, actual: Column, keys: list[str] |
 def auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties half.
 
-    Only distinct scores are put in order, each with its two counts.
+    Only distinct scores are put in order, each with its two counts, and those of one key by several tasks.
     """
     keys = keys or []
     by_score = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = by_score.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2.0))
+    placed = running_sums(by_score, keys, [score], {"_below": F.col("_n")})
+    wins = placed.withColumn("_w", F.col("_p") * (F.col("_below") + F.col("_n") / 2.0))
     return wins.groupBy(*keys).agg((F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))).alias("auc"))
 
 
@@ -44,98 +41,6 @@ def naive_bayes(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return both.select("feature", F.log10(share1 / share0).alias("present"), F.log10((1 - share1) / (1 - share0)).alias("absent"))
 
 
-def greedy_match(pairs: DataFrame, keys: list[str], left: str, right: str, distance: str) -> DataFrame:
-    """One-to-one matches: pairs by (distance, left, right), each taken if both sides are free.
-
-    Groups are the keys, such as sample and contig locus; give keys that keep groups small.
-    """
-    types = {f.name: f.dataType for f in pairs.schema.fields}
-    schema = T.StructType([T.StructField(c, types[c]) for c in [*keys, left, right, distance]])
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values([distance, left, right], kind="stable")
-        used_left, used_right, taken = set(), set(), []
-        for row, a, b in zip(ordered.index, ordered[left], ordered[right], strict=True):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                taken.append(row)
-        return ordered.loc[taken, [*keys, left, right, distance]]
-
-    return pairs.select(*keys, left, right, distance).groupBy(*keys).applyInPandas(match, schema)
-
-
-def _nearest_first(points: list[tuple[int, bool, int]], reach: int) -> list[tuple[int, int, int]]:
-    """Greedy matches (distance, left, right) of (position, is left, id), in time n log n.
-
-    The nearest free pair has nothing free between its positions, so only neighbours are compared.
-    """
-    at: dict[int, tuple[list[int], list[int]]] = {}
-    for position, is_left, i in sorted(points, reverse=True):
-        at.setdefault(position, ([], []))[0 if is_left else 1].append(i)
-    taken, places, sides, free = [], [], [], []
-    for position in sorted(at):
-        sets = at[position]
-        while all(sets):
-            taken.append((0, sets[0].pop(), sets[1].pop()))
-        for side, ids in enumerate(sets):
-            if ids:
-                places.append(position)
-                sides.append(side)
-                free.append(ids)
-    n = len(places)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def compare(a: int, b: int) -> None:
-        if a >= 0 and b < n and sides[a] != sides[b] and places[b] - places[a] <= reach:
-            left, right = (a, b) if sides[a] == 0 else (b, a)
-            heapq.heappush(heap, (places[b] - places[a], free[left][-1], free[right][-1], left, right))
-
-    for k in range(n - 1):
-        compare(k, k + 1)
-    while heap:
-        distance, i, j, left, right = heapq.heappop(heap)
-        if not free[left] or not free[right] or free[left][-1] != i or free[right][-1] != j:
-            continue
-        taken.append((distance, i, j))
-        for k in (left, right):
-            free[k].pop()
-            if not free[k]:
-                if before[k] >= 0:
-                    after[before[k]] = after[k]
-                if after[k] < n:
-                    before[after[k]] = before[k]
-        a, b = min(left, right), max(left, right)
-        for k in (a, b):
-            if free[k]:
-                compare(before[k], k)
-                compare(k, after[k])
-        if not free[a] and not free[b]:
-            compare(before[a], after[b])
-    return taken
-
-
-def match_by_position(points: DataFrame, keys: list[str], position: str, is_left: str, name: str, reach: int, left: str, right: str) -> DataFrame:
-    """One-to-one matches of left and right points at most ``reach`` apart, as greedy_match of all their pairs.
-
-    Groups are runs of points without a gap of more than ``reach``, which no pair crosses. Pairs
-    are not listed, so a group takes memory in proportion to its points. Names must be distinct.
-    A run without gaps is one task, however long it is.
-    """
-    known = points.where(F.col(position).isNotNull()).dropna(subset=keys)
-    runs = gap_clusters(known.select(*keys, F.col(position).cast("long").alias("_at"), F.col(is_left).alias("_left"), F.col(name).cast("long").alias("_name")), keys, "_at", reach, [], name="_run")
-    both = F.bool_or("_left") & F.bool_or(~F.col("_left"))
-    gathered = runs.groupBy(*keys, "_run").agg(both.alias("_both"), F.collect_list(F.struct("_at", "_left", "_name")).alias("_points")).where("_both")
-
-    @F.udf(T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("distance", "left", "right")])))
-    def match(found: list) -> list[tuple[int, int, int]]:
-        return _nearest_first([tuple(p) for p in found], reach)
-
-    matched = gathered.select(*keys, F.explode(match("_points")).alias("_m"))
-    return matched.select(*keys, F.col("_m.left").alias(left), F.col("_m.right").alias(right), "_m.distance")
-
-
 def _beta_share(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function I_x(a, b), by its continued fraction where that converges fast."""
     if x <= 0 or x >= 1:

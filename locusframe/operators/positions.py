@@ -33,6 +33,30 @@ def with_previous_max(df: DataFrame, keys: list[str], order: str, value: str, wi
     return ranked.select(*kept, F.greatest("_inside", "_carried").alias(name))
 
 
+def with_neighbours(df: DataFrame, keys: list[str], position: str, values: dict[str, Column], width: int) -> DataFrame:
+    """For each value add previous_<name> and next_<name>: at and value of the nearest row before and after that has one.
+
+    A value is null for rows that don't count. The rows of a key have distinct positions.
+    """
+    marks = {name: F.when(value.isNotNull(), F.struct(F.col(position).alias("at"), value.alias("value"))) for name, value in values.items()}
+    placed = df.withColumn("_bin", _bin(F.col(position), width)).withColumns({f"_m_{name}": mark for name, mark in marks.items()})
+    # two sorts instead of a frame that looks ahead, which Spark would work out anew for each row
+    ways = {"previous": (F.asc, F.max), "next": (F.desc, F.min)}
+    by_bin = placed.groupBy(*keys, "_bin").agg(*[last(f"_m_{name}").alias(f"_{way}_{name}") for way, (_, last) in ways.items() for name in values])
+    carried = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] + [F.col("_bin").alias("_b")]
+    inside = {}
+    for way, (order, last) in ways.items():
+        across = Window.partitionBy(*keys).orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+        here = Window.partitionBy(*keys, "_bin").orderBy(order(position)).rowsBetween(Window.unboundedPreceding, -1)
+        carried += [last(f"_{way}_{name}").over(across).alias(f"_{way}_{name}") for name in values]
+        inside |= {f"{way}_{name}": F.last(f"_m_{name}", ignorenulls=True).over(here) for name in values}
+    on = F.col("_bin") == F.col("_b")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = placed.withColumns(inside).join(by_bin.select(*carried), on)
+    return joined.select(*df.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in inside])
+
+
 def gap_clusters(df: DataFrame, keys: list[str], position: str, window: int, ties: list[str], width: int | None = None, name: str = "cluster_start") -> DataFrame:
     """Add the first position of each row's cluster.
 
@@ -47,24 +71,33 @@ def gap_clusters(df: DataFrame, keys: list[str], position: str, window: int, tie
     return carried.withColumn(name, F.coalesce("_start", "_earlier")).drop("_before", "_start", "_earlier")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", size: str | None = None) -> DataFrame:
-    """Number the rows of each key from 0 by an order that leaves no ties, and add the key's number of rows.
+def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], totals: bool = False) -> DataFrame:
+    """Add, for each of ``sums``, what the rows before have of it; with ``totals`` also what all rows of the key have, as <name>_all.
 
-    Rows are dealt by ranges of key and order, so that a key with very many of them is numbered
-    by several tasks; each learns how many come before from a small table of ranges.
+    The order within a key leaves no ties. Rows are dealt by ranges of key and order, so that a key with very many
+    of them is summed by several tasks; each learns what comes before from a small table with a row for each range and key in it.
     """
-    dealt = staged(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_here"))
+    parts = df.withColumns({f"_v_{name}": value for name, value in sums.items()}).repartitionByRange(*keys, *order)
+    dealt = staged(parts.withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*keys, "_part").agg(*[F.sum(f"_v_{name}").alias(f"_here_{name}") for name in sums])
     group = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("_here").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_here").over(group).alias("_size"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
-    on = F.col("_part") == F.col("_p")
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"_here_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums]
+    whole = [F.sum(f"_here_{name}").over(group).alias(f"_all_{name}") for name in sums]
+    known = sizes.select(*[F.col(k).alias(f"_range_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_range"), *offsets, *whole)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("_part") == F.col("_range")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = dealt.withColumn("_inside", inside).join(offsets, on)
-    out = [(F.col("_before") + F.col("_inside")).alias(rank)]
-    return joined.select(*df.columns, *out, *([F.col("_size").alias(size)] if size else []))
+        on = on & F.col(k).eqNullSafe(F.col(f"_range_key{i}"))
+    joined = dealt.withColumns({f"_inside_{name}": F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)) for name in sums}).join(known, on)
+    out = [(F.col(f"_before_{name}") + F.col(f"_inside_{name}")).alias(name) for name in sums]
+    return joined.select(*df.columns, *out, *([F.col(f"_all_{name}").alias(f"{name}_all") for name in sums] if totals else []))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", size: str | None = None) -> DataFrame:
+    """Number the rows of each key from 0 by an order that leaves no ties, and add the key's number of rows, as running_sums."""
+    numbered = running_sums(df, keys, order, {"_rank": F.lit(1).cast("long")}, totals=size is not None)
+    return numbered.select(*df.columns, F.col("_rank").alias(rank), *([F.col("_rank_all").alias(size)] if size else []))
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int = 40) -> DataFrame:

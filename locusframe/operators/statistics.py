@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .positions import running_sums
 
 
 def smallest_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -20,12 +21,12 @@ def smallest_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def lower_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """The value of rank (n - 1) div 2 (from 0) of each key, from an exact histogram.
 
-    Only distinct values are ranked, so a key with many rows is as large as its values are many.
+    Only distinct values are put in order, and those of one key by several tasks.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
-    return ranked.where(F.col("_upto") > F.expr("(_all - 1) div 2")).groupBy(*keys).agg(F.min(value).alias(name), F.min("_all").alias("n"))
+    upto = running_sums(counted, keys, [value], {"_before": F.col("_n")}, totals=True)
+    middle = F.expr("(_before_all - 1) div 2")
+    return upto.where((F.col("_before") <= middle) & (F.col("_before") + F.col("_n") > middle)).select(*keys, F.col(value).alias(name), F.col("_before_all").alias("n"))
 
 
 def outlier_threshold(df: DataFrame, keys: list[str], value: str) -> DataFrame:

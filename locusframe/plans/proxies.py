@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..evaluation import metrics
+from ..evaluation import matching, metrics
 from ..functions import alignment as al
 from ..functions import scores as sc
 from ..functions import sequences as sq
@@ -489,11 +489,22 @@ def liftover(spark, sf_dir):
     return iv.lift(points, blocks, "o_custkey", "p")
 
 
-@query()
+#: Rounds of pairs that come first for both sides, with what they leave.
+GREEDY = """select {keys}, l, r, d, best as taken from (
+  select *, bool_or(best) over (partition by {keys}, l) or bool_or(best) over (partition by {keys}, r) as blocked from (
+    select *, row_number() over (partition by {keys}, l order by d, l, r) = 1 and row_number() over (partition by {keys}, r order by d, l, r) = 1 as best from rest where not taken)
+) where best or not blocked"""
+
+
+@query(f"""with recursive {_EVENTS}, rest as (
+  select a.user_id, a.event_id as l, b.event_id as r, abs(a.pos - b.pos) as d, false as taken
+  from events_p a join events_p b on a.user_id = b.user_id and abs(a.pos - b.pos) <= 7200 where a.event_type = 'click' and b.event_type = 'purchase'
+  union all {GREEDY.format(keys="user_id")})
+select user_id, l as click, r as purchase, d as distance from rest where taken""")
 def one_to_one_match(spark, sf_dir):
     """Clicks and purchases of each user within two hours, matched one to one by distance."""
     signals = events(spark, sf_dir).where("event_type in ('click', 'purchase')")
-    return metrics.match_by_position(signals.withColumn("is_click", F.col("event_type") == "click"), ["user_id"], "pos", "is_click", "event_id", 7200, "click", "purchase")
+    return matching.match_by_position(signals.withColumn("is_click", F.col("event_type") == "click"), ["user_id"], "pos", "is_click", "event_id", 7200, "click", "purchase")
 
 
 @query()

@@ -5,23 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the folder the session shares and read it back.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder the session shares.
 
-    What a plan uses several times is then computed once, plans stay small, and a lost
-    executor costs no more than its running tasks. The folder is spark.checkpoint.dir. Where
-    that is unset, a local session gets a temporary folder; on a cluster it is an error.
+    The folder is spark.checkpoint.dir. Where that is unset, a local session gets a
+    temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the folder the session shares and read it back.
+
+    What a plan uses several times is then computed once, plans stay small, and a lost
+    executor costs no more than its running tasks.
+    """
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.evaluation import metrics
+from locusframe.evaluation import matching, metrics
 from locusframe.functions import scores as sc
 from locusframe.functions import sequences as sq
 from locusframe.operators import intervals as iv
@@ -127,6 +127,29 @@ def test_smallest_mode_and_placement(spark):
     assert (got.breakpoint, got["first"], got["last"]) == (1000, 960, 1040)
 
 
+def test_running_sums_of_a_hot_key(spark):
+    """Each range of a key has its own task; sums and totals as by walking through the rows."""
+    rng = random.Random(8)
+    rows = [(k, v, rng.randrange(9)) for k in ("hot", None, "b") for v in rng.sample(range(10**6), 900 if k == "hot" else 40)]
+    df = spark.createDataFrame(rows, "k string, v long, n long").repartition(4)
+    got = po.running_sums(df, ["k"], ["v"], {"before": F.col("n"), "rows": F.lit(1)}, totals=True)
+    expected = []
+    for k in ("hot", None, "b"):
+        total, mine = 0, sorted(r for r in rows if r[0] == k)
+        for i, r in enumerate(mine):
+            expected.append((*r, total, i, sum(x[2] for x in mine), len(mine)))
+            total += r[2]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, expected))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("Window ")[1:] if "_v_" in x.split("]")[0]]
+    assert windows and all("_part" in w.split("\n")[0] for w in windows)
+    scores = spark.range(2000).selectExpr("cast(id * 7919 % 2003 as double) as s", "cast(id % 3 = 0 as int) as y")
+    pairs = [(r.s, r.y) for r in scores.collect()]
+    wins = sum((p > n) + 0.5 * (p == n) for p, y in pairs if y for n, z in pairs if not z)
+    ys = sum(y for _, y in pairs)
+    assert metrics.auc(scores, "s", "y").first().auc == pytest.approx(wins / (ys * (2000 - ys)))
+
+
 def test_outlier_threshold(spark):
     df = spark.createDataFrame([(v,) for v in (290, 300, 310, 300, 1000)], "v long")
     assert tuple(st.outlier_threshold(df, [], "v").first()) == (5, 300, 10, 389)
@@ -152,30 +175,55 @@ def test_lower_bound():
     assert metrics.lower_bound(5, 10, 0.95) == pytest.approx(0.2224, abs=1e-4) and metrics.lower_bound(0, 10) == 0.0
 
 
+def by_order(pairs):
+    """Pairs (distance, left, right) in order, each if both sides are free."""
+    lefts, rights, taken = set(), set(), []
+    for d, i, j in sorted(pairs):
+        if i not in lefts and j not in rights:
+            lefts.add(i)
+            rights.add(j)
+            taken.append((d, i, j))
+    return sorted(taken)
+
+
 def test_greedy_match(spark):
     pairs = [("s", c, t, abs(c - t)) for c in (1018, 1012) for t in (1000, 1030)]
-    got = metrics.greedy_match(spark.createDataFrame(pairs, "k string, c long, t long, d long"), ["k"], "c", "t", "d").collect()
-    assert {(r.c, r.t) for r in got} == {(1018, 1030), (1012, 1000)} or {(r.c, r.t) for r in got} == {(1012, 1000), (1018, 1030)}
+    got = matching.greedy_match(spark.createDataFrame(pairs, "k string, c long, t long, d long"), ["k"], "c", "t", "d").collect()
+    assert {(r.c, r.t) for r in got} == {(1018, 1030), (1012, 1000)}
+    rng = random.Random(5)
+    listed = [(k, c, t, rng.randrange(6)) for k in (None, 1, 2) for c in range(9) for t in range(9) if rng.random() < 0.6]
+    got = matching.greedy_match(spark.createDataFrame([*listed, listed[0], (1, 3, None, 0)], "k int, c long, t long, d long"), ["k"], "c", "t", "d").collect()
+    for k in (None, 1, 2):
+        assert sorted((r.d, r.c, r.t) for r in got if r.k == k) == by_order([(d, c, t) for q, c, t, d in listed if q == k])
 
 
 def test_matches_of_points_without_their_pairs(spark):
     rng = random.Random(4)
-    for span in (5, 40, 300):
-        for _ in range(100):
-            points = [(rng.randrange(span), rng.random() < 0.5, i) for i in rng.sample(range(1000), rng.randrange(40))]
-            pairs = sorted((abs(p - q), i, j) for p, a, i in points if a for q, b, j in points if not b and abs(p - q) <= 9)
-            used, expected = set(), []
-            for d, i, j in pairs:
-                if not used & {i, j}:
-                    used |= {i, j}
-                    expected.append((d, i, j))
-            assert sorted(metrics._nearest_first(points, 9)) == sorted(expected)
-    # A user whose points lie dense: 25 million pairs.
+    points, expected = [], {}
+    for user in range(60):
+        span = (5, 40, 300)[user % 3]
+        mine = [(rng.randrange(span), rng.random() < 0.5, i) for i in rng.sample(range(1000), rng.randrange(40))]
+        points += [(user, *p) for p in mine]
+        expected[user] = by_order([(abs(p - q), i, j) for p, a, i in mine if a for q, b, j in mine if not b and abs(p - q) <= 9])
+    df = spark.createDataFrame([*points, (None, 1, True, 5), (3, None, True, 2000)], "user int, pos long, is_left boolean, id long")
+    got = matching.match_by_position(df, ["user"], "pos", "is_left", "id", 9, "l", "r")
+    assert got.columns == ["user", "l", "r", "distance"]
+    rows = got.collect()
+    for user, pairs in expected.items():
+        assert sorted((r.distance, r.l, r.r) for r in rows if r.user == user) == pairs
+
+
+def test_one_user_with_all_points(spark):
+    """25 million pairs of one user, where both sides meet; and sparse points in one run without a gap."""
     dense = spark.range(10_000).selectExpr("1 as user", "id % 100 as pos", "id % 200 < 100 as is_left", "id")
-    got = metrics.match_by_position(dense, ["user"], "pos", "is_left", "id", 7200, "l", "r")
+    got = matching.match_by_position(dense, ["user"], "pos", "is_left", "id", 7200, "l", "r")
     assert got.agg(F.count("*"), F.sum("distance")).collect()[0][:] == (5000, 0)
-    plan = proxies.QUERIES["one_to_one_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "edge" not in plan and "_run" in plan
+    rng = random.Random(6)
+    mine = [(i * 5 + rng.randrange(5), rng.random() < 0.5, i) for i in range(3000)]
+    df = spark.createDataFrame([(1, *p) for p in mine], "user int, pos long, is_left boolean, id long").repartition(3)
+    got = matching.match_by_position(df, ["user"], "pos", "is_left", "id", 40, "l", "r")
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+    assert sorted((r.distance, r.l, r.r) for r in got.collect()) == by_order([(abs(p - q), i, j) for p, a, i in mine if a for q, b, j in mine[max(0, i - 12) : i + 13] if not b and abs(p - q) <= 40])
 
 
 def test_best_quality_and_examples():
