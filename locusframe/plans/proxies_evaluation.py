@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..evaluation import calls as ec
 from ..evaluation import metrics, refit
-from .proxies import _EVENTS, _SCORED, _scored, events, query, table
+from .proxies import _EVENTS, _SCORED, GREEDY, _scored, events, query, table
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +48,47 @@ def target_distance(spark, sf_dir):
     return ec.target_distance(points, targets, "user_id", "pos", 5000).join(inside, ["user_id", "pos"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-@query()
+_CASES = f"""{_EVENTS}, calls as (
+  select 's' || (event_id % 4) as sample, event_id as call, user_id, [pos, pos + event_id % 90] as points, case when event_id % 5 > 0 then ['Alu', 'L1', 'SVA'][event_id % 3 + 1] end as family, event_id % 7 <> 0 as passes, event_id % 9 = 0 as imprecise
+  from events_p where event_type = 'click'
+), truth as (
+  select event_id as id, user_id, pos, ['Alu', 'L1', 'SVA', 'other'][event_id % 4 + 1] as family from events_p where event_type = 'purchase'
+), genotypes as (
+  select id, 's' || s as sample, ['0|1', '0|0', '1|1', '.|0', '1|0'][(id + s * 3) % 5 + 1] as genotype from truth, range(4) r(s)
+), tall as (select * from calls, (values {{tolerances}}) t(tolerance) where {{which}}), near as (
+  select tolerance, sample, call, id, min(abs(p - pos)) as d from (select *, unnest(points) as p from tall) c join truth t on c.user_id = t.user_id where abs(p - pos) <= tolerance group by all
+), told as (
+  select n.*, genotype, contains(genotype, '1') as own, contains(genotype, '.') as unknown, (select bool_or(contains(g.genotype, '1')) from genotypes g where g.id = n.id) as other
+  from near n join genotypes g using (id, sample)
+), rest as (
+  select tolerance, sample, call as l, id as r, d, false as taken from told where own
+  union all {GREEDY.format(keys="tolerance, sample")}
+), flags as (
+  select tolerance, sample, call, bool_or(own) as own, bool_or(unknown) as unknown, bool_or(other) as other from told group by all
+), judged as (
+  select c.*, m.r as id, g.genotype as genotype_of_truth,
+         case when m.r is not null then case when c.family is null or t.family = 'other' or c.family = t.family then 'tp' else 'wrong_family' end
+              when f.own then 'duplicate' when f.unknown then 'unknown' when f.other then 'other_sample' else 'fp' end as status
+  from tall c left join flags f using (tolerance, sample, call) left join (select * from rest where taken) m on c.tolerance = m.tolerance and c.sample = m.sample and c.call = m.l
+  left join truth t on m.r = t.id left join genotypes g on m.r = g.id and g.sample = c.sample
+)"""
+
+
+@query(f"with recursive {_CASES.format(tolerances='(7200)', which='true')} select sample, call, status, id, genotype_of_truth from judged")
 def call_statuses(spark, sf_dir):
     """Calls and the truths that they are matched with one to one."""
     return ec.statuses(_calls(spark, sf_dir), *_truth(spark, sf_dir), 7200).select("sample", "call", "status", "id", "genotype_of_truth")
 
 
-@query()
+@query(f"""with recursive {_CASES.format(tolerances="(600), (3600), (7200)", which="passes")}, tables as (
+  select *, unnest(['all', case when imprecise then 'imprecise' else 'precise' end]) as kind from judged
+), counts as (
+  select tolerance, kind, count(*) as calls, count_if(status = 'tp')::bigint as tp, count_if(status in ('fp', 'wrong_family', 'duplicate'))::bigint as false_, count_if(status = 'wrong_family')::bigint as wrong_family, count_if(status = 'duplicate')::bigint as duplicate, count(distinct case when status = 'tp' then sample || ' ' || id end) as found
+  from tables group by all
+)
+select tolerance, kind, calls, tp, false_ as "false", wrong_family, duplicate, tp / nullif((tp + false_)::double, 0) as precision,
+       case when kind = 'all' then found / nullif((select count(*) from genotypes where contains(genotype, '1') and sample in (select sample from calls))::double, 0) end as recall
+from counts""")
 def tolerance_table(spark, sf_dir):
     """Precision and recall of the calls that pass, at several tolerances."""
     return ec.by_tolerance(_calls(spark, sf_dir), *_truth(spark, sf_dir), [600, 3600, 7200])
