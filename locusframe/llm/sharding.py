@@ -1,24 +1,22 @@
 """Sharding by a k-d tree over document metadata, with DataFrame functions only.
 
 Every node of the tree is split across its widest metadata dimension at the weighted median
-of the sizes, all nodes of a level at once, until the leaves reach the target bytes. The medians
-come from distributed histograms that are refined to single positions; only their cells, of
-a bounded number, and the bounds of the nodes (at most as many as shards) reach the driver.
+of the sizes, all nodes of a level at once, until the leaves reach the target bytes. Nodes and their cuts are
+tables, joined to the rows by the node that these have come to. The medians come from
+distributed histograms that are refined to single positions; of nodes and cells only counts reach the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .runtime import keyed_join, written
 
 DIMENSIONS = ("source", "lang", "n_chars")
 #: Cells of a pass over all open nodes together, and of one node at most.
-CELLS, NODE_CELLS = 1 << 16, 1 << 12
+CELLS, NODE_CELLS = 1 << 18, 1 << 12
 SLOT_ROWS = 20_000
 _TIE_BITS = 24
 #: Positions of numbers: steps of this share of a doubling.
@@ -56,36 +54,47 @@ def _number(name: str) -> Column:
     return F.coalesce(F.floor(F.log2(F.when((number > 0) & ~F.isnan(number), number) + 1.0) * _STEPS), F.lit(0)).cast("long")
 
 
-def _case(nodes: dict[int, int], node: Column) -> Column:
-    """The number that belongs to a row's node."""
-    return reduce(lambda c, kv: c.when(node == kv[0], F.lit(kv[1])), nodes.items(), F.when(F.lit(False), F.lit(0))).cast("long")
+def _key(axes: list[str]) -> Column:
+    """A row's place along the axis of its node (column ``axis``): the position, then the tie hash."""
+    return F.element_at(F.array(*[F.shiftleft(F.col(a), _TIE_BITS) + F.col("tie") for a in axes]), F.col("axis") + 1)
+
+
+def _at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows with the columns of their node."""
+    return keyed_join(rows, nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), F.col("tie")).drop("_node")
+
+
+def _split_axes(rows: DataFrame, nodes: DataFrame, axes: list[str], span: dict[str, int]) -> DataFrame:
+    """The open nodes (node, leaves) with their widest axis, the range of its keys (low, high) and the size that goes left (goal)."""
+    bounds = rows.groupBy("node").agg(F.sum("size").alias("size"), *[f(a).alias(f"{f.__name__}_{a}") for a in axes for f in (F.min, F.max)])
+    wide = F.array_max(F.array(*[F.struct(((F.col(f"max_{a}") - F.col(f"min_{a}")) / F.lit(span[a])).alias("width"), F.lit(-i).alias("at")) for i, a in enumerate(axes)]))
+    opened = bounds.join(nodes.where("leaves > 1"), "node").withColumn("axis", -wide["at"])
+    ends = [F.element_at(F.array(*[F.col(f"{f}_{a}") for a in axes]), F.col("axis") + 1) for f in ("min", "max")]
+    goal = F.greatest(F.lit(1), F.expr("(size * (leaves div 2)) div leaves"))
+    return opened.select("node", "leaves", "axis", F.shiftleft(ends[0], _TIE_BITS).alias("low"), (F.shiftleft(ends[1] + 1, _TIE_BITS) - 1).alias("high"), goal.cast("long").alias("goal"), F.lit(None).cast("long").alias("cut"))
 
 
-def _medians(rows: DataFrame, key: Column, low: dict[int, int], high: dict[int, int], goal: dict[int, int]) -> dict[int, int]:
-    """For each node the key whose sizes up to and with it come nearest to the goal.
+def _cuts(rows: DataFrame, opened: DataFrame, axes: list[str]) -> DataFrame:
+    """The open nodes with their cut: the key whose sizes up to and with it come nearest to the goal.
 
-    Each pass cuts the range that holds a node's median into cells and sums them up by one
-    aggregation; all nodes' cells together are CELLS at most, and are compared on the driver.
+    Each pass cuts the range that holds a node's median into cells, sums them up by one aggregation and goes on
+    with the cell in which the goal is reached. All nodes' cells together are CELLS at most (two for each node at least).
     """
-    low, high, goal = dict(low), dict(high), dict(goal)
-    node = F.col("node")
-    while opened := [n for n in low if high[n] > low[n]]:
-        bins = max(2, min(NODE_CELLS, CELLS // len(opened)))
-        width = {n: (high[n] - low[n]) // bins + 1 for n in opened}
-        at = rows.where(node.isin(opened)).select("node", "size", key.alias("key"), _case({n: low[n] for n in opened}, node).alias("low"), _case({n: high[n] for n in opened}, node).alias("high"), _case(width, node).alias("width"))
-        cells = at.where("key >= low and key <= high").groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("size")).collect()
-        for n in opened:
-            upto = 0
-            for cell, size in sorted((c["bin"], c["size"]) for c in cells if c["node"] == n):
-                upto += size
-                if upto >= goal[n]:
-                    break
-            start = low[n] + cell * width[n]
-            low[n], high[n] = start, min(high[n], start + width[n] - 1)
-            goal[n] -= upto - size
-            if high[n] == start and 2 * goal[n] < size:
-                low[n] = high[n] = start - 1
-    return low
+    nodes = written(opened, "kd-nodes")
+    while n := nodes.where("cut is null").count():
+        bins = max(2, min(NODE_CELLS, CELLS // n))
+        wide = nodes.where("cut is null").withColumn("width", F.expr(f"(high - low) div {bins} + 1"))
+        at = _at_nodes(rows.select("node", "size", "tie", *axes), written(wide, "kd-open")).withColumn("key", _key(axes)).where("key between low and high")
+        cells = at.groupBy("node", F.expr("(key - low) div width").alias("cell")).agg(F.sum("size").alias("cell_size"))
+        upto = cells.withColumn("upto", F.sum("cell_size").over(Window.partitionBy("node").orderBy("cell")))  # NODE_CELLS rows of a node at most
+        found = upto.join(wide, "node").where("upto >= goal and upto - cell_size < goal")
+        start = F.col("low") + F.col("cell") * F.col("width")
+        left = F.col("goal") - (F.col("upto") - F.col("cell_size"))
+        last = F.least(F.col("high"), start + F.col("width") - 1)
+        cut = F.when(last == start, F.when(2 * left < F.col("cell_size"), start - 1).otherwise(start))
+        narrowed = found.select("node", "leaves", "axis", start.alias("low"), last.alias("high"), left.alias("goal"), cut.alias("cut"))
+        nodes = written(nodes.where("cut is not null").unionByName(narrowed), "kd-nodes")
+    return nodes
 
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: tuple[str, ...] = DIMENSIONS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -122,37 +131,24 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     if shards is None:
         total = base.agg(F.sum("size")).collect()[0][0] or 0
         shards = max(1, -(-total // target_bytes))
-    axis_names = [f"at_{d}" for d in dimensions] or ["tie"]
-    key = {a: F.shiftleft(F.col(a), _TIE_BITS) + F.col("tie") for a in axis_names}
-    cuts: dict[int, tuple[str, int]] = {}
-
-    def node(n: int = 1) -> Column:
-        """The node a row has come to: the tree so far as one expression over the row's own columns."""
-        if n not in cuts:
-            return F.lit(n)
-        axis, cut = cuts[n]
-        return F.when(key[axis] <= cut, node(2 * n)).otherwise(node(2 * n + 1))
-
-    leaves, span = {1: shards}, None
-    while open_nodes := [n for n, k in leaves.items() if k > 1]:
-        rows = base.withColumn("node", node())
-        bounds = rows.groupBy("node").agg(F.sum("size").alias("size"), *[f(a).alias(f"{f.__name__}_{a}") for a in axis_names for f in (F.min, F.max)]).where(F.col("node").isin(open_nodes)).collect()
-        span = span or {a: max([1, *(r[f"max_{a}"] - r[f"min_{a}"] for r in bounds)]) for a in axis_names}
-        axis, low, high, goal = {}, {}, {}, {}
-        for r in bounds:
-            n = r["node"]
-            axis[n] = max(axis_names, key=lambda a: ((r[f"max_{a}"] - r[f"min_{a}"]) / span[a], -axis_names.index(a)))
-            low[n], high[n] = r[f"min_{axis[n]}"] << _TIE_BITS, (r[f"max_{axis[n]}"] + 1 << _TIE_BITS) - 1
-            goal[n] = max(1, r["size"] * (leaves[n] // 2) // leaves[n])
-        by_axis = {a: [n for n in axis if axis[n] == a] for a in axis_names}
-        chosen = reduce(lambda c, a: c.when(F.col("node").isin(by_axis[a]), key[a]), (a for a in axis_names if by_axis[a]), F.when(F.lit(False), F.lit(0)))
-        found = _medians(rows, chosen.cast("long"), low, high, goal) if axis else {}
-        cuts |= {n: (axis.get(n, axis_names[0]), found.get(n, 0)) for n in open_nodes}
-        leaves = {m: k for n, whole in leaves.items() for m, k in (((2 * n, whole // 2), (2 * n + 1, whole - whole // 2)) if whole > 1 else ((n, 1),))}
-
-    rows = base.withColumn("node", node())
-    order = sorted(leaves, key=lambda n: bin(n)[2:])
-    rows = rows.withColumn("shard", _case({n: i for i, n in enumerate(order)}, F.col("node")).cast("int"))
+    axes = [f"at_{d}" for d in dimensions] or ["tie"]
+    whole = base.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).collect()[0]
+    span = {a: max(1, whole[a] or 0) for a in axes}
+
+    # a node is named by the first of its leaves, so rows that go left keep their node's name, and a leaf's name is its shard
+    rows = base.withColumn("node", F.lit(0).cast("long"))
+    nodes = docs.sparkSession.range(1).select(F.col("id").alias("node"), F.lit(shards).cast("long").alias("leaves"))
+    for _ in range((shards - 1).bit_length()):
+        cuts = _cuts(rows, _split_axes(rows, nodes, axes, span), axes)
+        half = F.expr("leaves div 2")
+        known = nodes.join(cuts.select("node", "axis", "cut"), "node", "left").select("node", "leaves", F.coalesce("axis", F.lit(0)).alias("axis"), "cut", half.alias("half"))
+        known = written(known, "kd-cuts")
+        moved = F.when(F.col("cut").isNotNull() & (_key(axes) > F.col("cut")), F.col("node") + F.col("half")).otherwise(F.col("node"))
+        # one written table a level: a level's work is one join with its nodes, however many there are
+        rows = written(_at_nodes(rows, known).withColumn("node", moved).select(*base.columns, "node"), "kd-rows")
+        split = known.where("leaves > 1")
+        nodes = known.where("leaves = 1").select("node", "leaves").unionByName(split.select("node", F.col("half").alias("leaves"))).unionByName(split.select((F.col("node") + F.col("half")).alias("node"), (F.col("leaves") - F.col("half")).alias("leaves")))
+    rows = rows.withColumn("shard", F.col("node").cast("int"))
     return _slots(rows).select("doc_id", "size", "text_crc32", *[f"at_{d}" for d in dimensions], "tie", "shard", "slot")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from locusframe.llm import packing, sharding, warc
+from locusframe.llm import packing, runtime, sharding, warc
 from locusframe.llm.queries import BYTE_BPE
 
 
@@ -120,14 +120,15 @@ def test_sharding_odd_rows(odd, no_rows):
     assert sharding.kd_shards(no_rows, 4).count() == 0
 
 
-def brute_tree(rows, shards, axes):
+def brute_tree(rows, shards, axes, numbered=False):
     """{row: leaf} for rows of (size, tie, position by axis...), by sorting each node's rows."""
     bits = sharding._TIE_BITS
     span = [max(1, max(r[2 + a] for r in rows) - min(r[2 + a] for r in rows)) for a in range(axes)]
     leaf = {}
 
-    def split(part, k, path):
+    def split(part, k, path, first=0):
         if k == 1 or not part:
+            number.update(dict.fromkeys(part, first))
             leaf.update({i: path + "0" * 9 if k == 1 else path for i in part})
             return
         wide = [(max(rows[i][2 + a] for i in part) - min(rows[i][2 + a] for i in part)) / span[a] for a in range(axes)]
@@ -143,10 +144,13 @@ def brute_tree(rows, shards, axes):
             upto += size
         left = [i for i in part if rows[i][2 + a] << bits | rows[i][1] <= cut]
         right = [i for i in part if rows[i][2 + a] << bits | rows[i][1] > cut]
-        split(left, k // 2, path + "0")
-        split(right, k - k // 2, path + "1")
+        split(left, k // 2, path + "0", first)
+        split(right, k - k // 2, path + "1", first + k // 2)
 
+    number = {}
     split(list(range(len(rows))), shards, "")
+    if numbered:
+        return number
     order = {p: n for n, p in enumerate(sorted(set(leaf.values())))}
     return {i: order[p] for i, p in leaf.items()}
 
@@ -229,3 +233,20 @@ def test_archives_begin_with_their_dictionary(spark, page_rows, tmp_path):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 0
+
+
+def test_many_leaves(spark, monkeypatch):
+    """Nearly as many leaves as rows, as brute force has it; nodes beyond the bound of a broadcast are joined with salt."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "x" * int(rng.integers(0, 90)), "hot" if i % 3 == 0 else f"s{i % 7}", int(rng.integers(0, 5000))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = sorted(sharding.kd_shards(df, 300).collect(), key=lambda r: r.doc_id)
+    expected = brute_tree([(r.size, r.tie, r.at_source, r.at_n_chars) for r in got], 300, 2, numbered=True)
+    assert [r.shard for r in got] == [expected[i] for i in range(600)]
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    small = df.where("doc_id < 100")
+    salted = Counter(map(tuple, sharding.kd_shards(small, 5).collect()))
+    monkeypatch.undo()
+    assert Counter(map(tuple, sharding.kd_shards(small, 5).collect())) == salted
+    plan = sharding.kd_shards(small, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 5
