@@ -58,12 +58,25 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def changed_contigs(contigs: DataFrame, reference: DataFrame) -> DataFrame:
-    """Contigs whose length or MD5 (if the header has it) differs from that of the reference's chunks (contig, chunk, seq)."""
-    ordered = reference.repartition("contig").sortWithinPartitions("contig", "chunk").select("contig", "seq")
+def changed_contigs(contigs: DataFrame, reference: DataFrame, needed: DataFrame | None = None, scanned: DataFrame | None = None) -> DataFrame:
+    """Contigs of the header that the reference's chunks (contig, chunk, seq) don't have as they are, and why: name, reason, length, bases.
+
+    reason: missing or length, of the contigs ``needed``; else digest (if the header has an MD5), of
+    those ``scanned``. Both have a column contig; without them all contigs of the header count. Only the sequences of scanned contigs are digested.
+    """
+
+    def those(names: DataFrame | None) -> DataFrame:
+        return contigs if names is None else contigs.join(names.select(F.col("contig").alias("name")), "name", "left_semi")
+
+    bases = reference.groupBy("contig").agg(F.sum(F.length("seq")).alias("bases"))
+    sized = those(needed).select("name", "length").join(bases, F.col("name") == F.col("contig"), "left")
+    wrong = sized.where("bases is null or bases <> length").select("name", F.when(F.col("bases").isNull(), F.lit("missing")).otherwise(F.lit("length")).alias("reason"), "length", "bases")
+    told = those(scanned).where("m5 is not null").select("name", "length", "m5")
+    chunks = reference.join(told.select(F.col("name").alias("contig")), "contig", "left_semi")
+    ordered = chunks.repartition("contig").sortWithinPartitions("contig", "chunk").select("contig", "seq")
     whole = ordered.mapInArrow(_digests, "contig string, bases long, digest string")
-    both = contigs.join(whole, contigs["name"] == whole["contig"])
-    return both.where((F.col("length") != F.col("bases")) | (F.col("m5") != F.col("digest"))).select("name", "length", "bases", "m5", "digest")
+    other = told.join(whole, F.col("name") == F.col("contig")).where("m5 <> digest").select("name", F.lit("digest").alias("reason"), "length", "bases")
+    return wrong.unionByName(other.join(wrong.select("name"), "name", "left_anti"))
 
 
 def derived_targets(targets: DataFrame, blocks: DataFrame, trim: int = 50) -> DataFrame:

@@ -46,10 +46,13 @@ def run(reads: DataFrame, contigs: DataFrame, probes: DataFrame, options: Option
         raise ValueError(f"the header lacks contigs of the targets: {examples([r['contig'] for r in unknown])}{style}")
     if options.calling.profile == "exome" and reference is None and not options.allow_no_reference:
         raise ValueError("the profile exome needs the reference: give it, take the profile discovery, or set allow_no_reference")
-    changed = regions.changed_contigs(contigs, reference).limit(1).collect() if reference is not None else []
-    if changed:
-        raise ValueError(f"contig {changed[0]['name']} of the reference isn't that of the header")
     targets = regions.restrict(regions.scan_regions(probes, contigs, options.padding), contigs, options.region)
+    if reference is not None:
+        scanned = contigs.join(targets.select(F.col("contig").alias("rank")), "rank", "left_semi").select(F.col("name").alias("contig"))
+        changed = regions.changed_contigs(contigs, reference, probes, scanned).orderBy("name").limit(1).collect()
+        if changed:
+            said = {"missing": "lacks contig {name}", "length": "has {bases} bases of contig {name}, and the header {length}", "digest": "has another sequence of contig {name} than the header tells"}
+            raise ValueError(f"the reference {said[changed[0]['reason']].format(**changed[0].asDict())}")
     found, outcomes, sizes = extract.signals(reads, targets, options.reading, consensus)
     rows = staged(ca.clustered(staged(found, "signals"), options.calling.window), "clustered")
     kept = staged(ca.profiles(rows, options.calling).where(F.col("support") >= options.calling.min_support), "candidates")

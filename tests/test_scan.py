@@ -195,10 +195,15 @@ def test_command_line(spark, sample, capsys):
 def test_references_are_compared(spark, sample):
     folder, ref, contigs, _, _ = sample
     chunks = text.fasta(spark, str(folder / "ref.fa"), 7000)
-    known = spark.createDataFrame([(0, "chr1", 20000, hashlib.md5(ref.encode()).hexdigest()), (1, "chr2", 4, None)], "rank int, name string, length long, m5 string")
-    assert regions.changed_contigs(known, chunks).count() == 0
-    assert [r.name for r in regions.changed_contigs(known.withColumn("m5", F.lit("0")), chunks).orderBy("name").collect()] == ["chr1", "chr2"]
-    assert [r.name for r in regions.changed_contigs(contigs, chunks).collect()] == ["chr2"]
+    known = spark.createDataFrame([(0, "chr1", 20000, hashlib.md5(ref.encode()).hexdigest()), (1, "chr2", 4, None), (2, "chr3", 9, None)], "rank int, name string, length long, m5 string")
+    told = lambda header, *names: {(r.name, r.reason) for r in regions.changed_contigs(header, chunks, *names).collect()}
+    on = lambda *names: spark.createDataFrame([(n,) for n in names], "contig string")
+    assert told(known) == {("chr3", "missing")} and told(known, on("chr1", "chr2"), on("chr1")) == set()
+    assert told(known, on("chr1", "chr3"), on("chr1")) == {("chr3", "missing")}
+    other = known.withColumn("m5", F.lit("0"))
+    assert told(other, on("chr1"), on("chr1")) == {("chr1", "digest")} and told(other, on("chr1"), on()) == set()
+    short = known.withColumn("length", F.lit(19_999).cast("long"))
+    assert told(short, on("chr1"), on("chr1")) == {("chr1", "length")} and told(short, on(), on()) == set()
 
 
 def test_targets_of_another_assembly(spark):
