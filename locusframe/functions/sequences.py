@@ -21,7 +21,10 @@ def reverse_complement(seq: Column, others_to_n: bool = True) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All substrings of length k in order; an empty array for shorter strings (and nulls)."""
+    """All substrings of length k in order; an empty array for shorter strings (and nulls).
+
+    Give a column of a written table: an expression would be worked out again for each substring.
+    """
     n = F.length(seq) - (k - 1)
     taken = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
     return F.when(n >= 1, taken).otherwise(F.array().cast("array<string>"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..evaluation import matching, metrics
 from ..functions import alignment as al
 from ..functions import scores as sc
+from ..functions import seeds
 from ..functions import sequences as sq
 from ..operators import intervals as iv
 from ..operators import positions as po
@@ -379,22 +380,20 @@ mixed as (select item_id, bpos, kmer from bk where {' and '.join(f"5 * (11 - len
 seeds as (select doc_id, item_id, (bpos - qpos)::bigint as diagonal from qk join mixed using (kmer))"""
 
 
-def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared informative 11-mers of documents and benchmark items, by diagonal."""
-    parts = []
-    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+def _sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Documents (id, seq) and benchmark items (ref, seq) as sequences."""
+    out = []
+    for name, key, alias in (("documents", "doc_id", "id"), ("benchmark", "item_id", "ref")):
         text = F.coalesce(F.col("text"), F.lit(""))
-        seq = F.translate(F.concat(*[F.md5(F.concat(text, F.lit(str(i)))) for i in range(3)]), *_LETTERS)
-        parts.append(table(spark, sf_dir, name).select(key, F.inline(sq.informative_kmers(seq, 11))))
-    queries = parts[0].select("doc_id", F.col("position").alias("qpos"), "kmer")
-    index = parts[1].select("item_id", F.col("position").alias("bpos"), "kmer")
-    return queries.join(index, "kmer").select("doc_id", "item_id", (F.col("bpos") - F.col("qpos")).cast("long").alias("diagonal"))
+        out.append(table(spark, sf_dir, name).select(F.col(key).alias(alias), F.translate(F.concat(*[F.md5(F.concat(text, F.lit(str(i)))) for i in range(3)]), *_LETTERS).alias("seq")))
+    return out
 
 
 @query(f"{_SEEDS} select doc_id, item_id, count(*) as seeds from seeds group by all")
 def kmer_seed_join(spark, sf_dir):
     """Number of seeds that each document and item share."""
-    return _seeds(spark, sf_dir).groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds"))
+    found = seeds.seeds(*_sides(spark, sf_dir)).select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"))
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds"))
 
 
 @query(f"""{_SEEDS}, spans as (
@@ -403,18 +402,16 @@ def kmer_seed_join(spark, sf_dir):
 select distinct doc_id, item_id, seeds, first, diagonal as last from spans qualify row_number() over (partition by doc_id, item_id order by seeds desc, diagonal) = 1""")
 def seed_band(spark, sf_dir):
     """The densest band of diagonals of each document and item."""
-    return po.densest_band(_seeds(spark, sf_dir), ["doc_id", "item_id"], "diagonal")
+    return seeds.bands(*_sides(spark, sf_dir)).withColumnsRenamed({"id": "doc_id", "ref": "item_id"})
 
 
 @query()
 def local_alignment(spark, sf_dir):
     """Each document's sequence aligned with that of the item whose band of seeds is densest."""
-    bands = po.densest_band(_seeds(spark, sf_dir), ["doc_id", "item_id"], "diagonal")
+    docs, items = _sides(spark, sf_dir)
+    bands = seeds.bands(docs, items).withColumnsRenamed({"id": "doc_id", "ref": "item_id"})
     best = po.top_rows(bands, ["doc_id"], [F.desc("seeds"), F.asc("item_id")], 1)
-    sides = []
-    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
-        text = F.coalesce(F.col("text"), F.lit(""))
-        sides.append(table(spark, sf_dir, name).select(key, F.translate(F.concat(*[F.md5(F.concat(text, F.lit(str(i)))) for i in range(3)]), *_LETTERS).alias(f"{key}_seq")))
+    sides = [docs.withColumnsRenamed({"id": "doc_id", "seq": "doc_id_seq"}), items.withColumnsRenamed({"ref": "item_id", "seq": "item_id_seq"})]
     pairs = best.select("doc_id", "item_id", "seeds").join(sides[0], "doc_id").join(sides[1], "item_id")
     return pairs.withColumn("a", al.local_alignment(F.col("doc_id_seq"), F.col("item_id_seq"))).select("doc_id", "item_id", "seeds", "a.*")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import seeds
 from ..functions.alignment import local_alignment
-from ..functions.sequences import informative_kmers, reverse_complement, without_tail
+from ..functions.sequences import reverse_complement, without_tail
 from ..operators import positions as po
 from ..operators import statistics as st
 
@@ -27,14 +28,13 @@ def hits(sequences: DataFrame, consensus: DataFrame) -> DataFrame:
     """Consensus hits of sequences (id, seq): id, cid, reverse, score, identity, element_start, element_end.
 
     For each sequence and consensus the better strand counts (the forward one of equals).
-    Positions are those on the consensus itself.
+    Positions are those on the consensus itself. Ids are distinct.
     """
     both = strands(consensus)
     long = sequences.select("id", F.upper("seq").alias("seq")).where(F.length("seq") >= SHORTEST)
-    own = long.select("id", F.inline(informative_kmers(F.col("seq"), KMER))).withColumnRenamed("position", "q_at")
-    index = both.select("cid", "reverse", F.inline(informative_kmers(F.col("strand"), KMER))).withColumnRenamed("position", "c_at")
-    seeds = own.join(index, "kmer").select("id", "cid", "reverse", (F.col("c_at") - F.col("q_at")).cast("long").alias("diagonal"))
-    bands = po.densest_band(seeds, ["id", "cid", "reverse"], "diagonal").join(long, "id")
+    named = both.select((F.col("cid").cast("long") * 2 + F.col("reverse").cast("long")).alias("ref"), F.col("strand").alias("seq"))
+    found = seeds.bands(long, named, KMER).withColumn("cid", F.expr("cast(ref div 2 as int)")).withColumn("reverse", F.col("ref") % 2 == 1).drop("ref")
+    bands = found.join(long, "id")
     enough = bands.where(F.col("seeds") >= F.when(F.length("seq") >= TWO_SEEDS, 2).otherwise(1))
     few = po.top_rows(enough, ["id"], [F.desc("seeds"), F.asc("cid"), F.asc("reverse")], WINDOWS)
     windows = few.join(both, ["cid", "reverse"])
