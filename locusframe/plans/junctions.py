@@ -113,12 +113,12 @@ def junction_reads(requests: DataFrame, reads: DataFrame, keys: list[str], order
 
 
 def window_reads(reads: DataFrame, options: Reading) -> DataFrame:
-    """Kept reads with their clips, and placed unmapped reads of mapped mates, all with masked bases."""
+    """Kept reads with their clips, and placed unmapped reads of mapped mates, all with masked bases; with their place in the file if they have it."""
     bit = lambda b: F.col("flag").bitwiseAND(b) != 0
     anchored = clipped_reads(reads, options).where(~bit(4)).withColumn("unmapped", F.lit(False))
     loose = reads.where(bit(4) & ~bit(8) & ~bit(256) & ~bit(2048)).where("start is not null").withColumn("left_clip", F.lit(0)).withColumn("right_clip", F.lit(0)).withColumn("unmapped", F.lit(True))
     both = anchored.select(*loose.columns).unionByName(loose).where("seq is not null")
-    return both.select("contig", "start", "end", "name", "flag", "unmapped", "left_clip", "right_clip", sq.masked_bases(F.col("seq"), F.col("qual")).alias("seq"))
+    return both.select("contig", "start", "end", "name", "flag", "unmapped", "left_clip", "right_clip", sq.masked_bases(F.col("seq"), F.col("qual")).alias("seq"), *[c for c in ["at"] if c in reads.columns])
 
 
 def assembled(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, reference: DataFrame, consensus: DataFrame, options: Reading) -> DataFrame:
@@ -139,7 +139,9 @@ def assembled(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, refer
     low = F.greatest(F.least("start", "left", "right") - MARGIN, F.lit(0))
     high = F.least(F.greatest("end", "left", "right") + MARGIN, F.col("_length"))
     requests = sites.select(*[F.col(k).alias(f"q_{k}") for k in KEYS], low.alias("low"), high.alias("high"), "left", "right")
-    found = junction_reads(requests, window_reads(reads, options), [f"q_{k}" for k in KEYS], ["start", "name", "flag", "seq"])
+    # of very many reads the first of the file count
+    order = ["at"] if "at" in reads.columns else ["start", "name", "flag", "seq"]
+    found = junction_reads(requests, window_reads(reads, options), [f"q_{k}" for k in KEYS], order)
     in_order = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("rank", "seq")))), lambda x: x["seq"]).alias(f"{role}_reads")
     grouped = found.groupBy(*[F.col(f"q_{k}").alias(k) for k in KEYS]).agg(*[in_order(r) for r in ("left", "right", "inside")])
     none = F.array().cast("array<string>")

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _place() -> list[Column]:
+    """Where a line lies: file, first byte of the piece of the file that a task reads, and a number that grows inside the piece."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+
+
 def _tag(name: str, kind: str) -> Column:
     """Value of a SAM tag; null if the read has none."""
     found = F.regexp_extract(F.col("value"), f"\t{name}:{kind}:([^\t]*)", 1)
@@ -45,10 +50,10 @@ def sample_name(samples: DataFrame, stem: str) -> tuple[str, str | None]:
 
 
 def sam_reads(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
-    """One row for each read, positions 0-based half-open; contig is the contig's rank."""
+    """One row for each read, positions 0-based half-open; contig is the contig's rank, and ``at`` grows in the file's order."""
     from ..functions.sequences import reference_span
 
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    lines = spark.read.text(path).select("value", F.struct(*_place()).alias("at")).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     # header lines may meet these expressions before they are left out, so none of them may fail
     at = lambda i: F.get(f, F.lit(i))
@@ -72,6 +77,7 @@ def sam_reads(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
         _tag("MQ", "i").try_cast("int").alias("mq"),
         _tag("MC", "Z").alias("mc"),
         _tag("SA", "Z").isNotNull().alias("has_sa"),
+        "at",
     )
     placed = rows.join(known, F.col("rname") == F.col("contig_name"), "left").join(mate, F.col("rnext") == F.col("mate_name"), "left")
     span = F.coalesce(reference_span(F.col("cigar")), F.lit(1))
@@ -110,18 +116,47 @@ def checked_bed(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("contig", "start", "end", "name")
 
 
+def _records(spark: SparkSession, path: str, is_head: Column, head: Column, amounts: dict[str, Column]) -> DataFrame:
+    """The lines of a file's records, cut by bytes as Spark likes: value, file, record, head, and what the lines since the head add up to.
+
+    A record is a line for which is_head holds and those that follow. Each piece of a file sums up its own lines, and
+    learns from a small table, with a row for each piece, under which head it begins and what came before.
+    """
+    raw = spark.read.text(path).select("value", *_place())
+    added = raw.withColumn("is_head", is_head).withColumns({f"own_{c}": F.when(F.col("is_head"), F.lit(0)).otherwise(F.coalesce(v, F.lit(0))).cast("long") for c, v in amounts.items()})
+    piece = Window.partitionBy("file", "block").orderBy("line")
+    before = piece.rowsBetween(Window.unboundedPreceding, -1)
+    summed = added.withColumns({f"in_{c}": F.coalesce(F.sum(f"own_{c}").over(before), F.lit(0)) for c in amounts})
+    opened = summed.withColumn("opened", F.when(F.col("is_head"), F.struct("block", "line", *[F.col(f"in_{c}") for c in amounts], head.alias("head"))))
+    within = opened.withColumn("last", F.last("opened", ignorenulls=True).over(piece.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = opened.groupBy("file", "block").agg(F.max("opened").alias("last"), *[F.sum(f"own_{c}").alias(f"all_{c}") for c in amounts])
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.withColumns({f"to_{c}": F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)) for c in amounts})
+    heads = totals.withColumn("open", F.when(F.col("last").isNotNull(), F.struct("last", *[(F.col(f"to_{c}") + F.col(f"last.in_{c}")).alias(f"at_{c}") for c in amounts])))
+    known = heads.select(F.col("file").alias("_file"), F.col("block").alias("_block"), *[F.col(f"to_{c}") for c in amounts], F.last("open", ignorenulls=True).over(earlier).alias("open"))
+    joined = within.join(known, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    own = F.col("last").isNotNull()
+    since = {c: F.when(own, F.col(f"in_{c}") - F.col(f"last.in_{c}")).otherwise(F.col(f"to_{c}") + F.col(f"in_{c}") - F.col(f"open.at_{c}")) for c in amounts}
+    first = F.coalesce("last", "open.last")
+    return joined.where(~F.col("is_head") & first.isNotNull()).select("value", "file", F.struct(first["block"].alias("block"), first["line"].alias("line")).alias("record"), first["head"].alias("head"), *[v.alias(c) for c, v in since.items()])
+
+
 def fasta(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
     """Sequences in upper case as chunks: contig, chunk (from 0), seq.
 
-    Each record is one row for Spark (split at ``>``), so a whole contig fits a task; chunks
-    make windows of it cheap to join.
+    The file is read line by line in as many pieces as Spark likes: a line learns where in its contig it lies, is
+    cut at chunk ends, and chunks are put together. No row holds more than a line or a chunk.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    head = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    body = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", ""))
-    whole = records.select(head.alias("contig"), body.alias("bases")).where("bases <> ''")
-    pieces = F.expr(f"transform(sequence(0, (length(bases) - 1) div {chunk}), i -> struct(cast(i as long) as chunk, substr(bases, i * {chunk} + 1, {chunk}) as seq))")
-    return whole.select("contig", F.inline(pieces))
+    seq = F.upper(F.regexp_replace("value", r"\s+", ""))
+    lines = _records(spark, path, F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S+)", 1), {"at": F.length(seq)})
+    placed = lines.select("file", "record", F.col("head").alias("contig"), "at", seq.alias("bases")).where("bases <> ''")
+    cut = placed.withColumn("chunk", F.explode(F.expr(f"sequence(at div {chunk}, (at + length(bases) - 1) div {chunk})")))
+    low = F.greatest(F.col("chunk") * chunk, F.col("at"))
+    high = F.least((F.col("chunk") + 1) * chunk, F.col("at") + F.length("bases"))
+    part = F.substring(F.col("bases"), (low - F.col("at") + 1).cast("int"), (high - low).cast("int"))
+    pieces = cut.select("file", "record", "contig", "chunk", F.struct(low.alias("at"), part.alias("part")).alias("piece"))
+    whole = pieces.groupBy("file", "record", "contig", "chunk").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return whole.select("contig", "chunk", F.array_join(F.transform("pieces", lambda x: x["part"]), "").alias("seq"))
 
 
 def bases(rows: DataFrame, reference: DataFrame, contig: str, start: Column, end: Column, name: str = "window", chunk: int = 10_000) -> DataFrame:
@@ -177,24 +212,14 @@ def merged_features(spark: SparkSession, path: str) -> DataFrame:
 def chain(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a chain file: source, s, e, score, chain, q_contig, q_size, strand, q_start.
 
-    A file is one row before it is split into its chains.
+    The file is read line by line; a block begins where the sizes and gaps of those before it in its chain end.
     """
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.explode(F.split(F.regexp_replace("value", "(?m)^#.*$", ""), "(?m)^chain ")).alias("value")).where(F.col("value").rlike("[0-9]"))
-    lines = F.split(F.trim("value"), r"\n")
-    h = F.split(F.get(lines, F.lit(0)), r"\s+")
-    body = F.filter(F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]"))
-    parts = F.transform(body, lambda x: F.transform(F.split(x, r"\s+"), lambda y: y.cast("long")))
-    start = F.struct(F.get(h, F.lit(4)).cast("long").alias("t"), F.get(h, F.lit(9)).cast("long").alias("q"), F.array().cast("array<struct<s:bigint,e:bigint,q_start:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        size, dt, dq = F.get(x, F.lit(0)), F.coalesce(F.get(x, F.lit(1)), F.lit(0)), F.coalesce(F.get(x, F.lit(2)), F.lit(0))
-        block = F.struct(acc["t"].alias("s"), (acc["t"] + size).alias("e"), acc["q"].alias("q_start"))
-        return F.struct((acc["t"] + size + dt).alias("t"), (acc["q"] + size + dq).alias("q"), F.array_append(acc["out"], block).alias("out"))
-
-    blocks = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    named = records.select(F.get(h, F.lit(1)).alias("source"), F.get(h, F.lit(0)).cast("long").alias("score"), F.get(h, F.lit(11)).cast("long").alias("chain"), F.get(h, F.lit(6)).alias("q_contig"), F.get(h, F.lit(7)).cast("long").alias("q_size"), F.get(h, F.lit(8)).alias("strand"), F.explode(blocks).alias("b"))
-    return named.select("source", "b.s", "b.e", "score", "chain", "q_contig", "q_size", "strand", "b.q_start")
+    number = lambda i: F.get(F.split(F.trim("value"), r"\s+"), F.lit(i)).try_cast("long")
+    lines = _records(spark, path, F.col("value").startswith("chain "), F.split(F.trim("value"), r"\s+"), {"t": number(0) + F.coalesce(number(1), F.lit(0)), "q": number(0) + F.coalesce(number(2), F.lit(0))})
+    h = lambda i: F.get("head", F.lit(i))
+    start = h(5).cast("long") + F.col("t")
+    blocks = lines.where(F.trim("value").rlike("^[0-9]"))
+    return blocks.select(h(2).alias("source"), start.alias("s"), (start + number(0)).alias("e"), h(1).cast("long").alias("score"), h(12).cast("long").alias("chain"), h(7).alias("q_contig"), h(8).cast("long").alias("q_size"), h(9).alias("strand"), (h(10).cast("long") + F.col("q")).alias("q_start"))
 
 
 def truth(spark: SparkSession, path: str) -> DataFrame:

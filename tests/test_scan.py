@@ -3,13 +3,14 @@
 import gzip
 import hashlib
 import json as js
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe import cli
-from locusframe.options import Calling, Options
-from locusframe.plans import extract, regions, scan
+from locusframe.options import Calling, Options, Reading
+from locusframe.plans import extract, junctions, regions, scan
 from locusframe.sinks import report
 from locusframe.sources import text
 
@@ -52,6 +53,64 @@ def test_sources(spark, sample):
     assert [tuple(r) for r in text.checked_bed(spark, str(folder / "packed")).collect()] == [("chr1", 5, 9, None)]
 
 
+@pytest.fixture
+def small_pieces(spark):
+    """Files are read in pieces of 700 bytes."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_contigs_over_many_pieces(spark, tmp_path, small_pieces):
+    rng = random.Random(5)
+    contigs = {f"c{i}": "".join(rng.choices("ACGTn", k=n)) for i, n in enumerate([5000, 0, 1, 999, 1000, 1001, 7, 3000])}
+    lines = []
+    for name, seq in contigs.items():
+        width = rng.choice([60, 61, 1000])
+        lines += [f">{name} some > more", *(seq[i : i + width] + " " * rng.randrange(2) for i in range(0, len(seq), width)), ""]
+    (tmp_path / "many.fa").write_text("\n".join(lines))
+    assert spark.read.text(str(tmp_path / "many.fa")).rdd.getNumPartitions() > 10
+    chunks = text.fasta(spark, str(tmp_path / "many.fa"), 333)
+    got = {}
+    for r in chunks.orderBy("contig", "chunk").collect():
+        assert len(r.seq) <= 333 and r.chunk == len(got.get(r.contig, "")) // 333
+        got[r.contig] = got.get(r.contig, "") + r.seq
+    assert got == {k: v.upper() for k, v in contigs.items() if v}
+
+
+def test_chains_over_many_pieces(spark, tmp_path, small_pieces):
+    rng = random.Random(6)
+    lines, expected = ["# made up"], []
+    for k in range(30):
+        t, q = rng.randrange(1000), rng.randrange(1000)
+        lines.append(f"chain {k * 10} chr{k % 3} 90000 + {t} 80000 other{k} 70000 {'+-'[k % 2]} {q} 60000 {k}")
+        for i in range(n := rng.randrange(1, 60)):
+            size, dt, dq = rng.randrange(1, 90), rng.randrange(9), rng.randrange(9)
+            lines.append(f"{size}\t{dt}\t{dq}" if i < n - 1 else str(size))
+            expected.append((f"chr{k % 3}", t, t + size, k * 10, k, f"other{k}", 70000, "+-"[k % 2], q))
+            t, q = t + size + dt, q + size + dq
+        lines.append("")
+    (tmp_path / "many.chain").write_text("\n".join(lines))
+    assert sorted(map(tuple, text.chain(spark, str(tmp_path / "many.chain")).collect())) == sorted(expected)
+
+
+def test_reads_count_in_the_order_of_the_file(spark, tmp_path, small_pieces):
+    names = [f"r{i}" for i in range(400)]
+    random.Random(7).shuffle(names)
+    rows = [f"{n}\t0\tchr1\t101\t60\t30M20S\t*\t0\t0\t{'A' * 50}\t{'I' * 50}" for n in names]
+    (tmp_path / "many.sam").write_text("@SQ\tSN:chr1\tLN:5000\n" + "\n".join(rows) + "\n")
+    contigs, _ = text.sam_header(spark, str(tmp_path / "many.sam"))
+    reads = text.sam_reads(spark, str(tmp_path / "many.sam"), contigs)
+    assert [r.name for r in reads.orderBy("at").select("name").collect()] == names
+    requests = spark.createDataFrame([(0, 1, 50, 300, 130, None)], "q_contig int, q_site long, low long, high long, left long, right long")
+    known = junctions.window_reads(reads, Reading()).withColumn("seq", F.col("name"))
+    kept = junctions.junction_reads(requests, known, ["q_contig", "q_site"], ["at"])
+    assert [r.seq for r in kept.where("role = 'left'").orderBy("rank").collect()] == names[: junctions.MOST_READS]
+
+
 def test_other_tables(spark, tmp_path):
     (tmp_path / "a.chain").write_text("chain 900 chr1 1000 + 100 200 chrA 900 + 50 155 7\n40 10 15\n50\n\nchain 1000 chr1 1000 + 400 450 chrB 500 - 10 60 8\n50\n")
     got = {tuple(r) for r in text.chain(spark, str(tmp_path / "a.chain")).collect()}
