@@ -19,7 +19,7 @@ def test_query_as_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cursor = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
