@@ -64,6 +64,11 @@ def placement(signals: DataFrame, keys: list[str], position: str, is_right: Colu
     """
     p = F.col(position)
     sides = signals.groupBy(*keys).agg(F.max(F.when(is_right, p)).alias("up"), F.min(F.when(~is_right, p)).alias("down"), F.count(F.when(is_right, 1)).alias("n_up"), F.count(F.when(~is_right, 1)).alias("n_down"))
+    return sides.select(*keys, *placed(near, far))
+
+
+def placed(near: int, far: int) -> list[Column]:
+    """breakpoint, first and last of placement, from up, down, n_up and n_down; for all null without mates."""
     both = F.col("up").isNotNull() & F.col("down").isNotNull() & (F.col("up") <= F.col("down") + near)
     by_up = F.col("up").isNotNull() & (F.col("n_up") >= F.col("n_down"))
     low, high = F.least("up", "down"), F.greatest("up", "down")
@@ -71,9 +76,8 @@ def placement(signals: DataFrame, keys: list[str], position: str, is_right: Colu
     def choose(a: Column, b: Column, c: Column) -> Column:
         return F.when(both, a).when(by_up, b).otherwise(c)
 
-    return sides.select(
-        *keys,
+    return [
         choose(F.floor((low + high) / 2), F.col("up"), F.col("down")).cast("long").alias("breakpoint"),
         choose(low - near, F.col("up") - near, F.col("down") - far).alias("first"),
         choose(high + near, F.col("up") + far, F.col("down") + near).alias("last"),
-    )
+    ]

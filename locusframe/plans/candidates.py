@@ -24,19 +24,40 @@ def clustered(signals: DataFrame, window: int) -> DataFrame:
 
 
 def profiles(rows: DataFrame, options: Calling) -> DataFrame:
-    """One row for each cluster: counts, junctions, target site duplication, breakpoint, and the filters known so far."""
+    """One row for each cluster: counts, junctions, target site duplication, breakpoint, and the filters known so far.
+
+    A histogram with a row for each position of a cluster tells the junctions (modes), what lies near them, and where
+    the mates place the breakpoint; only what it can't tell is aggregated from the signals themselves.
+    """
     clip = F.col("kind") == "soft_clip"
-    modes = None
-    for name, chosen in (("left_junction", clip & (F.col("side") == RIGHT)), ("right_junction", clip & (F.col("side") == LEFT)), ("clip_mode", clip)):
-        mode = st.smallest_mode(rows.where(chosen), KEYS, "position").select(*KEYS, F.col("mode").alias(name))
-        modes = mode if modes is None else modes.join(mode, KEYS, "full_outer")
-    placed = st.placement(rows.where(~clip), KEYS, "position", F.col("side") == RIGHT, MATE_NEAR, MATE_FAR)
-    joined = rows.join(modes, KEYS, "left")
-    at_left = clip & (F.col("side") == RIGHT) & (F.abs(F.col("position") - F.col("left_junction")) <= NEAR_JUNCTION)
-    at_right = clip & (F.col("side") == LEFT) & (F.abs(F.col("position") - F.col("right_junction")) <= NEAR_JUNCTION)
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    sides = (("left", RIGHT), ("right", LEFT))  # clips on a read's right lie at the left junction
+    by_position = rows.groupBy(*KEYS, "position").agg(
+        *[count(clip & (F.col("side") == side)).alias(f"n_{name}") for name, side in sides],
+        *[count(clip & (F.col("side") == side) & F.col("short")).alias(f"short_{name}") for name, side in sides],
+        count(~clip & (F.col("side") == RIGHT)).alias("mates_up"),
+        count(~clip & (F.col("side") != RIGHT)).alias("mates_down"),
+    )
+    n_clips = F.col("n_left") + F.col("n_right")
+    mode = lambda n: F.min(F.when(n > 0, F.struct(-n, F.col("position").alias("position"))))["position"]
+    shaped = by_position.groupBy(*KEYS).agg(
+        mode(F.col("n_left")).alias("left_junction"),
+        mode(F.col("n_right")).alias("right_junction"),
+        mode(n_clips).alias("clip_mode"),
+        F.max(F.when(F.col("mates_up") > 0, F.col("position"))).alias("up"),
+        F.min(F.when(F.col("mates_down") > 0, F.col("position"))).alias("down"),
+        F.sum("mates_up").alias("n_up"),
+        F.sum("mates_down").alias("n_down"),
+    )
+    near = {name: F.coalesce(F.abs(F.col("position") - F.col(f"{name}_junction")) <= NEAR_JUNCTION, F.lit(False)) for name, _ in sides}
+    close = lambda what, name: F.when(near[name], F.col(f"{what}_{name}")).otherwise(F.lit(0))
+    beside = by_position.join(shaped.select(*KEYS, "left_junction", "right_junction"), KEYS).groupBy(*KEYS).agg(
+        F.sum(close("n", "left")).alias("left_clips"), F.sum(close("n", "right")).alias("right_clips"), F.sum(close("short", "left") + close("short", "right")).alias("short_junction_clips")
+    )
+    mates = [c.alias(name) for c, name in zip(st.placed(MATE_NEAR, MATE_FAR), ("mate_point", "mate_first", "mate_last"), strict=True)]
+    known = shaped.select(*KEYS, "left_junction", "right_junction", "clip_mode", *mates).join(beside, KEYS)
     five_prime = F.struct("reverse", F.when(F.col("reverse"), F.col("end")).otherwise(F.col("start")))
-    counted = joined.groupBy(*KEYS).agg(
+    counted = rows.groupBy(*KEYS).agg(
         F.count_distinct("read").alias("support"),
         F.count_distinct(five_prime).alias("distinct_starts"),
         F.min("position").alias("start"),
@@ -52,17 +73,11 @@ def profiles(rows: DataFrame, options: Calling) -> DataFrame:
         count(F.col("tail.base") == "T").alias("polyt_clips"),
         count(F.col("kind") == "mate_unmapped").alias("unmapped_mates"),
         count(~clip & (F.col("kind") != "mate_unmapped")).alias("discordant_mates"),
-        (F.count_distinct("side") == 2).alias("both_sides"),
+        (F.min("side") != F.max("side")).alias("both_sides"),
         F.max("tail.length").alias("tail_length"),
-        F.first("left_junction").alias("left_junction"),
-        F.first("right_junction").alias("right_junction"),
-        F.first("clip_mode").alias("clip_mode"),
-        count(at_left).alias("left_clips"),
-        count(at_right).alias("right_clips"),
-        count((at_left | at_right) & F.col("short")).alias("short_junction_clips"),
         F.min_by("position", F.struct("position", "side", "read")).alias("first_signal"),
     )
-    both = counted.join(placed.select(*KEYS, F.col("breakpoint").alias("mate_point"), F.col("first").alias("mate_first"), F.col("last").alias("mate_last")), KEYS, "left")
+    both = counted.join(known, KEYS)
     junction_clips = F.coalesce(F.col("left_clips") + F.col("right_clips"), F.lit(0))
     by_clips = (junction_clips >= options.min_clips) | F.col("mate_point").isNull()
     gap = F.col("left_junction") - F.col("right_junction")
