@@ -16,7 +16,8 @@ from pyspark.sql import SparkSession
 from .options import Calling, Options, Reading
 from .plans import scan
 from .sinks import report
-from .sources import text
+from .sources import bam, text
+from .storage import staged
 
 _log = logging.getLogger("locusframe")
 _TYPES = {"int": int, "float": float, "str": str, "str | None": str, "int | None": int}
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     whole.add_argument("--verbose", action="store_true")
     whole.add_argument("--quiet", action="store_true")
     one = whole.add_subparsers(dest="command", required=True).add_parser("scan", help="find insertions")
-    one.add_argument("--bam", required=True, help="reads as SAM text")
+    one.add_argument("--bam", required=True, help="reads as BAM or SAM text")
     one.add_argument("--bed", required=True, help="targets")
     one.add_argument("--reference", help="FASTA")
     one.add_argument("--consensus", help="FASTA of element consensus sequences; without it nothing is typed")
@@ -63,11 +64,13 @@ def options(arguments: argparse.Namespace) -> Options:
 def run(spark: SparkSession, arguments: argparse.Namespace, line: list[str]) -> int:
     """Scan and write the report; returns how many candidates it has."""
     chosen = options(arguments)
-    contigs, samples = text.sam_header(spark, arguments.bam)
+    packed = bam.is_bam(arguments.bam) if os.path.exists(arguments.bam) else arguments.bam.endswith(".bam")
+    contigs, samples = (bam.header if packed else text.sam_header)(spark, arguments.bam)
     name, warning = text.sample_name(samples, os.path.basename(arguments.bam).split(".")[0])
     if warning:
         _log.warning("%s: %s", arguments.bam, warning)
-    reads = text.sam_reads(spark, arguments.bam, contigs)
+    # a scan looks at the reads several times; blocks are unpacked once
+    reads = staged(bam.reads(spark, arguments.bam), "reads") if packed else text.sam_reads(spark, arguments.bam, contigs)
     reference = text.fasta(spark, arguments.reference) if arguments.reference else None
     consensus = text.consensus(spark, arguments.consensus) if arguments.consensus else None
     found = scan.run(reads, contigs, text.checked_bed(spark, arguments.bed), chosen, consensus, reference)

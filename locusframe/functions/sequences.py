@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: CIGAR operations, and those that consume the reference.
 CIGAR_OP = r"(\d+)([MIDNSHP=X])"
-WHOLE_CIGAR = r"^(\d+[MIDNSHP=X])+$"
+# possessive, so that CIGARs of a hundred thousand operations (long reads) don't exhaust the stack
+WHOLE_CIGAR = r"^(?:\d++[MIDNSHP=X])++$"
 REFERENCE_OPS = ("M", "D", "N", "=", "X")
 
 

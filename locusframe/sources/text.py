@@ -34,6 +34,11 @@ def sam_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         if len(lines) < n or not all(x.startswith("@") for x in lines):
             break
         n *= 10
+    return header_tables(spark, lines)
+
+
+def header_tables(spark: SparkSession, lines: list[str]) -> tuple[DataFrame, DataFrame]:
+    """contigs and samples of header lines; lines that don't begin with @ are left out."""
     fields = [(x[:3], dict(f.split(":", 1) for f in x.split("\t")[1:] if ":" in f)) for x in lines if x.startswith("@")]
     found = [f for kind, f in fields if kind == "@SQ"]
     contigs = [(i, f.get("SN"), int(f["LN"]) if "LN" in f else None, f["M5"].lower() if "M5" in f else None) for i, f in enumerate(found)]

@@ -14,6 +14,7 @@ from locusframe.plans import extract, junctions, regions, scan
 from locusframe.sinks import report
 from locusframe.sources import text
 
+from .bamfile import write_bam
 from .simulate import simulate
 
 
@@ -245,6 +246,10 @@ def test_command_line(spark, sample, capsys):
     assert cli.run(spark, arguments, line) >= 1
     lines = (folder / "cli.vcf").read_text().splitlines()
     assert "##command=scan --bam reads.sam --bed targets.bed --output cli.vcf --format vcf --min-typed-clips 0 --profile discovery --keep-filtered" in lines and lines[-1].startswith("chr1\t")
+    write_bam(folder / "packed.bam", (folder / "reads.sam").read_text().splitlines(), 5_000)
+    again = [str(folder / "packed.bam") if x.endswith("reads.sam") else x for x in line]
+    assert cli.run(spark, cli.parser().parse_args(again), line) >= 1
+    assert (folder / "cli.vcf").read_text().splitlines() == lines
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["scan", "--bam", "x"])
     with pytest.raises(ValueError, match="min_mapq"):
