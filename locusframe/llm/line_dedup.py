@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, written
+from .runtime import bounded_batches, skewed_join, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 _LINES = "h1 long, h2 long, doc_id long, text_key long, at binary"
@@ -124,7 +124,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     """
     lines, counts = line_counts(docs)
     frequent = written(counts.where(F.col("n_docs") >= min_docs), "frequent-lines")
-    hit = lines.join(frequent.select("h1", "h2", "first"), ["h1", "h2"])
+    # a line that a third of all documents share is no key of a shuffle
+    hit = skewed_join(lines, frequent.select("h1", "h2", "first", "n_docs"), ["h1", "h2"], "n_docs")
     if keep_first:
         mine = F.col("doc_id").eqNullSafe(F.col("first.first_doc")) & (F.col("text_key") == F.col("first.first_text"))
         hit = hit.withColumn("at", F.when(mine, F.expr("substring(at, 5)")).otherwise(F.col("at"))).where(F.length("at") > 0)
