@@ -240,16 +240,19 @@ def connected(edges: DataFrame) -> DataFrame:
     round is written to the shared folder; only the number of changes reaches the driver.
     """
     both = written(edges.select(F.col("rep").alias("id"), "other").union(edges.select(F.col("other").alias("id"), F.col("rep").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("root")), "labels")
+    labels = written(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("root"), F.count("*").alias("degree")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("id").alias("other"), F.col("root").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        near = labels.join(seen, "id").select("id", F.least("root", "seen").alias("near"), F.col("root").alias("before"))
+        # the middle of a star is met by all its edges, and a root by all its nodes
+        told = skewed_join(both, labels.select(F.col("id").alias("other"), F.col("root").alias("seen"), "degree"), ["other"], "degree")
+        seen = told.groupBy("id").agg(F.min("seen").alias("seen"))
+        near = written(labels.join(seen, "id").select("id", F.least("root", "seen").alias("near"), F.col("root").alias("before"), "degree"), "near-labels")
         up = labels.select(F.col("id").alias("near"), F.col("root").alias("up"))
-        after = written(near.join(up, "near", "left").select("id", F.least("near", F.coalesce("up", "near")).alias("root"), "before"), "labels")
+        ups = written(near.groupBy("near").agg(F.count("*").alias("n")).join(up, "near"), "labels-of-labels")
+        after = written(skewed_join(near, ups, ["near"], "n").select("id", F.least("near", "up").alias("root"), "before", "degree"), "labels")
         changed = after.where("root <> before").limit(1).count()
-        labels = after.select("id", "root")
+        labels = after.select("id", "root", "degree")
         if not changed:
-            return labels
+            return labels.drop("degree")
 
 
 def _blocks(live: DataFrame) -> DataFrame:
@@ -274,8 +277,8 @@ def _blocks(live: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Two sides of a self-join on ``key``: each row once with a deal, and once for each deal of its key."""
-    sizes = rows.groupBy(key).agg(((F.count("*") - 1) / DEAL).cast("int").alias("deals"))
-    sized = rows.join(sizes, key)
+    sizes = written(rows.groupBy(key).agg(F.count("*").alias("n"), ((F.count("*") - 1) / DEAL).cast("int").alias("deals")), "deals")
+    sized = skewed_join(rows, sizes, [key], "n").drop("n")
     once = sized.withColumn("deal", F.pmod(F.xxhash64("block"), F.col("deals") + 1).cast("int")).drop("deals")
     return once, sized.withColumn("deal", F.explode(F.sequence(F.lit(0), "deals"))).drop("deals")
 
@@ -300,8 +303,9 @@ def _verified(pairs: DataFrame, members: DataFrame, threshold: float, depth: int
     """The results of _verify for pairs of blocks (first, second) of members."""
     sides = pairs.select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
     numbered = sides.withColumn("number", F.xxhash64("first", "second"))
-    deals = numbered.groupBy("block").agg(((F.count("*") - 1) / DEAL).cast("int").alias("deals"))
-    once = numbered.join(deals, "block").select("first", "second", "block", F.pmod("number", F.col("deals") + 1).cast("int").alias("deal"))
+    sizes = written(numbered.groupBy("block").agg(F.count("*").alias("n"), ((F.count("*") - 1) / DEAL).cast("int").alias("deals")), "deals")
+    deals = sizes.drop("n")
+    once = skewed_join(numbered, sizes, ["block"], "n").select("first", "second", "block", F.pmod("number", F.col("deals") + 1).cast("int").alias("deal"))
     copies = members.join(deals, "block").withColumn("deal", F.explode(F.sequence(F.lit(0), "deals"))).drop("deals")
     return written(copies.join(once, ["block", "deal"]).drop("deal").groupBy("first", "second").applyInPandas(_verify(threshold, depth, above), _FOUND), "links")
 

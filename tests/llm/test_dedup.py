@@ -272,6 +272,28 @@ def brute_leaks(docs, items, threshold=0.8):
     return best
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    """Joins are broadcast only where the code says so."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_components_with_hot_roots(spark, no_broadcasts):
+    """Two stars of 3,000 leaves, joined by a leaf, and a third of 2,000 whose middle isn't its least node."""
+    edges = [(0, i) for i in range(1, 3_001)] + [(5_000, i) for i in range(5_001, 8_001)] + [(3_000, 8_000)] + [(20_000, i) for i in range(12_000, 14_000)]
+    got = {r.id: r.root for r in ngram_join.connected(spark.createDataFrame(edges, "rep long, other long")).collect()}
+    assert got == {i: 0 for i in [*range(3_001), *range(5_000, 8_001)]} | {i: 12_000 for i in [*range(12_000, 14_000), 20_000]}
+
+
+def test_a_line_that_a_third_of_all_documents_share(spark, no_broadcasts):
+    rows = [(i, f"own {i}\nshared by many\npair {i // 12}" if i % 3 == 0 else f"own {i}\npair {i // 12}") for i in range(4_500)]
+    dropped = {r.doc_id: np.unpackbits(np.frombuffer(zlib.decompress(r.dropped), np.uint8), bitorder="little").nonzero()[0].tolist() for r in line_dedup.line_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert dropped == {i: [1, 2] if i % 3 == 0 else [1] for i in range(4_500)}
+
+
 def test_leaks_as_brute_force(spark, odd_rows):
     rng = random.Random(2)
     items = [(k, sentence(rng, rng.randrange(8, 70), 3000)) for k in range(30)] + [(90, None), (91, "too short"), (92, "five words are just enough")]
