@@ -89,24 +89,37 @@ def with_lower_bound(df: DataFrame, successes: str, trials: str, level: float =
     return df.withColumn("lower_bound", bound(F.col(successes).cast("long"), F.col(trials).cast("long")))
 
 
+#: Weights of few groups are broadcast up to so many rows; beyond, both sides of the join are sorted.
+BROADCAST_WEIGHTS = 200_000
+
+#: Draws that a task makes.
+DRAWS = 1_000_000
+
+
 def bootstrap(df: DataFrame, first: str, second: str | None, hit: str, total: str, rounds: int = 200, seed: int = 1) -> DataFrame:
     """2.5 and 97.5 percentiles of sum(hit) / sum(total), with one or both groupings drawn anew and weights multiplied.
 
     In each round as many groups are drawn, with replacement, as there are; a group weighs as
     often as it is drawn. Draws come from a hash of the seed, round and number of the draw, so
-    all tasks agree on them, and the same input gives the same interval.
+    all tasks agree on them, and the same input gives the same interval. Cells meet the draws of the
+    first grouping by the group alone and are summed by round and second group at once, so no row of a
+    cell and round is shuffled before.
     """
     groups = [g for g in (first, second) if g]
-    cells = staged(df.groupBy(*groups).agg(F.sum(hit).alias("_h"), F.sum(total).alias("_t")), "cells")
-    weighed = cells.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", F.lit(1))
+    weighed = staged(df.groupBy(*groups).agg(F.sum(hit).alias("_h"), F.sum(total).alias("_t")), "cells")
+    numbered = [staged(ranked(weighed.select(g).distinct(), [], [g], "_at"), "groups") for g in groups]
     for k, g in enumerate(groups):
-        numbers = staged(ranked(cells.select(g).distinct(), [], [g], "_at"), "groups")
-        n = numbers.count()
-        draws = numbers.select(F.col("_at").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
+        n = numbered[k].count()
+        dealt = numbered[k].repartition(1 + n * rounds // DRAWS, "_at")
+        draws = dealt.select(F.col("_at").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_round"))
         taken = F.pmod(F.xxhash64(F.lit(seed * 2 + k), "_round", "_draw"), F.lit(max(n, 1)))
-        weights = draws.groupBy("_round", taken.alias("_at")).agg(F.count("*").alias("_times")).join(numbers, "_at").select("_round", g, "_times")
-        weighed = weighed.join(weights, ["_round", g]).withColumn("_w", F.col("_w") * F.col("_times")).drop("_times")
-    shares = weighed.groupBy("_round").agg((F.sum(F.col("_w") * F.col("_h")) / F.nullif(F.sum(F.col("_w") * F.col("_t")), F.lit(0))).alias("_share"))
+        times = draws.groupBy("_round", taken.alias("_at")).agg(F.count("*").alias("_times"))
+        # Spark takes the rows of all rounds for one, and would broadcast either side of these joins
+        weights = times.join(numbered[k].hint("merge"), "_at").select("_round", g, "_times")
+        weights = F.broadcast(weights) if n * rounds <= BROADCAST_WEIGHTS else weights.hint("merge")
+        drawn = weighed.join(weights, ["_round", g] if k else [g])
+        weighed = drawn.groupBy("_round", *groups[k + 1 :]).agg(*[F.sum(F.col("_times") * F.col(c)).alias(c) for c in ("_h", "_t")])
+    shares = weighed.select((F.col("_h") / F.nullif("_t", F.lit(0))).alias("_share"))
     ordered = shares.agg(F.array_sort(F.collect_list("_share")).alias("s"))  # one number for each round
     at = lambda q: F.get("s", F.least(F.floor(F.size("s") * q), F.size("s") - 1).cast("int"))
     return ordered.select(at(0.025).alias("low"), at(0.975).alias("high"), F.size("s").cast("long").alias("rounds"))

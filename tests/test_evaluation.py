@@ -121,6 +121,16 @@ def test_bootstrap_draws_with_replacement(spark):
     assert one.low < share < one.high and one.high - one.low < row.high - row.low
 
 
+def test_bootstrap_broadcasts_no_rows_of_all_rounds(spark, monkeypatch):
+    cells = [(g, loc, (g * loc) % 3, 3) for g in range(30) for loc in range(7)]
+    df = spark.createDataFrame(cells, "g long, l long, h long, t long")
+    few = metrics.bootstrap(df, "g", "l", "h", "t", 50).first()
+    monkeypatch.setattr(metrics, "BROADCAST_WEIGHTS", 0, raising=False)
+    many = metrics.bootstrap(df, "g", "l", "h", "t", 50)
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert many.first() == few
+
+
 def test_leave_one_out(spark):
     rng = random.Random(5)
     rows = [(k, rng.choice("xyz"), rng.randrange(2), rng.randrange(2), rng.randrange(2)) for k in range(200)]
