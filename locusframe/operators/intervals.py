@@ -17,8 +17,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: s
     plain = df.select(*keys, F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"))
     reach = with_previous_max(plain, keys, "start", "end", width, "_reach", ["end"])
     opened = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start"))
-    carried = with_previous_max(reach.withColumn("_open", opened), keys, "start", "_open", width, "_earlier", ["end"])
-    island = carried.withColumn("_island", F.coalesce("_open", "_earlier"))
+    # of equal intervals any may be the first, so all learn where they begin from all up to their start
+    island = with_previous_max(reach.withColumn("_open", opened), keys, "start", "_open", width, "_island", None)
     return island.groupBy(*keys, F.col("_island").alias("start")).agg(F.max("end").alias("end"), F.count("*").alias("merged"), *([F.max(F.when(F.col("_open").isNotNull(), F.col("_reach"))).alias(before)] if before else []))
 
 

@@ -18,10 +18,14 @@ def _bin(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("long")
 
 
-def with_previous_max(df: DataFrame, keys: list[str], order: str, value: str, width: int, name: str, ties: list[str]) -> DataFrame:
-    """Add the greatest ``value`` of all rows before each row, by (order, ties), of the same keys."""
+def with_previous_max(df: DataFrame, keys: list[str], order: str, value: str, width: int, name: str, ties: list[str] | None) -> DataFrame:
+    """Add the greatest ``value`` of all rows before each row, by (order, ties), of the same keys.
+
+    Without ``ties`` (None) it is that of all rows up to each row's ``order``, the row and its equals too.
+    """
     df = df.withColumn("_bin", _bin(F.col(order), width))
-    inside = Window.partitionBy(*keys, "_bin").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys, "_bin")
+    inside = group.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties is None else group.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     by_bin = df.groupBy(*keys, "_bin").agg(F.max(value).alias("_top"))
     carried = by_bin.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bin").alias("_b"), F.max("_top").over(earlier).alias("_carried"))
@@ -61,14 +65,13 @@ def gap_clusters(df: DataFrame, keys: list[str], position: str, window: int, tie
     """Add the first position of each row's cluster.
 
     A new cluster begins where the gap to the position before is larger than ``window``. The
-    pair of keys and first position names a cluster.
+    pair of keys and first position names a cluster. Of rows with equal positions and ties any may be the first.
     """
     width = width or 64 * max(window, 1)
     placed = with_previous_max(df, keys, position, position, width, "_before", ties)
     start = F.when(F.col("_before").isNull() | (F.col(position) - F.col("_before") > window), F.col(position))
     marked = placed.withColumn("_start", start)
-    carried = with_previous_max(marked, keys, position, "_start", width, "_earlier", ties)
-    return carried.withColumn(name, F.coalesce("_start", "_earlier")).drop("_before", "_start", "_earlier")
+    return with_previous_max(marked, keys, position, "_start", width, name, None).drop("_before", "_start")
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], totals: bool = False) -> DataFrame:

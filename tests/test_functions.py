@@ -69,6 +69,20 @@ def test_merge_intervals_touching(spark):
         assert {(r.c, r.start, r.end, r.merged) for r in got} == {("a", 0, 20, 3), ("a", 21, 30, 1), ("b", 5, 9, 1)}
 
 
+def test_equal_rows_in_any_order(spark, monkeypatch):
+    """Equal intervals and positions come in another order at the second step than at the first."""
+    plain = po.with_previous_max
+    for module in (iv, po):
+        monkeypatch.setattr(module, "with_previous_max", lambda *a: plain(*a).orderBy(F.rand(7)))
+    starts = [40 * i for i in range(30)]
+    df = spark.createDataFrame([("a", s, s + 30) for s in starts for _ in range(6)], "c string, start long, end long")
+    for width in (7, 100_000):
+        merged = iv.merge_intervals(df, ["c"], width=width).collect()
+        assert sorted((r.start, r.end, r.merged) for r in merged) == [(s, s + 30, 6) for s in starts]
+        clusters = po.gap_clusters(df, ["c"], "start", 30, [], width).collect()
+        assert len(clusters) == 180 and all(r.cluster_start == r.start for r in clusters)
+
+
 def test_overlap_join_gives_each_pair_once(spark):
     left = spark.createDataFrame([(1, 0, 100), (2, 95, 96), (3, 300, 310)], "i long, a long, b long")
     right = spark.createDataFrame([(1, 5, 99), (2, 96, 305), (3, 310, 311)], "j long, x long, y long")
