@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .positions import running_sums
 
 
@@ -18,22 +19,48 @@ def smallest_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, "_b.mode", "_b.n")
 
 
+def _histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+
+
+def _middle(counted: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The lower median of each key by its distinct values and how often they occur (_n): name, n."""
+    upto = running_sums(counted, keys, [value], {"_before": F.col("_n")}, totals=True)
+    middle = F.expr("(_before_all - 1) div 2")
+    return upto.where((F.col("_before") <= middle) & (F.col("_before") + F.col("_n") > middle)).select(*keys, F.col(value).alias(name), F.col("_before_all").alias("n"))
+
+
 def lower_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
     """The value of rank (n - 1) div 2 (from 0) of each key, from an exact histogram.
 
     Only distinct values are put in order, and those of one key by several tasks.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = running_sums(counted, keys, [value], {"_before": F.col("_n")}, totals=True)
-    middle = F.expr("(_before_all - 1) div 2")
-    return upto.where((F.col("_before") <= middle) & (F.col("_before") + F.col("_n") > middle)).select(*keys, F.col(value).alias(name), F.col("_before_all").alias("n"))
+    return _middle(_histogram(df, keys, value), keys, value, name)
+
+
+#: Medians of so many keys are broadcast; of more keys they are copied for SALTS parts of each key's values.
+BROADCAST_KEYS, SALTS = 50_000, 64
+
+
+def _with_medians(counted: DataFrame, medians: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add its key's median to each value, without bringing the values of one key to one task."""
+    if not keys:
+        return counted.crossJoin(F.broadcast(medians))
+    if medians.count() <= BROADCAST_KEYS:
+        return counted.join(F.broadcast(medians), keys)
+    copies = medians.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return counted.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def outlier_threshold(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Robust threshold of integer values: n, median, mad and threshold, from median + 6 scaled deviations."""
-    middle = lower_median(df, keys, value)
-    away = df.join(middle.select(*keys, "median"), keys) if keys else df.crossJoin(F.broadcast(middle.select("median")))
-    mad = lower_median(away.withColumn("_d", F.abs(F.col(value) - F.col("median"))), keys, "_d", "mad").drop("n")
+    """Robust threshold of integer values: n, median, mad and threshold, from median + 6 scaled deviations.
+
+    Deviations come from the histogram of the values too, so rows are only counted.
+    """
+    counted = staged(_histogram(df, keys, value), "histogram")
+    middle = staged(_middle(counted, keys, value, "median"), "medians")
+    away = _with_medians(counted, middle.select(*keys, "median"), keys, value).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    mad = _middle(away.groupBy(*keys, "_d").agg(F.sum("_n").alias("_n")), keys, "_d", "mad").drop("n")
     joined = middle.join(mad, keys) if keys else middle.crossJoin(mad)
     step = F.greatest(F.lit(1), F.ceil(6 * 1.4826 * F.col("mad")))
     return joined.select(*keys, "n", "median", "mad", (F.col("median") + step).cast("long").alias("threshold"))

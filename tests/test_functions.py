@@ -169,6 +169,21 @@ def test_outlier_threshold(spark):
     assert tuple(st.outlier_threshold(df, [], "v").first()) == (5, 300, 10, 389)
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_outlier_threshold_joins_no_rows_by_a_hot_key(spark, monkeypatch, most):
+    monkeypatch.setattr(st, "BROADCAST_KEYS", most, raising=False)
+    joined = []
+    plain = type(spark.range(1)).join
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a, **b: joined.append(self.columns) or plain(self, *a, **b))
+    rows = [("a" if i % 50 else "b", i * 7919 % 1000, f"r{i}") for i in range(3000)]
+    got = {r.k: (r.n, r.median, r.mad) for r in st.outlier_threshold(spark.createDataFrame(rows, "k string, v long, read string"), ["k"], "v").collect()}
+    for k in "ab":
+        values = sorted(v for x, v, _ in rows if x == k)
+        middle = values[(len(values) - 1) // 2]
+        assert got[k] == (len(values), middle, sorted(abs(v - middle) for v in values)[(len(values) - 1) // 2])
+    assert joined and not any("read" in columns for columns in joined)
+
+
 def test_densest_band(spark):
     df = spark.createDataFrame([(1, d) for d in (50, 3, 0, 1, 2, 70, 60, 2)], "k long, d long")
     assert tuple(po.densest_band(df, ["k"], "d").first()) == (1, 5, 0, 3)
