@@ -9,6 +9,20 @@ from ..storage import staged
 from .positions import running_sums
 
 
+#: Rows that a task counts where nearly every row has a key of its own.
+COUNTED_ROWS = 500_000
+
+
+def many_counts(df: DataFrame, keys: list[str], rows: int, name: str = "n") -> DataFrame:
+    """How many rows each combination of keys has, where there are nearly as many of them as rows (about ``rows``).
+
+    Counting before the shuffle would spare nothing and hold all of a file's keys in memory, so rows
+    are dealt first, to as many tasks as their number asks for.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // COUNTED_ROWS)
+    return df.repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias(name))
+
+
 def smallest_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value of each key, the smallest of equally frequent ones: mode, n.
 

@@ -184,6 +184,16 @@ def test_outlier_threshold_joins_no_rows_by_a_hot_key(spark, monkeypatch, most):
     assert joined and not any("read" in columns for columns in joined)
 
 
+def test_many_counts_grow_in_tasks_not_in_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(st, "COUNTED_ROWS", 100, raising=False)
+    df = spark.range(2000).select(F.nullif(F.col("id") % 900, F.lit(5)).alias("k"), (F.col("id") % 2).alias("m"))
+    got = st.many_counts(df, ["k", "m"], 2000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]
+    assert got.rdd.getNumPartitions() == 21
+    assert {(r.k, r.m): r.n for r in got.collect()} == {(r.k, r.m): r["count"] for r in df.groupBy("k", "m").count().collect()}
+
+
 def test_densest_band(spark):
     df = spark.createDataFrame([(1, d) for d in (50, 3, 0, 1, 2, 70, 60, 2)], "k long, d long")
     assert tuple(po.densest_band(df, ["k"], "d").first()) == (1, 5, 0, 3)
