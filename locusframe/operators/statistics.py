@@ -9,18 +9,22 @@ from ..storage import staged
 from .positions import running_sums
 
 
-#: Rows that a task counts where nearly every row has a key of its own.
-COUNTED_ROWS = 500_000
+#: Rows of a task where nearly every row has a key of its own.
+DEALT_ROWS = 500_000
 
 
-def many_counts(df: DataFrame, keys: list[str], rows: int, name: str = "n") -> DataFrame:
-    """How many rows each combination of keys has, where there are nearly as many of them as rows (about ``rows``).
+def dealt(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Deal about ``rows`` rows by keys to as many tasks as their number asks for.
 
-    Counting before the shuffle would spare nothing and hold all of a file's keys in memory, so rows
-    are dealt first, to as many tasks as their number asks for.
+    Where there are nearly as many keys as rows, to aggregate before the shuffle would spare nothing and hold
+    all of a file's keys in memory; an aggregate or window by these keys over dealt rows needs no other shuffle.
     """
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // COUNTED_ROWS)
-    return df.repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias(name))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // DEALT_ROWS), *keys)
+
+
+def many_counts(df: DataFrame, keys: list[str], rows: int, name: str = "n") -> DataFrame:
+    """How many rows each combination of keys has, where there are nearly as many of them as rows (about ``rows``)."""
+    return dealt(df, keys, rows).groupBy(*keys).agg(F.count("*").alias(name))
 
 
 def smallest_mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:

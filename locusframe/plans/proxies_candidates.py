@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import assembly as asm
 from ..functions import scores as sc
 from ..functions import sequences as sq
+from ..operators import statistics as st
 from ..options import Calling
 from ..sinks import report
 from . import candidates as ca
@@ -248,8 +250,8 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     hits = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     hits = hits.select("p_brand", F.col("l_orderkey").alias("voter"), (F.col("l_linenumber") % 2 == 0).alias("even"), "family", "cid", "name", (F.col("l_linestatus") == "F").alias("reverse"), F.floor("l_extendedprice").cast("long").alias("score"), (F.floor("l_quantity") / 64.0).alias("identity"), F.col("l_linenumber").alias("element_start"), (F.col("l_linenumber") + 40).alias("element_end"))
-    short = hits.groupBy("p_brand", "voter").agg(F.max("even").alias("short"))
-    return hits.drop("even").join(short, ["p_brand", "voter"])
+    dealt = st.dealt(hits, ["p_brand", "voter"], lines.count())
+    return dealt.withColumn("short", F.max("even").over(Window.partitionBy("p_brand", "voter"))).drop("even")
 
 
 _SUBFAMILY = """by_cid as (

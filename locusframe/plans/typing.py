@@ -10,6 +10,7 @@ from ..functions.alignment import local_alignment
 from ..functions.sequences import reverse_complement, without_tail
 from ..operators import positions as po
 from ..operators import statistics as st
+from ..storage import staged
 
 # Fixed values of the method: k-mer size, shortest sequence, that from which two seeds are needed,
 # windows aligned for a sequence, bases around a window, and the least coverage and identity.
@@ -83,7 +84,8 @@ def clip_vote(typed: DataFrame, keys: list[str], voter: str) -> DataFrame:
     subfamily (the consensus of the family with most score, the first of equals), reverse (by
     the sum of its scores, signed by strand), identity (mean) and the span of its hits.
     """
-    best = typed.groupBy(*keys, "family", voter).agg(F.max("score").alias("_s"), F.max("short").alias("_short"))
+    typed = staged(typed, "hits")
+    best = st.dealt(typed, [*keys, "family", voter], typed.count()).groupBy(*keys, "family", voter).agg(F.max("score").alias("_s"), F.max("short").alias("_short"))
     sums = best.groupBy(*keys, "family").agg(F.sum("_s").alias("_total"), F.count("*").alias("typed_clips"), F.count_if("_short").alias("short_typed_clips"))
     first = F.min_by(F.struct("family", "typed_clips", "short_typed_clips"), F.struct(-F.col("_total"), F.col("family")))
     chosen = sums.groupBy(*keys).agg(first.alias("_f")).select(*keys, "_f.*")
@@ -91,10 +93,18 @@ def clip_vote(typed: DataFrame, keys: list[str], voter: str) -> DataFrame:
 
 
 def subfamily_vote(typed: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the consensus of its chosen family with most score (score_of_best; the first of equals), and its hits in sum."""
+    """For each key the consensus of its chosen family with most score (score_of_best; the first of equals), and its hits in sum.
+
+    Hits of all families are summed before the chosen ones are joined, so that no key's hits come to one task.
+    """
     on = [*keys, "family"]
     signed = F.sum(F.when(F.col("reverse"), F.col("score")).otherwise(-F.col("score")))
-    by_cid = typed.join(chosen.select(*on), on).groupBy(*on, "cid").agg(F.min("name").alias("name"), F.sum("score").alias("score_of_best"), (signed > 0).alias("reverse"), F.avg("identity").alias("identity"), F.min("element_start").alias("element_start"), F.max("element_end").alias("element_end"))
+    extent = [F.min("element_start").alias("element_start"), F.max("element_end").alias("element_end")]
+    # names are keys first: to look for the least of them Spark would sort all hits
+    by_name = typed.groupBy(*on, "cid", "name").agg(F.sum("score").alias("_score"), signed.alias("_signed"), F.sum("identity").alias("_identity"), F.count("identity").alias("_n"), *extent)
+    identity = F.sum("_identity") / F.nullif(F.sum("_n"), F.lit(0))
+    summed = by_name.groupBy(*on, "cid").agg(F.min("name").alias("name"), F.sum("_score").alias("score_of_best"), (F.sum("_signed") > 0).alias("reverse"), identity.alias("identity"), *extent)
+    by_cid = chosen.select(*on).join(summed, on)
     names = ["name", "cid", "score_of_best", "reverse", "identity", "element_start", "element_end"]
     best = F.min_by(F.struct(*names), F.struct(-F.col("score_of_best"), F.col("cid")))
     return chosen.join(by_cid.groupBy(*on).agg(best.alias("_b")).select(*on, "_b.*"), on)

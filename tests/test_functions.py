@@ -185,7 +185,7 @@ def test_outlier_threshold_joins_no_rows_by_a_hot_key(spark, monkeypatch, most):
 
 
 def test_many_counts_grow_in_tasks_not_in_rows_of_a_task(spark, monkeypatch):
-    monkeypatch.setattr(st, "COUNTED_ROWS", 100, raising=False)
+    monkeypatch.setattr(st, "DEALT_ROWS", 100, raising=False)
     df = spark.range(2000).select(F.nullif(F.col("id") % 900, F.lit(5)).alias("k"), (F.col("id") % 2).alias("m"))
     got = st.many_counts(df, ["k", "m"], 2000)
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -38,6 +38,26 @@ def test_alignment_scores():
     assert alignment.align("", "ACGT") == alignment.align("NNN", "NNN") == (0,) * 7
 
 
+def test_votes_join_no_hits_by_a_hot_key(spark, monkeypatch):
+    kind, joined = type(spark.range(1)), []
+    plain = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: joined.append(self.columns) or plain(self, *a, **b))
+    rows = [("a", i // 2, i % 4 == 0, "AB"[i % 3 == 0], i % 5, f"n{i % 5}", i % 2 == 0, i % 7, 0.5, i % 11, 20 + i % 11) for i in range(400)]
+    typed = spark.createDataFrame(rows, "k string, voter long, short boolean, family string, cid int, name string, reverse boolean, score long, identity double, element_start int, element_end int")
+    got = typing.clip_vote(typed, ["k"], "voter").collect()
+    best = {}
+    for _, voter, *_, in rows:
+        for f in "AB":
+            scores = [r[7] for r in rows if r[1] == voter and r[3] == f]
+            if scores:
+                best[f, voter] = max(scores)
+    family = max("AB", key=lambda f: sum(s for (x, _), s in best.items() if x == f))
+    by_cid = {c: sum(r[7] for r in rows if r[3] == family and r[4] == c) for c in range(5)}
+    chosen = max(by_cid, key=lambda c: (by_cid[c], -c))
+    assert [(r.k, r.family, r.subfamily, r.typed_clips) for r in got] == [("a", family, f"n{chosen}", sum(f == family for f, _ in best))]
+    assert joined and not any("voter" in columns for columns in joined)
+
+
 def test_typing(spark):
     rng = random.Random(8)
     elements = [("a", "ALU", dna(rng, 300)), ("b", "LINE1", dna(rng, 600)), ("c", "SVA", dna(rng, 400))]
